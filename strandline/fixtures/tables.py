@@ -258,3 +258,39 @@ class Fixtures:
             "concat('P', conv_id) AS proposal", "turn AS n",
             "CASE WHEN length(text) < 60 THEN 'rejected' WHEN length(text) > 20000 THEN 'open' "
             "WHEN length(text) > 1500 THEN 'conflict' ELSE 'accepted' END AS state")
+
+    # ---------------------------------------------------------- batches
+    def batch_nodes(self) -> DataFrame:
+        """Parts as new artifacts, one batch per brand; sizes and types bring all sorts of mistakes."""
+        return self.table("part").selectExpr(
+            f"'{PROJECT}' AS project_id", "p_brand AS batch_id", "p_partkey AS seq",
+            "CASE WHEN p_size >= 45 THEN concat('k', p_type) ELSE concat('k', p_partkey) END AS key",
+            "CASE WHEN p_size = 1 THEN concat('P', p_partkey) WHEN p_size = 2 THEN concat('T', p_partkey)"
+            " WHEN p_size = 3 THEN concat('NEW', p_type) END AS id",
+            "CASE p_type WHEN 'ECONOMY' THEN 'table' WHEN 'PROMO' THEN 'figure' WHEN 'SMALL' THEN 'raw'"
+            " WHEN 'LARGE' THEN 'resource' WHEN 'MEDIUM' THEN 'note' ELSE 'widget' END AS type",
+            "CASE WHEN p_size = 4 THEN ' ' WHEN p_size = 5 THEN repeat(p_name, 10) ELSE p_name END AS label",
+            "CASE WHEN p_size = 6 THEN 'copied' WHEN p_retailprice > 1000 THEN 'managed' ELSE 'ref' END AS mode",
+            "CASE WHEN p_size BETWEEN 6 AND 20 THEN concat('data/parts/P', p_partkey, '.tsv')"
+            " WHEN p_size BETWEEN 21 AND 23 THEN concat('gone/', p_partkey) END AS path",
+            "CASE WHEN p_size BETWEEN 7 AND 12 THEN concat('data/customers/C', p_partkey, '.tsv') END AS dest",
+            "CASE WHEN p_size = 8 THEN NULL WHEN p_size = 9 THEN 'finemapping' ELSE 'sources' END AS step",
+            "CASE WHEN p_size > 30 THEN p_name END AS grp", "CASE WHEN p_size < 30 THEN 'http://x' END AS url",
+            "CASE WHEN p_size > 25 THEN 'cluster' END AS location", "false AS allow_duplicate")
+
+    def batch_edges(self) -> DataFrame:
+        """Order lines as links to those artifacts; heavily taxed returns run backwards."""
+        keys = self.batch_nodes().select("batch_id", "key", F.col("seq").alias("l_partkey"))
+        back = "l_returnflag = 'R' AND l_tax >= 0.08"
+        return self.table("lineitem").join(keys, "l_partkey").selectExpr(
+            f"'{PROJECT}' AS project_id", "batch_id", "concat(l_orderkey, '.', l_linenumber, '.', l_partkey) AS n",
+            f"CASE WHEN {back} THEN key WHEN l_returnflag = 'R' THEN concat('PL', l_orderkey)"
+            " WHEN l_returnflag = 'A' THEN concat('SU', l_suppkey) ELSE concat('X', l_orderkey) END AS src",
+            f"CASE WHEN {back} THEN concat('P', l_partkey) ELSE key END AS dst",
+            "element_at(array('produces', 'derives', 'feeds', 'code', 'part_of', 'makes', 'related'), l_linenumber) AS rel",
+            "CASE WHEN l_discount < 0.025 THEN CAST(map() AS MAP<STRING,STRING>) WHEN l_discount < 0.055"
+            " THEN map('L', '5', 'la_marker', '1') ELSE map('font_size', '9', 'alpha', '0.05', 'label_size', '2') END AS params",
+            "CASE WHEN l_linestatus = 'F' THEN concat('PL', l_orderkey) WHEN l_linenumber = 2 THEN concat('SU', l_suppkey) END"
+            " AS script",
+            "CASE WHEN l_quantity < 10 THEN '{\"a\": [1, 2], \"b\": \"x\"}' WHEN l_quantity < 12 THEN '{\"a\": {\"b\": 1}}'"
+            " WHEN l_quantity < 14 THEN '[1]' WHEN l_quantity < 16 THEN '{\"a\": [1, [2]], \"c\": null}' END AS params_json")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.plans import cut, fixpoint
+from strandline.plans import cut, fixpoint, saturate
 from strandline.vocab import HARD_RELS, PROCESS_TYPES, SOFT_RELS
 
 
@@ -105,35 +105,18 @@ def process_outputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.where("NOT process").select("project_id", "process_id", "node_id")
 
 
-def peel(nodes: DataFrame, arcs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def peel(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """Take away artifacts without remaining incoming links, round by round: (node_id, depth).
 
     Depth is the longest path to the artifact. What lies on or behind a cycle never appears.
-    `arcs` has project_id, source, target, each pair once. Every link is used in one round only.
+    `arcs` has project_id, source, target, each pair once.
     """
-    key = ["project_id", "node_id"]
     arcs, _ = cut(arcs, "arcs")
-    need, _ = cut(nodes.select(*key).distinct().join(
-        arcs.groupBy("project_id", F.col("target").alias("node_id")).agg(F.count(F.lit(1)).alias("need")), key, "left"
-    ).select(*key, F.coalesce("need", F.lit(0).cast("long")).alias("need")), "need")
-    layers = [need.where("need = 0").select(*key, F.lit(0).alias("depth"))]
-    ready, waiting = layers[0], None
-    for depth in range(1, max_rounds):
-        hits = (ready.select("project_id", F.col("node_id").alias("source")).join(arcs, ["project_id", "source"])
-                .groupBy("project_id", F.col("target").alias("node_id")).agg(F.count(F.lit(1)).alias("got")))
-        if waiting is not None:
-            hits = hits.unionByName(waiting.select(*key, "got")).groupBy(*key).agg(F.sum("got").alias("got"))
-        state = hits.join(need, key).withColumn("ready", F.col("got") == F.col("need"))
-        state, seen = cut(state, "peel", counts={"ready": F.col("ready")})
-        if seen["ready"] == 0:
-            break
-        ready = state.where("ready").select(*key, F.lit(depth).alias("depth"))
-        waiting = state.where("NOT ready")
-        layers.append(ready)
-    out = layers[0]
-    for layer in layers[1:]:
-        out = out.unionByName(layer)
-    return out
+    fed = arcs.select("project_id", F.col("target").alias("node_id")).distinct()
+    sources, _ = cut(nodes.select("project_id", "node_id").distinct().join(fed, ["project_id", "node_id"], "left_anti"),
+                     "sources")
+    needs = arcs.select("project_id", F.col("target").alias("node_id"), F.col("source").alias("need"))
+    return saturate(sources, needs).withColumnRenamed("round", "depth")
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -44,3 +44,24 @@ def with_previous(df: DataFrame, keys: list[str], slice_by: Column, order: list[
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_slice").eqNullSafe(F.col("_s"))]
     joined = sliced.withColumn("_inside", F.lag("_value").over(inside)).join(carry, same, "left")
     return joined.withColumn(out, F.coalesce("_inside", "_carry")).select(*df.columns, out)
+
+
+def number_free(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], taken: DataFrame,
+                out: str) -> DataFrame:
+    """Adds `out`: the rows of a key get 1, 2, 3, ... in order, leaving out the numbers in `taken` (keys, n).
+
+    Row i gets i plus the number of taken values below it. A taken value has (itself - its rank) free values
+    below, so both are put on one line and counted.
+    """
+    counted = running_sum(df, keys, slice_by, order, F.lit(1), "_i")
+    block = 1000
+    used = running_sum(taken.select(*keys, F.col("n").cast("long").alias("n")).where("n > 0").distinct(), keys,
+                       F.floor(F.col("n") / block), [F.col("n")], F.lit(1), "_rank")
+    line = (counted.select(*keys, (2 * F.col("_i")).alias("_at"), F.lit(0).alias("_taken"))
+            .unionByName(used.select(*keys, (2 * (F.col("n") - F.col("_rank")) + 1).alias("_at"),
+                                     F.lit(1).alias("_taken"))))
+    passed = running_sum(line, keys, F.floor(F.col("_at") / block), [F.col("_at"), F.col("_taken")], F.col("_taken"),
+                         "_skip")
+    skips = passed.where("_taken = 0").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_at"), "_skip")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [2 * F.col("_i") == F.col("_at")]
+    return counted.join(skips, same).withColumn(out, F.col("_i") + F.col("_skip")).select(*df.columns, out)
