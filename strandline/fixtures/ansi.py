@@ -196,7 +196,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
                CASE WHEN length(text) < 60 THEN 'rejected' WHEN length(text) > 20000 THEN 'open'
                     WHEN length(text) > 1500 THEN 'conflict' ELSE 'accepted' END AS state FROM conversations"""),
     "fx_batch_node": ([], """
-        SELECT p_brand AS batch_id, p_partkey AS seq,
+        SELECT split_part(p_name, ' ', 1) AS batch_id, p_partkey AS seq,
           CASE WHEN p_size >= 45 THEN 'k' || p_type ELSE 'k' || p_partkey END AS key,
           CASE WHEN p_size = 1 THEN 'P' || p_partkey WHEN p_size = 2 THEN 'T' || p_partkey WHEN p_size = 3 THEN 'NEW' || p_type END AS id,
           CASE p_type WHEN 'ECONOMY' THEN 'table' WHEN 'PROMO' THEN 'figure' WHEN 'SMALL' THEN 'raw' WHEN 'LARGE' THEN 'resource'
@@ -211,11 +211,11 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE WHEN p_size > 25 THEN 'cluster' END AS location FROM part"""),
     "fx_batch_edge": (["fx_batch_node"], """
         SELECT batch_id, l_orderkey || '.' || l_linenumber || '.' || l_partkey AS n,
-          CASE WHEN l_returnflag = 'R' AND l_tax >= 0.08 THEN key WHEN l_returnflag = 'R' THEN 'PL' || l_orderkey
+          CASE WHEN l_returnflag = 'R' AND l_tax >= 0.08 OR path LIKE 'gone/%' THEN key WHEN l_returnflag = 'R' THEN 'PL' || l_orderkey
                WHEN l_returnflag = 'A' THEN 'SU' || l_suppkey ELSE 'X' || l_orderkey END AS src,
-          CASE WHEN l_returnflag = 'R' AND l_tax >= 0.08 THEN 'P' || l_partkey ELSE key END AS dst,
+          CASE WHEN l_returnflag = 'R' AND l_tax >= 0.08 OR path LIKE 'gone/%' THEN 'P' || l_partkey ELSE key END AS dst,
           (['produces', 'derives', 'feeds', 'code', 'part_of', 'makes', 'related'])[l_linenumber] AS rel,
-          CASE WHEN l_discount < 0.025 THEN [] WHEN l_discount < 0.055 THEN ['L', 'la_marker']
+          CASE WHEN l_discount < 0.025 OR dest IS NOT NULL THEN [] WHEN l_discount < 0.055 THEN ['L', 'la_marker']
                ELSE ['font_size', 'alpha', 'label_size'] END AS keys,
           CASE WHEN l_linestatus = 'F' THEN 'PL' || l_orderkey WHEN l_linenumber = 2 THEN 'SU' || l_suppkey END AS script,
           l_quantity FROM lineitem JOIN fx_batch_node ON seq = l_partkey"""),

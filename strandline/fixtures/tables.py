@@ -261,9 +261,9 @@ class Fixtures:
 
     # ---------------------------------------------------------- batches
     def batch_nodes(self) -> DataFrame:
-        """Parts as new artifacts, one batch per brand; sizes and types bring all sorts of mistakes."""
+        """Parts as new artifacts, one batch per first word of the name; sizes and types bring all sorts of mistakes."""
         return self.table("part").selectExpr(
-            f"'{PROJECT}' AS project_id", "p_brand AS batch_id", "p_partkey AS seq",
+            f"'{PROJECT}' AS project_id", "split(p_name, ' ')[0] AS batch_id", "p_partkey AS seq",
             "CASE WHEN p_size >= 45 THEN concat('k', p_type) ELSE concat('k', p_partkey) END AS key",
             "CASE WHEN p_size = 1 THEN concat('P', p_partkey) WHEN p_size = 2 THEN concat('T', p_partkey)"
             " WHEN p_size = 3 THEN concat('NEW', p_type) END AS id",
@@ -279,16 +279,16 @@ class Fixtures:
             "CASE WHEN p_size > 25 THEN 'cluster' END AS location", "false AS allow_duplicate")
 
     def batch_edges(self) -> DataFrame:
-        """Order lines as links to those artifacts; heavily taxed returns run backwards."""
-        keys = self.batch_nodes().select("batch_id", "key", F.col("seq").alias("l_partkey"))
-        back = "l_returnflag = 'R' AND l_tax >= 0.08"
+        """Order lines as links to those artifacts; heavily taxed returns and those of lost files run backwards."""
+        keys = self.batch_nodes().select("batch_id", "key", "path", "dest", F.col("seq").alias("l_partkey"))
+        back = "((l_returnflag = 'R' AND l_tax >= 0.08) OR coalesce(path LIKE 'gone/%', false))"
         return self.table("lineitem").join(keys, "l_partkey").selectExpr(
             f"'{PROJECT}' AS project_id", "batch_id", "concat(l_orderkey, '.', l_linenumber, '.', l_partkey) AS n",
             f"CASE WHEN {back} THEN key WHEN l_returnflag = 'R' THEN concat('PL', l_orderkey)"
             " WHEN l_returnflag = 'A' THEN concat('SU', l_suppkey) ELSE concat('X', l_orderkey) END AS src",
             f"CASE WHEN {back} THEN concat('P', l_partkey) ELSE key END AS dst",
             "element_at(array('produces', 'derives', 'feeds', 'code', 'part_of', 'makes', 'related'), l_linenumber) AS rel",
-            "CASE WHEN l_discount < 0.025 THEN CAST(map() AS MAP<STRING,STRING>) WHEN l_discount < 0.055"
+            "CASE WHEN l_discount < 0.025 OR dest IS NOT NULL THEN CAST(map() AS MAP<STRING,STRING>) WHEN l_discount < 0.055"
             " THEN map('L', '5', 'la_marker', '1') ELSE map('font_size', '9', 'alpha', '0.05', 'label_size', '2') END AS params",
             "CASE WHEN l_linestatus = 'F' THEN concat('PL', l_orderkey) WHEN l_linenumber = 2 THEN concat('SU', l_suppkey) END"
             " AS script",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["graph", "staleness", "versions", "history", "files", "summary", "trees", "validation"]
+MODULES = ["graph", "staleness", "versions", "history", "files", "summary", "trees", "validation", "layout", "search"]
 
 
 def _collect(attribute: str) -> dict:
