@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["graph", "staleness", "versions", "history", "files", "summary", "trees", "validation", "layout", "search"]
+MODULES = ["graph", "staleness", "versions", "history", "files", "summary", "trees", "validation", "layout", "search",
+           "markup", "manuscript"]
 
 
 def _collect(attribute: str) -> dict:
