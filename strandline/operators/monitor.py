@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.paths import ancestors, basename, folder_of, guess_type, matches_any, stem, suffix
 from strandline.vocab import IGNORE_GLOBS, NAME_SIMILARITY
@@ -44,7 +45,7 @@ def new_files(files: DataFrame, seen: DataFrame) -> DataFrame:
             .withColumn("changed_since_seen", F.col("_seen").isNotNull()).drop("_size", "_mtime", "_seen"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two names."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

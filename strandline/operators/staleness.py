@@ -38,8 +38,9 @@ def outdated_inputs(nodes: DataFrame, recorded: DataFrame) -> DataFrame:
 class Staleness:
     """One evaluation of the staleness rules; the expensive tables are written once and shared."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, recorded: DataFrame):
-        self.nodes, self.edges = nodes, edges
+    def __init__(self, nodes: DataFrame, edges: DataFrame, recorded: DataFrame, also_stale: DataFrame | None = None):
+        """`also_stale` (node_id) are artifacts known to be stale for reasons outside these tables."""
+        self.nodes, self.edges, self.also_stale = nodes, edges, also_stale
         self.moved, _ = cut(outdated_inputs(nodes, recorded), "moved")
         # only artifacts with a moved input need their full set of parents
         self.parents = effective_parents(nodes, edges, self.moved)
@@ -98,6 +99,8 @@ class Staleness:
             links.where("rel <> 'part_of'").join(kinds.where("process").select(
                 "project_id", F.col("node_id").alias("target")), ["project_id", "target"], "left_semi")
             .select("project_id", F.col("target").alias("node_id")))
+        if self.also_stale is not None:
+            seed = seed.unionByName(self.also_stale.select(*NODE))
 
         def step(frontier: DataFrame) -> DataFrame:
             stale = F.col("mark") == "stale"
