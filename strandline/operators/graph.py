@@ -38,7 +38,7 @@ def _arcs(edges: DataFrame, direction: str, skip_rels: list[str]) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", skip_rels: list[str] | None = None,
               max_depth: int | None = None) -> DataFrame:
     """Everything up- or downstream of each seed (project_id, seed), with the fewest hops to it."""
-    arcs, _ = cut(_arcs(edges, direction, skip_rels or []).distinct(), "arcs")
+    arcs, _ = cut(_arcs(edges, direction, skip_rels or []), "arcs")
     start = seeds.select("project_id", "seed", F.col("seed").alias("node_id"))
 
     def step(frontier: DataFrame) -> DataFrame:
@@ -64,23 +64,35 @@ def traced_edges(edges: DataFrame, seeds: DataFrame, direction: str = "up", max_
             .select("project_id", "seed", "depth", "edge_id", "source", "target", "rel"))
 
 
-def _typed_hard_edges(nodes: DataFrame, edges: DataFrame, end: str) -> DataFrame:
-    """Hard links with whether the artifact at `end` is a process."""
-    kinds = nodes.select("project_id", F.col("node_id").alias(end), is_process("type").alias("process"))
-    return (edges.where(F.col("rel").isin(HARD_RELS)).select("project_id", "source", "target").distinct()
-            .join(kinds, ["project_id", end]))
+def typed_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links that carry provenance (loose ones left out) with what their ends are; repeats are harmless.
+
+    (source, target, hard, from_process, to_process); `hard` is false for placements in an article.
+    """
+    kinds = nodes.select("project_id", F.col("node_id").alias("_id"), is_process("type").alias("_process"))
+    links = edges.where(~F.col("rel").isin(SOFT_RELS)).select("project_id", "source", "target",
+                                                             F.col("rel").isin(HARD_RELS).alias("hard"))
+    for end, name in (("source", "from_process"), ("target", "to_process")):
+        links = links.join(kinds.withColumnsRenamed({"_id": end, "_process": name}), ["project_id", end])
+    return links
 
 
-def effective_parents(nodes: DataFrame, edges: DataFrame, children: DataFrame | None = None) -> DataFrame:
+def effective_parents(nodes: DataFrame, edges: DataFrame, children: DataFrame | None = None,
+                      links: DataFrame | None = None) -> DataFrame:
     """(node_id, parent_id, process): direct sources and, behind a process, that process's own sources.
 
-    `children` (project_id, node_id) limits the question to those artifacts.
+    `children` (project_id, node_id) limits the question to those artifacts; `links` are stored `typed_links`.
     """
-    hard, _ = cut(_typed_hard_edges(nodes, edges, "source"), "hard")
-    start = hard.select("project_id", F.col("target").alias("node_id"), F.col("source").alias("parent_id"), "process")
+    if links is None:
+        kinds = nodes.select("project_id", F.col("node_id").alias("source"), is_process("type").alias("from_process"))
+        links, _ = cut(edges.where(F.col("rel").isin(HARD_RELS)).select("project_id", "source", "target", F.lit(True).alias("hard"))
+                       .join(kinds, ["project_id", "source"]), "links")
+    hard = links.where("hard").select("project_id", "target", F.col("source").alias("parent_id"),
+                                      F.col("from_process").alias("process"))
+    start = hard.withColumnRenamed("target", "node_id")
     if children is not None:
         start = start.join(children.select("project_id", "node_id").distinct(), ["project_id", "node_id"], "left_semi")
-    behind = hard.select("project_id", F.col("target").alias("via"), F.col("source").alias("parent_id"), "process")
+    behind = hard.withColumnRenamed("target", "via")
 
     def step(frontier: DataFrame) -> DataFrame:
         open_ends = frontier.where("process").select("project_id", "node_id", F.col("parent_id").alias("via"))
@@ -89,20 +101,28 @@ def effective_parents(nodes: DataFrame, edges: DataFrame, children: DataFrame |
     return fixpoint(start, step, ["project_id", "node_id", "parent_id"], name="parents").drop("round")
 
 
-def process_outputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(process_id, node_id): data made by each process, also through processes it starts."""
-    hard, _ = cut(_typed_hard_edges(nodes, edges, "target"), "hard")
-    makers = nodes.where(is_process("type")).select("project_id", F.col("node_id").alias("source"))
-    start = (hard.join(makers, ["project_id", "source"], "left_semi")
-             .select("project_id", F.col("source").alias("process_id"), F.col("target").alias("node_id"), "process"))
-    onward = hard.select("project_id", F.col("source").alias("via"), F.col("target").alias("node_id"), "process")
+def effective_children(links: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """(key, node_id): data made from each of `parents` (column key), directly or through processes only."""
+    hard = links.where("hard").select("project_id", F.col("source").alias("via"), F.col("target").alias("node_id"),
+                                      F.col("to_process").alias("process"))
+    start = parents.select("project_id", key, F.col(key).alias("via")).join(hard, ["project_id", "via"]).drop("via")
 
     def step(frontier: DataFrame) -> DataFrame:
-        open_ends = frontier.where("process").select("project_id", "process_id", F.col("node_id").alias("via"))
-        return open_ends.join(onward, ["project_id", "via"])
+        open_ends = frontier.where("process").select("project_id", key, F.col("node_id").alias("via"))
+        return open_ends.join(hard, ["project_id", "via"])
 
-    pairs = fixpoint(start, step, ["project_id", "process_id", "node_id"], name="outputs")
-    return pairs.where("NOT process").select("project_id", "process_id", "node_id")
+    pairs = fixpoint(start, step, ["project_id", key, "node_id"], name="children")
+    return pairs.where("NOT process").select("project_id", key, "node_id")
+
+
+def process_outputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(process_id, node_id): data made by each process, also through processes it starts."""
+    kinds = nodes.select("project_id", "node_id", is_process("type").alias("process"))
+    links, _ = cut(edges.where(F.col("rel").isin(HARD_RELS)).select("project_id", "source", "target", F.lit(True).alias("hard"))
+                   .join(kinds.where("process").select("project_id", F.col("node_id").alias("source")), ["project_id", "source"], "left_semi")
+                   .join(kinds.withColumnsRenamed({"node_id": "target", "process": "to_process"}), ["project_id", "target"]), "links")
+    makers = nodes.where(is_process("type")).select("project_id", F.col("node_id").alias("process_id"))
+    return effective_children(links, makers, "process_id")
 
 
 def peel(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -111,31 +131,26 @@ def peel(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     Depth is the longest path to the artifact. What lies on or behind a cycle never appears.
     `arcs` has project_id, source, target, each pair once.
     """
-    arcs, _ = cut(arcs, "arcs")
-    fed = arcs.select("project_id", F.col("target").alias("node_id")).distinct()
-    sources, _ = cut(nodes.select("project_id", "node_id").distinct().join(fed, ["project_id", "node_id"], "left_anti"),
-                     "sources")
     needs = arcs.select("project_id", F.col("target").alias("node_id"), F.col("source").alias("need"))
-    return saturate(sources, needs).withColumnRenamed("round", "depth")
+    return saturate(None, needs, nodes=nodes).withColumnRenamed("round", "depth")
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest-path depth; an artifact without inputs sits one layer before its first consumer."""
-    arcs = edges.select("project_id", "source", "target").distinct()
+    arcs, _ = cut(edges.select("project_id", "source", "target").distinct(), "arcs")
     depth, _ = cut(peel(nodes, arcs), "depth")
-    first_use = (arcs.join(depth.select("project_id", F.col("node_id").alias("target"), "depth"),
+    pure = depth.where("depth = 0").select("project_id", F.col("node_id").alias("source"))
+    first_use = (arcs.join(pure, ["project_id", "source"], "left_semi").join(depth.select("project_id", F.col("node_id").alias("target"), "depth"),
                            ["project_id", "target"])
                  .groupBy("project_id", F.col("source").alias("node_id")).agg(F.min("depth").alias("first")))
-    fed = arcs.select("project_id", F.col("target").alias("node_id")).distinct().withColumn("fed", F.lit(True))
     key = ["project_id", "node_id"]
-    pulled = F.when(F.col("fed").isNull() & F.col("first").isNotNull(), F.greatest(F.lit(0), F.col("first") - 1))
-    return (depth.join(first_use, key, "left").join(fed, key, "left")
-            .select(*key, F.coalesce(pulled, F.col("depth")).cast("int").alias("depth")))
+    pulled = F.when(F.col("first").isNotNull(), F.greatest(F.lit(0), F.col("first") - 1))
+    return (depth.join(first_use, key, "left").select(*key, F.coalesce(pulled, F.col("depth")).cast("int").alias("depth")))
 
 
 def find_cycles(edges: DataFrame) -> DataFrame:
     """Artifacts on a cycle or between two cycles; empty when the links form no cycle."""
-    arcs = edges.select("project_id", "source", "target").distinct()
+    arcs, _ = cut(edges.select("project_id", "source", "target").distinct(), "arcs")
     key = ["project_id", "node_id"]
 
     def ends(a: DataFrame) -> DataFrame:
@@ -279,7 +294,7 @@ def article_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     key = ["project_id", "node_id"]
     arcs, _ = cut(edges.where(~F.col("rel").isin(SOFT_RELS)).select(
-        "project_id", F.col("target").alias("node_id"), F.col("source").alias("next")).distinct(), "arcs")
+        "project_id", F.col("target").alias("node_id"), F.col("source").alias("next")), "arcs")
     fresh, seen = cut(nodes.where("type = 'article'").select(*key, F.col("node_id").alias("article")), "article")
     best = fresh
     while seen["rows"]:

@@ -130,9 +130,11 @@ def evidence_problems(evidence: DataFrame, uses: DataFrame, assets: DataFrame) -
 
 
 def _grams(words: Column, k: int) -> Column:
+    """Hashes of every k words in a row."""
     n = F.size(words)
-    return F.when(n >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(
-        *[F.element_at(words, (i + j).cast("int")) for j in range(k)])))).otherwise(F.array().cast("array<bigint>"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.xxhash64(
+        *[F.get(words, i + (j - 1)) for j in range(k)]))
+    return F.when(n >= k, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def quote_pairs(quotes: DataFrame, pages: DataFrame, k: int = 4) -> DataFrame:
@@ -140,45 +142,66 @@ def quote_pairs(quotes: DataFrame, pages: DataFrame, k: int = 4) -> DataFrame:
 
     The words inside a quote are whole words on its page, so k of them in a row (fewer in short quotes) lead to the
     candidate pages by an equi-join; the full texts are compared only there. Quotes of one or two words have no inner
-    word: they are looked for as the beginning or end of words on the page.
+    word: the words they can be part of are looked up in the vocabulary of all pages first.
     """
-    known, _ = cut(pages.select("doc", "page_no", m.normal_text(F.col("text")).alias("page"))
-                   .withColumn("words", F.split("page", " ")), "pages")
+    page = ["doc", "page_no"]
+    known, _ = cut(pages.select(*page, m.normal_text(F.col("text")).alias("page")), "pages")
+    worded = known.withColumn("words", F.split("page", " "))
     asked = (quotes.select("quote_id", m.normal_text(F.col("quote")).alias("quote")).where("quote <> ''")
-             .withColumn("words", F.split("quote", " ")).withColumn("inner", F.slice("words", F.lit(2), F.greatest(F.size("words") - 2, F.lit(0))))
-             .withColumn("k", F.least(F.size("inner"), F.lit(k))))
-    asked, _ = cut(asked, "quotes")
+             .withColumn("words", F.split("quote", " ")))
+    asked, _ = cut(asked.withColumn("inner", F.slice("words", F.lit(2), F.greatest(F.size("words") - 2, F.lit(0))))
+                   .withColumn("k", F.least(F.size("inner"), F.lit(k))), "quotes")
     lengths = sorted(r["k"] for r in asked.select("k").distinct().collect())  # at most k + 1 values
-    words, parts = F.col("words"), []
-    inner = [n for n in lengths if n > 0]
+    inner, parts = [n for n in lengths if n > 0], []
     if inner:
         offered = reduce(DataFrame.unionByName, [asked.where(F.col("k") == n).select(
-            "quote_id", F.explode(_grams(F.col("inner"), n)).alias("gram")) for n in inner])
-        found, _ = cut(reduce(DataFrame.unionByName, [known.select("doc", "page_no", F.explode(_grams(words, n)).alias("gram"))
-                                                      for n in inner])
+            "quote_id", F.explode(F.array_distinct(_grams(F.col("inner"), n))).alias("gram")) for n in inner])
+        grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("words"), n) for n in inner])))
+        found, _ = cut(worded.select(*page, F.explode(grams).alias("gram"))
                        .join(offered.select("gram").distinct(), "gram", "left_semi"), "grams")
-        # of the word runs of a quote, the one on the fewest pages leads to the candidates
-        pages_with = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        anchor = (offered.join(pages_with, "gram", "left").groupBy("quote_id")
-                  .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
-                  .where("a.n > 0").select("quote_id", F.col("a.gram").alias("gram")))
-        parts.append(found.join(anchor, "gram").select("quote_id", "doc", "page_no"))
+        parts.append(_by_rarest(offered, found))
     if 0 in lengths:
-        short = asked.where("k = 0")
-        on_page = known.select("doc", "page_no", F.explode(F.array_distinct(words)).alias("word"))
-        # two words: the first ends a word of the page
-        tails = on_page.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr("word", i))))
-        two = short.where("size(words) = 2").select("quote_id", F.col("words")[0].alias("gram"))
-        parts.append(tails.join(two, "gram").select("quote_id", "doc", "page_no"))
-        # one word: its first letters stand somewhere in a word of the page
-        one = short.where("size(words) = 1").select("quote_id", F.left(F.col("words")[0], F.lit(3)).alias("gram"))
-        runs = F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(
-            F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr("word", i, n))))
-        inside = on_page.withColumn("gram", F.explode(F.array_distinct(runs)))
-        parts.append(inside.join(one, "gram").select("quote_id", "doc", "page_no"))
+        postings, _ = cut(worded.select(*page, F.explode(F.array_distinct("words")).alias("word")), "postings")
+        parts.append(_by_rarest(_words_around(asked.where("k = 0"), postings.select("word").distinct()), postings, "word"))
     pairs = reduce(DataFrame.unionByName, parts).distinct()
-    return (pairs.join(known, ["doc", "page_no"]).join(asked.select("quote_id", "quote"), "quote_id")
-            .where(F.contains("page", F.col("quote"))).select("quote_id", "doc", "page_no"))
+    return (pairs.join(asked.select("quote_id", "quote"), "quote_id").join(known, page)
+            .where(F.contains("page", F.col("quote"))).select("quote_id", *page))
+
+
+def _by_rarest(offered: DataFrame, found: DataFrame, token: str = "gram") -> DataFrame:
+    """Candidate pages of each quote through its key on the fewest pages.
+
+    `offered` lists keys per quote; keys with the same `side` (if any) belong together, as any of them may occur.
+    """
+    side = ["side"] if "side" in offered.columns else []
+    on_pages = found.groupBy(token).agg(F.count(F.lit(1)).alias("n"))
+    cost = offered.join(on_pages, token, "left").groupBy("quote_id", *(side or [token])).agg(
+        F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    name = side[0] if side else token
+    best = (cost.groupBy("quote_id").agg(F.min(F.struct("n", name)).alias("a")).where("a.n > 0")
+            .select("quote_id", F.col(f"a.{name}").alias(name)))
+    keys = offered.join(best, ["quote_id", name]).select("quote_id", token)
+    return found.join(keys, token).select("quote_id", "doc", "page_no")
+
+
+def _words_around(short: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(quote_id, side, word): words of the pages that a quote of one or two words can lie in.
+
+    The first of two words ends a word, the second begins one; either side will do. One word may lie anywhere.
+    """
+    upto = F.sequence(F.lit(1), F.length("word"))
+    first, last = F.col("words")[0], F.col("words")[F.size("words") - 1]
+    two = short.where("size(words) = 2")
+    ends = vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.substr("word", i)))).join(
+        two.select("quote_id", first.alias("key")), "key").select("quote_id", F.lit("end").alias("side"), "word")
+    begins = vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.left("word", i)))).join(
+        two.select("quote_id", last.alias("key")), "key").select("quote_id", F.lit("begin").alias("side"), "word")
+    runs = F.array_distinct(F.flatten(F.transform(upto, lambda i: F.transform(
+        F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr("word", i, n)))))
+    one = short.where("size(words) = 1").select("quote_id", F.left(first, F.lit(3)).alias("key"), first.alias("part"))
+    inside = vocabulary.withColumn("key", F.explode(runs)).join(one, "key").where(
+        F.contains("word", F.col("part"))).select("quote_id", F.lit("in").alias("side"), "word")
+    return ends.unionByName(begins).unionByName(inside).distinct()
 
 
 def match_quotes(quotes: DataFrame, pages: DataFrame, k: int = 4) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import effective_parents, is_process
+from strandline.operators.graph import effective_children, effective_parents, is_process, typed_links
 from strandline.plans import cut, fixpoint
 from strandline.vocab import HARD_RELS, SOFT_RELS
 
@@ -42,8 +42,9 @@ class Staleness:
         """`also_stale` (node_id) are artifacts known to be stale for reasons outside these tables."""
         self.nodes, self.edges, self.also_stale = nodes, edges, also_stale
         self.moved, _ = cut(outdated_inputs(nodes, recorded), "moved")
+        self.typed, _ = cut(typed_links(nodes, edges), "links")
         # only artifacts with a moved input need their full set of parents
-        self.parents = effective_parents(nodes, edges, self.moved)
+        self.parents = effective_parents(nodes, edges, self.moved, self.typed)
         self._links = None
         self._nodes = None
 
@@ -86,18 +87,12 @@ class Staleness:
         A stale input reaches data behind any number of processes, while the processes themselves
         are only flagged next to it. Carrying marks keeps the work at one visit per link.
         """
-        kinds = self.nodes.select(*NODE, is_process("type").alias("process"))
-        src = kinds.select("project_id", F.col("node_id").alias("source"), F.col("process").alias("from_process"))
-        dst = kinds.select("project_id", F.col("node_id").alias("target"), F.col("process").alias("to_process"))
-        arcs, _ = cut(self.edges.where(~F.col("rel").isin(SOFT_RELS)).select("project_id", "source", "target", "rel")
-                      .distinct().join(src, ["project_id", "source"]).join(dst, ["project_id", "target"])
-                      .select("project_id", F.col("source").alias("node_id"), "target", "from_process", "to_process",
-                              (F.col("rel") == "part_of").alias("placed")), "arcs")
+        arcs = self.typed.withColumnRenamed("source", "node_id")
+        process = self.nodes.where(is_process("type")).select("project_id", F.col("node_id").alias("target"))
         links = self.stale_links()
         seed = self.direct().select(*NODE).unionByName(
             links.where("rel = 'part_of'").select("project_id", F.col("target").alias("node_id"))).unionByName(
-            links.where("rel <> 'part_of'").join(kinds.where("process").select(
-                "project_id", F.col("node_id").alias("target")), ["project_id", "target"], "left_semi")
+            links.where("rel <> 'part_of'").join(process, ["project_id", "target"], "left_semi")
             .select("project_id", F.col("target").alias("node_id")))
         if self.also_stale is not None:
             seed = seed.unionByName(self.also_stale.select(*NODE))
@@ -106,10 +101,10 @@ class Staleness:
             stale = F.col("mark") == "stale"
             data_source = stale & ~F.col("from_process")
             passes = data_source | ((F.col("mark") == "carries") & F.col("from_process"))
-            now_stale = ((~F.col("placed") & ~F.col("to_process") & passes)
-                         | (F.col("placed") & ~F.col("to_process") & stale)
+            now_stale = ((F.col("hard") & ~F.col("to_process") & passes)
+                         | (~F.col("hard") & ~F.col("to_process") & stale)
                          | (F.col("to_process") & data_source))
-            now_carries = ~F.col("placed") & F.col("to_process") & passes
+            now_carries = F.col("hard") & F.col("to_process") & passes
             marks = F.array_compact(F.array(F.when(now_stale, F.lit("stale")), F.when(now_carries, F.lit("carries"))))
             return frontier.join(arcs, NODE).select("project_id", F.col("target").alias("node_id"),
                                                     F.explode(marks).alias("mark"))
@@ -131,7 +126,8 @@ class Staleness:
         stale = self.stale_nodes().join(kinds, NODE)
         moved = self.direct().select(*NODE, F.lit("input_moved").alias("kind"), F.col("parent_id").alias("src"),
                                      F.col("recorded").cast("int").alias("from_v"), F.col("now").cast("int").alias("to_v"))
-        behind = self._data_fed_by(stale.where("NOT process").select(*NODE))
+        sources = stale.where("NOT process").select("project_id", F.col("node_id").alias("src"))
+        behind = effective_children(self.typed, sources, "src")
         upstream = (behind.join(self.direct().select(*NODE, F.col("parent_id").alias("src")), [*NODE, "src"], "left_anti")
                     .select(*NODE, F.lit("upstream_stale").alias("kind"), "src", nothing.alias("from_v"),
                             nothing.alias("to_v")))
@@ -159,22 +155,6 @@ class Staleness:
             out = out.unionByName(part)
         return out.distinct()
 
-    def _data_fed_by(self, sources: DataFrame) -> DataFrame:
-        """(node_id, src): data artifacts that have one of `sources` as an effective parent."""
-        hard, _ = cut(self.edges.where(F.col("rel").isin(HARD_RELS)).select("project_id", "source", "target").distinct()
-                      .join(self.nodes.select("project_id", F.col("node_id").alias("target"),
-                                              is_process("type").alias("process")), ["project_id", "target"]), "hard")
-        start = (sources.withColumnRenamed("node_id", "source").join(hard, ["project_id", "source"])
-                 .select("project_id", F.col("source").alias("src"), F.col("target").alias("node_id"), "process"))
-
-        def step(frontier: DataFrame) -> DataFrame:
-            ends = frontier.where("process").select("project_id", "src", F.col("node_id").alias("source"))
-            return ends.join(hard, ["project_id", "source"]).select(
-                "project_id", "src", F.col("target").alias("node_id"), "process")
-
-        pairs = fixpoint(start, step, ["project_id", "src", "node_id"], name="fed")
-        return pairs.where("NOT process").select(*NODE, "src")
-
 
 def node_state(nodes: DataFrame, stale: DataFrame, disk: DataFrame) -> DataFrame:
     """One state per artifact: missing before stale before modified before ok."""

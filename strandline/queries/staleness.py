@@ -14,8 +14,7 @@ query, QUERIES, SQL = R.query, R.queries, R.sql
 
 
 def stored(fx):
-    """Nodes, links and recorded parents as stored tables, the way a catalog keeps them."""
-    return cut(fx.nodes(), "nodes")[0], cut(fx.edges(), "edges")[0], cut(fx.version_parents(), "recorded")[0]
+    return fx.nodes(), fx.edges(), fx.version_parents()
 
 
 def evaluate(fx) -> Staleness:
