@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.plans import spread, with_previous
+
 PROJECT = "p0"
 
 
@@ -21,9 +23,13 @@ def _case(cond: str) -> str:
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._opened:
+            scan = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            self._opened[name] = spread(scan) if name in ("documents", "conversations") else scan
+        return self._opened[name]
 
     # ------------------------------------------------------------ network
     def _nodes_of(self, rows: DataFrame, prefix: str, key: str, kind: str, step: str, label: str, version: str,
@@ -188,7 +194,6 @@ class Fixtures:
     # ---------------------------------------------------------- trees
     def branches(self) -> DataFrame:
         """Each order is an alternative of the same customer's order before it."""
-        from strandline.plans import with_previous
         orders = self.table("orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
         chained = with_previous(orders, ["o_custkey"], F.date_trunc("quarter", "o_orderdate"),
                                 [F.col("o_orderdate"), F.col("o_orderkey")], F.col("o_orderkey"), "before")

@@ -5,6 +5,8 @@ Tables carry `project_id`; `nodes` has node_id and type, `edges` has edge_id, so
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,40 +212,35 @@ def removal_plan(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     Per seed only neighbours of gone artifacts are counted, against their full neighbour count.
     """
     key = ["project_id", "node_id"]
+    gone_key = ["project_id", "seed", "node_id"]
     there = edges.select("project_id", F.col("source").alias("node_id"), F.col("target").alias("next"),
                          F.lit(1).alias("into"))
     back = edges.select("project_id", F.col("target").alias("node_id"), F.col("source").alias("next"),
                         F.lit(0).alias("into"))
     around, _ = cut(there.unionByName(back).groupBy(*key, "next").agg(F.max("into").alias("into")), "around")
+    # what can follow at all has an incoming link; its number of neighbours is compared with those gone
     degree, _ = cut(around.groupBy("project_id", F.col("next").alias("node_id"))
-                    .agg(F.count(F.lit(1)).alias("degree")), "degree")
-    gone_key = ["project_id", "seed", "node_id"]
-    parts = []
+                    .agg(F.count(F.lit(1)).alias("degree"), F.max("into").alias("fed")).where("fed = 1").drop("fed"), "degree")
     fresh, seen = cut(seeds.select("project_id", "seed", "node_id", F.lit(0).alias("wave")).distinct(), "gone")
-    counts = None
-    wave = 0
+    parts, counts, wave = [], None, 0
     while seen["rows"]:
         parts.append(fresh)
         wave += 1
         hits = (fresh.join(around, key).groupBy("project_id", "seed", F.col("next").alias("node_id"))
                 .agg(F.count(F.lit(1)).alias("lost"), F.max("into").alias("into")))
         if counts is not None:
-            hits = hits.unionByName(counts).groupBy(*gone_key).agg(F.sum("lost").alias("lost"),
-                                                                    F.max("into").alias("into"))
-        gone = parts[0]
-        for part in parts[1:]:
-            gone = gone.unionByName(part)
-        state = (hits.join(gone.select(*gone_key), gone_key, "left_anti").join(degree, key)
-                 .withColumn("falls", (F.col("lost") == F.col("degree")) & (F.col("into") == 1)))
-        state, seen = cut(state, "waves", counts={"falls": F.col("falls")})
-        counts = state.where("NOT falls").select(*gone_key, "lost", "into")
-        fresh = state.where("falls").select(*gone_key, F.lit(wave).alias("wave"))
-        if seen["falls"] == 0:
+            hits = hits.unionByName(counts).groupBy(*gone_key).agg(F.sum("lost").alias("lost"), F.max("into").alias("into"))
+        gone = reduce(DataFrame.unionByName, parts)
+        state = (hits.join(degree, key).join(gone.select(*gone_key), gone_key, "left_anti")
+                 .withColumn("falls", (F.col("lost") == F.col("degree")) & (F.col("into") == 1)).drop("degree"))
+        state, counted = cut(state, "waves", counts={"falls": F.col("falls")})
+        if counted["falls"] == 0:
             break
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        # only what-ifs that still grow go on
+        fresh = state.where("falls").select(*gone_key, F.lit(wave).alias("wave"))
+        growing, _ = cut(fresh.select("project_id", "seed").distinct(), "growing")
+        counts = state.where("NOT falls").join(growing, ["project_id", "seed"], "left_semi").select(*gone_key, "lost", "into")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def removal_effects(edges: DataFrame, plan: DataFrame) -> dict[str, DataFrame]:

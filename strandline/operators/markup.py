@@ -154,54 +154,51 @@ def quote_pairs(quotes: DataFrame, pages: DataFrame, k: int = 4) -> DataFrame:
     lengths = sorted(r["k"] for r in asked.select("k").distinct().collect())  # at most k + 1 values
     inner, parts = [n for n in lengths if n > 0], []
     if inner:
-        offered = reduce(DataFrame.unionByName, [asked.where(F.col("k") == n).select(
-            "quote_id", F.explode(F.array_distinct(_grams(F.col("inner"), n))).alias("gram")) for n in inner])
-        grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("words"), n) for n in inner])))
-        found, _ = cut(worded.select(*page, F.explode(grams).alias("gram"))
-                       .join(offered.select("gram").distinct(), "gram", "left_semi"), "grams")
-        parts.append(_by_rarest(offered, found))
+        # stored first, so that its size decides how the far larger page side is joined
+        offered, _ = cut(reduce(DataFrame.unionByName, [asked.where(F.col("k") == n).select(
+            "quote_id", F.explode(F.array_distinct(_grams(F.col("inner"), n))).alias("gram")) for n in inner]), "offered")
+        wanted, _ = cut(offered.select("gram").distinct(), "wanted")
+        grams = F.flatten(F.array(*[_grams(F.col("words"), n) for n in inner]))
+        found, _ = cut(worded.select(*page, F.explode(grams).alias("gram")).join(wanted, "gram", "left_semi").distinct(), "grams")
+        on_pages = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        # of the word runs of a quote, the one on the fewest pages leads to the candidates
+        rarest = (offered.join(on_pages, "gram", "left").groupBy("quote_id")
+                  .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
+                  .where("a.n > 0").select("quote_id", F.col("a.gram").alias("gram")))
+        pairs = found.join(rarest, "gram").select("quote_id", *page)
+        parts.append(pairs.join(asked.select("quote_id", "quote"), "quote_id").join(known, page)
+                     .where(F.contains("page", F.col("quote"))).select("quote_id", *page))
     if 0 in lengths:
-        postings, _ = cut(worded.select(*page, F.explode(F.array_distinct("words")).alias("word")), "postings")
-        parts.append(_by_rarest(_words_around(asked.where("k = 0"), postings.select("word").distinct()), postings, "word"))
-    pairs = reduce(DataFrame.unionByName, parts).distinct()
-    return (pairs.join(asked.select("quote_id", "quote"), "quote_id").join(known, page)
-            .where(F.contains("page", F.col("quote"))).select("quote_id", *page))
+        parts.append(_short_quotes(asked.where("k = 0"), worded, page))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _by_rarest(offered: DataFrame, found: DataFrame, token: str = "gram") -> DataFrame:
-    """Candidate pages of each quote through its key on the fewest pages.
+def _short_quotes(short: DataFrame, worded: DataFrame, page: list[str]) -> DataFrame:
+    """Pages with a quote of one or two words, found through the vocabulary of all pages.
 
-    `offered` lists keys per quote; keys with the same `side` (if any) belong together, as any of them may occur.
-    """
-    side = ["side"] if "side" in offered.columns else []
-    on_pages = found.groupBy(token).agg(F.count(F.lit(1)).alias("n"))
-    cost = offered.join(on_pages, token, "left").groupBy("quote_id", *(side or [token])).agg(
-        F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    name = side[0] if side else token
-    best = (cost.groupBy("quote_id").agg(F.min(F.struct("n", name)).alias("a")).where("a.n > 0")
-            .select("quote_id", F.col(f"a.{name}").alias(name)))
-    keys = offered.join(best, ["quote_id", name]).select("quote_id", token)
-    return found.join(keys, token).select("quote_id", "doc", "page_no")
-
-
-def _words_around(short: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(quote_id, side, word): words of the pages that a quote of one or two words can lie in.
-
-    The first of two words ends a word, the second begins one; either side will do. One word may lie anywhere.
+    One word lies inside some word of the page. Of two, the first ends a word and the second begins the next one.
     """
+    vocabulary, _ = cut(worded.select(F.explode(F.array_distinct("words")).alias("word")).distinct(), "vocabulary")
     upto = F.sequence(F.lit(1), F.length("word"))
     first, last = F.col("words")[0], F.col("words")[F.size("words") - 1]
-    two = short.where("size(words) = 2")
-    ends = vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.substr("word", i)))).join(
-        two.select("quote_id", first.alias("key")), "key").select("quote_id", F.lit("end").alias("side"), "word")
-    begins = vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.left("word", i)))).join(
-        two.select("quote_id", last.alias("key")), "key").select("quote_id", F.lit("begin").alias("side"), "word")
     runs = F.array_distinct(F.flatten(F.transform(upto, lambda i: F.transform(
         F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr("word", i, n)))))
     one = short.where("size(words) = 1").select("quote_id", F.left(first, F.lit(3)).alias("key"), first.alias("part"))
-    inside = vocabulary.withColumn("key", F.explode(runs)).join(one, "key").where(
-        F.contains("word", F.col("part"))).select("quote_id", F.lit("in").alias("side"), "word")
-    return ends.unionByName(begins).unionByName(inside).distinct()
+    inside, _ = cut(vocabulary.withColumn("key", F.explode(runs)).join(one, "key").where(
+        F.contains("word", F.col("part"))).select("quote_id", "word").distinct(), "inside")
+    single = worded.select(*page, F.explode(F.array_distinct("words")).alias("word")).join(inside, "word").select("quote_id", *page)
+    two = short.where("size(words) = 2")
+    ends, _ = cut(vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.substr("word", i)))).join(
+        two.select("quote_id", first.alias("key")), "key").select("quote_id", F.col("word").alias("a")), "ends")
+    begins, _ = cut(vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.left("word", i)))).join(
+        two.select("quote_id", last.alias("key")), "key").select("quote_id", F.col("word").alias("b")), "begins")
+    n = F.greatest(F.size("words") - 1, F.lit(0))
+    neighbours = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    near = worded.select(*page, F.inline(neighbours))
+    for side, name in ((ends, "a"), (begins, "b")):
+        near = near.join(cut(side.select(name).distinct(), "side")[0], name, "left_semi")
+    double = near.join(ends, "a").join(begins, ["quote_id", "b"]).select("quote_id", *page)
+    return single.unionByName(double).distinct()
 
 
 def match_quotes(quotes: DataFrame, pages: DataFrame, k: int = 4) -> DataFrame:

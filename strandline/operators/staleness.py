@@ -40,11 +40,14 @@ class Staleness:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, recorded: DataFrame, also_stale: DataFrame | None = None):
         """`also_stale` (node_id) are artifacts known to be stale for reasons outside these tables."""
-        self.nodes, self.edges, self.also_stale = nodes, edges, also_stale
-        self.moved, _ = cut(outdated_inputs(nodes, recorded), "moved")
-        self.typed, _ = cut(typed_links(nodes, edges), "links")
+        self.edges, self.also_stale = edges, also_stale
+        # the few columns the rules need
+        self.nodes, _ = cut(nodes.select(*NODE, "type", F.col("current_version").cast("int").alias("current_version"),
+                                         F.col("final_version").cast("int").alias("final_version")), "nodes")
+        self.moved, _ = cut(outdated_inputs(self.nodes, recorded), "moved")
+        self.typed, _ = cut(typed_links(self.nodes, edges), "links")
         # only artifacts with a moved input need their full set of parents
-        self.parents = effective_parents(nodes, edges, self.moved, self.typed)
+        self.parents = effective_parents(self.nodes, edges, self.moved, self.typed)
         self._links = None
         self._nodes = None
 

@@ -1,6 +1,6 @@
 from strandline.plans.fixpoint import fixpoint
-from strandline.plans.materialize import checkpoint_root, cut
+from strandline.plans.materialize import checkpoint_root, cut, spread
 from strandline.plans.ordered import number_free, running_sum, with_previous
 from strandline.plans.saturate import saturate
 
-__all__ = ["checkpoint_root", "cut", "fixpoint", "number_free", "running_sum", "saturate", "with_previous"]
+__all__ = ["checkpoint_root", "cut", "fixpoint", "number_free", "running_sum", "saturate", "spread", "with_previous"]

@@ -36,3 +36,12 @@ def cut(df: DataFrame, name: str = "cut", path: str | None = None, counts: dict
     marks = [F.count_if(cond).alias(key) for key, cond in (counts or {}).items()]
     df.observe(seen, F.count(F.lit(1)).alias("rows"), *marks).write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out over all cores when it has fewer splits than the cluster has cores.
+
+    For heavy per-row work on a table of few files; a large table has more splits than cores and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() <= cores else scan
