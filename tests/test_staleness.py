@@ -37,7 +37,7 @@ def test_unknown_recorded_version_is_not_stale(rows):
     assert as_set(Staleness(n, e, r).stale_nodes(), "node_id") == set()
 
 
-@pytest.mark.parametrize("seed", range(11, 16))
+@pytest.mark.parametrize("seed", [11, 12])
 def test_matches_the_model_on_random_networks(rows, seed):
     nodes, edges, rnd = network(seed, 16, 34)
     placed = {e: rnd.choice([None, 1, 2]) for e in edges if e[2] == "part_of"}
