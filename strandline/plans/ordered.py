@@ -54,7 +54,7 @@ def number_free(df: DataFrame, keys: list[str], slice_by: Column, order: list[Co
     below, so both are put on one line and counted.
     """
     counted = running_sum(df, keys, slice_by, order, F.lit(1), "_i")
-    block = 1000
+    block = 100_000
     used = running_sum(taken.select(*keys, F.col("n").cast("long").alias("n")).where("n > 0").distinct(), keys,
                        F.floor(F.col("n") / block), [F.col("n")], F.lit(1), "_rank")
     line = (counted.select(*keys, (2 * F.col("_i")).alias("_at"), F.lit(0).alias("_taken"))

@@ -47,7 +47,7 @@ def load_batch(batch: dict[str, DataFrame], catalog: dict[str, DataFrame], root:
     if findings.where(F.col("severity") == validate.ERROR).limit(1).count():
         return findings, None
     nodes = batch["nodes"]
-    ids = validate.next_ids(nodes, catalog["nodes"], F.expr("seq div 1000"))
+    ids = validate.next_ids(nodes, catalog["nodes"], F.expr("seq div 100000"))
     by_key = ids.select("project_id", "batch_id", "key", F.col("node_id").alias("_id"))
 
     def resolved(df: DataFrame, column: str) -> DataFrame:

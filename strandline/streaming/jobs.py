@@ -18,7 +18,7 @@ from strandline.operators.graph import effective_parents
 from strandline.operators.monitor import new_files
 from strandline.operators.staleness import Staleness
 from strandline.operators.versions import assign_versions
-from strandline.plans import cut, fixpoint
+from strandline.plans import cut, fixpoint, with_previous
 from strandline.vocab import SOFT_RELS
 
 P = "project_id"
@@ -37,23 +37,27 @@ def growth_stream(marks: DataFrame) -> DataFrame:
     return marks.groupBy(P, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def state_changes(states: DataFrame) -> DataFrame:
-    """(node_id, ts, state) whenever a node's state differs from the one last reported; a first `ok` is silent.
+def state_change_batch(path: str, slice_by: Column) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: write (node_id, ts, seq, state) whenever a node's state differs from the one last reported.
 
-    `states` has project_id, node_id, ts and state, in order of arrival per micro-batch of one round.
+    A first `ok` is silent. Rounds arrive in order; inside a batch, ts and seq give the order, however many rows a
+    node has.
     """
-    def changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        # a round reports a node once; several rounds in a batch are put in order
-        rows = pd.concat(list(frames)).sort_values("ts")
-        before = rows["state"].shift(fill_value=last if last is not None else "ok")
-        out = rows[rows["state"] != before]
-        state.update((rows["state"].iloc[-1],))
-        yield pd.DataFrame({P: key[0], "node_id": key[1], "ts": out["ts"], "state": out["state"]})
-
-    return states.groupBy(*NODE).applyInPandasWithState(
-        changed, "project_id string, node_id string, ts timestamp, state string", "state string", "append",
-        GroupStateTimeout.NoTimeout)
+    schema = "project_id STRING, node_id STRING, ts TIMESTAMP, seq BIGINT, state STRING"
+
+    def run(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*NODE, "ts", "seq", "state")
+        # what was reported last, as a row before the batch; it is never reported again itself
+        done = _read_parts(spark, path, schema, n).join(rows.select(*NODE).distinct(), NODE, "left_semi")
+        last = done.groupBy(*NODE).agg(F.max_by("state", F.struct("ts", "seq")).alias("last"))
+        order = [F.col("ts"), F.col("seq")]
+        known = with_previous(rows, NODE, slice_by, order, F.col("state"), "_before").join(last, NODE, "left")
+        before = F.coalesce("_before.value", "last", F.lit("ok"))
+        fresh = known.where(F.col("state") != before).select(*NODE, "ts", "seq", "state")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return run
 
 
 def heartbeat_timeouts(beats: DataFrame, seconds: int = 60, delay: str = "0 seconds") -> DataFrame:
