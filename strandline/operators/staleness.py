@@ -6,6 +6,8 @@ A missing number (null) says nothing about staleness.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,20 @@ class Staleness:
         # the few columns the rules need
         self.nodes, _ = cut(nodes.select(*NODE, "type", F.col("current_version").cast("int").alias("current_version"),
                                          F.col("final_version").cast("int").alias("final_version")), "nodes")
-        self.moved, _ = cut(outdated_inputs(self.nodes, recorded), "moved")
-        self.typed, _ = cut(typed_links(self.nodes, edges), "links")
-        # only artifacts with a moved input need their full set of parents
-        self.parents = effective_parents(self.nodes, edges, self.moved, self.typed)
-        self._links = None
-        self._nodes = None
+        self.recorded = recorded
+
+    @cached_property
+    def moved(self) -> DataFrame:
+        return cut(outdated_inputs(self.nodes, self.recorded), "moved")[0]
+
+    @cached_property
+    def typed(self) -> DataFrame:
+        return cut(typed_links(self.nodes, self.edges), "links")[0]
+
+    @cached_property
+    def parents(self) -> DataFrame:
+        """Effective parents of the artifacts with a moved input: no others are needed."""
+        return effective_parents(self.nodes, self.edges, self.moved, self.typed)
 
     def stale_placements(self) -> DataFrame:
         """Placed components whose final (else current) version is another one by now."""
@@ -61,22 +71,24 @@ class Staleness:
                 .select(*LINK, "source", "target", "rel", F.col("placed_version").alias("from_v"),
                         F.col("wanted").alias("to_v")))
 
+    @cached_property
+    def _stale_links(self) -> DataFrame:
+        moved = self.moved.select("project_id", "node_id", F.col("parent_id").alias("source"),
+                                  F.col("recorded").alias("from_v"), F.col("now").alias("to_v"))
+        data = self.nodes.where(~is_process("type")).select(*NODE)
+        into_data = moved.join(data, NODE, "left_semi").withColumnRenamed("node_id", "target")
+        into_process = (moved.join(self.parents.where("process").select(
+            *NODE, F.col("parent_id").alias("target")), NODE).drop("node_id"))
+        pairs = into_data.unionByName(into_process).groupBy("project_id", "source", "target").agg(
+            F.max("from_v").alias("from_v"), F.max("to_v").alias("to_v"))
+        hard = self.edges.where(F.col("rel").isin(HARD_RELS)).select(*LINK, "source", "target", "rel")
+        stale = hard.join(pairs, ["project_id", "source", "target"]).select(
+            *LINK, "source", "target", "rel", "from_v", "to_v")
+        return cut(stale.unionByName(self.stale_placements()), "stale-links")[0]
+
     def stale_links(self) -> DataFrame:
         """Stale links: the target, or something the target process made, was built from an older source."""
-        if self._links is None:
-            moved = self.moved.select("project_id", "node_id", F.col("parent_id").alias("source"),
-                                      F.col("recorded").alias("from_v"), F.col("now").alias("to_v"))
-            data = self.nodes.where(~is_process("type")).select(*NODE)
-            into_data = moved.join(data, NODE, "left_semi").withColumnRenamed("node_id", "target")
-            into_process = (moved.join(self.parents.where("process").select(
-                *NODE, F.col("parent_id").alias("target")), NODE).drop("node_id"))
-            pairs = into_data.unionByName(into_process).groupBy("project_id", "source", "target").agg(
-                F.max("from_v").alias("from_v"), F.max("to_v").alias("to_v"))
-            hard = self.edges.where(F.col("rel").isin(HARD_RELS)).select(*LINK, "source", "target", "rel")
-            stale = hard.join(pairs, ["project_id", "source", "target"]).select(
-                *LINK, "source", "target", "rel", "from_v", "to_v")
-            self._links, _ = cut(stale.unionByName(self.stale_placements()), "stale-links")
-        return self._links
+        return self._stale_links
 
     def direct(self) -> DataFrame:
         """Data artifacts with an effective parent that moved on: (node_id, parent_id, recorded, now)."""
@@ -114,10 +126,13 @@ class Staleness:
 
         return fixpoint(seed.withColumn("mark", F.lit("stale")), step, [*NODE, "mark"], max_rounds=10_000, name="stale")
 
+    @cached_property
+    def _stale_nodes(self) -> DataFrame:
+        return self._marks().where("mark = 'stale'").select(*NODE)
+
     def stale_nodes(self) -> DataFrame:
-        if self._nodes is None:
-            self._nodes = self._marks().where("mark = 'stale'").select(*NODE)
-        return self._nodes
+        """(node_id) of everything out of date."""
+        return self._stale_nodes
 
     def reasons(self) -> DataFrame:
         """One row per artifact and cause: (node_id, kind, src, from_v, to_v).
