@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.graph import branch_family, is_process
-from strandline.plans import running_sum, with_previous
+from strandline.plans import number_changes
 from strandline.vocab import MAX_SNAPSHOT_BYTES, PARAM_RELS, SOFT_RELS
 
 NODE = ["project_id", "node_id"]
@@ -18,10 +18,7 @@ def assign_versions(snapshots: DataFrame, slice_by: Column) -> DataFrame:
     Content that returns after another one is a new version. `slice_by` is a period of ts: an artifact
     with most of the snapshots is spread over its periods instead of meeting in one task.
     """
-    order = [F.col("ts"), F.col("seq")]
-    known = with_previous(snapshots, NODE, slice_by, order, F.col("hash"), "_before")
-    changed = known.where("_before IS NULL OR NOT (_before.value <=> hash)").drop("_before")
-    numbered = running_sum(changed, NODE, slice_by, order, F.lit(1), "v")
+    numbered = number_changes(snapshots, NODE, slice_by, [F.col("ts"), F.col("seq")], F.col("hash"), "v")
     return numbered.withColumn("v", F.col("v").cast("int"))
 
 
@@ -185,9 +182,8 @@ def backfill_versions(history: DataFrame, current: DataFrame, slice_by: Column)
     both = history.withColumn("_last", F.lit(0)).unionByName(current.withColumn("_last", F.lit(1)))
     order = [F.col("_last"), F.col("seq")]
     by = F.struct(F.col("_last"), slice_by.alias("slice"))
-    known = with_previous(both, NODE, by, order, F.col("hash"), "_before")
-    changed = known.where("_before IS NULL OR NOT (_before.value <=> hash)").drop("_before")
-    return running_sum(changed, NODE, by, order, F.lit(1), "v").drop("_last").withColumn("v", F.col("v").cast("int"))
+    numbered = number_changes(both, NODE, by, order, F.col("hash"), "v")
+    return numbered.drop("_last").withColumn("v", F.col("v").cast("int"))
 
 
 def cosmetic_parents(versions: DataFrame, parents: DataFrame) -> DataFrame:

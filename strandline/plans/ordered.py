@@ -65,3 +65,27 @@ def number_free(df: DataFrame, keys: list[str], slice_by: Column, order: list[Co
     skips = passed.where("_taken = 0").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_at"), "_skip")
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [2 * F.col("_i") == F.col("_at")]
     return counted.join(skips, same).withColumn(out, F.col("_i") + F.col("_skip")).select(*df.columns, out)
+
+
+def number_changes(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], value: Column,
+                   out: str) -> DataFrame:
+    """The rows whose value differs from that of the row before in their key, numbered 1, 2, 3, ... as `out`.
+
+    Rows are shuffled once, by key and slice; a slice adds its first and last value and its number of changes to
+    the order of slices. Keys and slices must not be null.
+    """
+    sliced = df.withColumn("_slice", slice_by).withColumn("_value", F.struct(value.alias("value")))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    marked = sliced.withColumn("_prev", F.lag("_value").over(inside)).withColumn("_first", F.col("_prev").isNull())
+    marked = marked.withColumn("_moved", ~F.col("_first") & ~F.col("_prev").eqNullSafe(F.col("_value"))).withColumn(
+        "_n", F.sum(F.col("_moved").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    per_slice = marked.groupBy(*keys, "_slice").agg(
+        F.min_by("_value", rank).alias("_head"), F.max_by("_value", rank).alias("_tail"), F.max("_n").alias("_moves"))
+    by_slice = Window.partitionBy(*keys).orderBy("_slice")
+    before = F.lag("_tail").over(by_slice)
+    opened = per_slice.withColumn("_opens", (before.isNull() | ~before.eqNullSafe(F.col("_head"))).cast("long"))
+    so_far = F.sum(F.col("_moves") + F.col("_opens")).over(by_slice.rowsBetween(Window.unboundedPreceding, -1))
+    carry = opened.select(*keys, "_slice", "_opens", F.coalesce(so_far, F.lit(0)).alias("_before"))
+    kept = marked.join(carry, [*keys, "_slice"]).where("_moved OR (_first AND _opens = 1)")
+    return kept.withColumn(out, F.col("_before") + F.col("_opens") + F.col("_n")).select(*df.columns, out)

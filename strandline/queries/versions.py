@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from strandline.fixtures import with_tables
 from strandline.operators import versions as ops
+from strandline.plans import cut
 from strandline.queries.register import Registry
 
 R = Registry()
@@ -50,7 +51,7 @@ SELECT node_id, CAST(v AS INT) AS v, kind, subject, key, before, after FROM (
 ) c JOIN (SELECT node_id AS nid, max(v) AS last FROM fx_version GROUP BY 1) m ON nid = node_id
 WHERE v > 1 AND v <= last""", _CHANGES))
 def version_changes(fx):
-    versions = saved(fx)
+    versions, _ = cut(saved(fx), "versions")  # a stored table, read by each kind of change
     at = ["project_id", "node_id", "v"]
     parents = versions.select(*at, F.explode(F.array(F.col("hash"), F.lit("base"))).alias("parent_id"),
                               F.col("parent_version").alias("version"))

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    builder = (SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "4")
+    builder = (SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "2")
                .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
                .config("spark.sql.session.timeZone", "UTC"))
     session = builder.getOrCreate()
