@@ -45,10 +45,13 @@ def new_files(files: DataFrame, seen: DataFrame) -> DataFrame:
             .withColumn("changed_since_seen", F.col("_seen").isNotNull()).drop("_size", "_mtime", "_seen"))
 
 
-@F.pandas_udf(T.DoubleType())
-def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp ratio of two names."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def name_similarity(a: str, b: str) -> Column:
+    """Ratcliff/Obershelp ratio of two names (columns)."""
+    # defined here, so that workers get the function itself and need not find this package
+    def ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)], dtype="float64")
+
+    return F.pandas_udf(ratios, T.DoubleType())(a, b)
 
 
 def _rare_letters(name: Column, share: float) -> Column:
