@@ -34,7 +34,9 @@ def hidden_analyses(fx):
 SELECT node_id, 'hidden' AS reason FROM by_hand
 UNION ALL SELECT node_id, 'part of hidden analysis ' || key FROM by_analysis
 UNION ALL SELECT node_id, 'only used by hidden items' FROM pl
-UNION ALL SELECT node_id, 'only used by hidden items' FROM src""", _HIDDEN + """,
+UNION ALL SELECT node_id, 'only used by hidden items' FROM src
+UNION ALL SELECT node_id, 'only used by hidden items' FROM nat
+UNION ALL SELECT node_id, 'only used by hidden items' FROM reg""", _HIDDEN + """,
 by_hand AS (SELECT 'T' || o_custkey AS node_id FROM (SELECT DISTINCT o_custkey FROM orders) JOIN customer ON c_custkey = o_custkey
             WHERE c_mktsegment = 'BUILDING'
             UNION SELECT 'O' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'),
@@ -42,7 +44,11 @@ listing AS (SELECT 'C' || regexp_extract(key, 'c([0-9]+)$', 1) AS node_id, key F
 by_analysis AS (SELECT node_id, key FROM listing WHERE key IN (SELECT key FROM hid)),
 pl AS (SELECT 'PL' || o_orderkey AS node_id FROM orders WHERE 'O' || o_orderkey IN (SELECT node_id FROM by_hand)),
 src AS (SELECT source AS node_id FROM fx_edge WHERE rel = 'feeds' AND source NOT LIKE 'C%' GROUP BY source
-        HAVING bool_and(target IN (SELECT node_id FROM pl)))""", True))
+        HAVING bool_and(target IN (SELECT node_id FROM pl))),
+nat AS (SELECT source AS node_id FROM fx_edge WHERE rel = 'derives' AND source LIKE 'N%' GROUP BY source
+        HAVING bool_and(target IN (SELECT node_id FROM by_analysis UNION SELECT node_id FROM src))),
+reg AS (SELECT source AS node_id FROM fx_edge WHERE rel = 'derives' AND source LIKE 'R%' GROUP BY source
+        HAVING bool_and(target IN (SELECT node_id FROM nat)))""", True))
 def hidden_nodes(fx):
     """Customers of hidden analyses, and everything made for the building trade, which is hidden by hand."""
     trade = fx.table("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
