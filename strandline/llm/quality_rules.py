@@ -27,7 +27,7 @@ RULES = (
     ("few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "10 * n_symbols > 3 * n_words"),
-    ("capitals", "10 * n_upper > 4 * n_letters"),
+    ("capitals", "10 * n_upper > 4 * n_letters AND 2 * n_letters > word_chars"),
     ("exclamations", "10 * n_exclaims > 4 * n_words"),
     ("adjacent_repeats", "10 * n_adjacent > 3 * n_words"),
     ("repeated_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),

@@ -45,7 +45,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > 3 * n_words
-            OR 10 * n_upper > 4 * n_letters OR 10 * n_exclaims > 4 * n_words OR 10 * n_adjacent > 3 * n_words
+            OR (10 * n_upper > 4 * n_letters AND 2 * n_letters > word_chars) OR 10 * n_exclaims > 4 * n_words OR 10 * n_adjacent > 3 * n_words
             OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)) AS kept
 FROM base
 """)
