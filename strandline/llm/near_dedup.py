@@ -9,9 +9,9 @@ the union. The steps:
 3. Bands of ROWS compressed registers, each from another sketch, give the candidate buckets. Two sets of similarity s
    agree in a register with probability s at least (two empty buckets agree), so a pair at 0.8 is missed by all
    48 bands with probability (1 - 0.8^6)^48 < 1e-6. Sets of fewer than 4 shingles reach 0.8 only when they are equal.
-4. Inside a candidate bucket every member is paired with the smallest member, then, where members are still in
-   different components, with the largest, and last with all members of other components: a bucket of copies costs
-   its size, not its square, and no pair whose link could join two components is left out.
+4. Inside a candidate bucket every member is paired with the smallest member. Where members are still in different
+   components, all are compared with one center, and only pairs that share a rare difference from it (`_differences`)
+   go on: a bucket of copies costs its size, not its square, and no pair whose link could join two components is left out.
 5. A pair passes to verification if the Jaccard estimate of its registers, corrected for accidental collisions, is above
    0.8 less five standard deviations; it is linked if the full sets say so.
 6. Components by label propagation with pointer jumping.
@@ -198,34 +198,22 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
             .agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers")))
     reps, _ = cut(reps.drop("set_id"), "dup-classes")
     rows = band_rows(reps)
-    shared = rows.groupBy("band_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"),
-                                          F.max("doc_id").alias("last")).where("first < last")
-    buckets, _ = cut(rows.join(shared.drop("n"), "band_key"), "dup-buckets")
+    shared = rows.groupBy("band_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    buckets, _ = cut(rows.join(shared.drop("last"), "band_key"), "dup-buckets")
     involved = buckets.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts, _ = cut(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "dup-texts")
 
     def tested(pairs: DataFrame) -> DataFrame:
         likely, _ = cut(_estimate(pairs, reps), "dup-candidates")
-        links, _ = cut(_verify(likely, texts, n).distinct(), "dup-links")
-        return links
-
-    tried = buckets.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
-    links = tested(tried)
-    label = components(links)
-    # equal sets and links so far
-    placed, left = _open_buckets(buckets, label)
-    if left:
-        more = placed.where("comp <> last_comp").select(F.col("doc_id").alias("a"), F.col("last").alias("b")).distinct()
-        links = links.unionByName(tested(more))
-        label = components(links)
-        placed, left = _open_buckets(buckets, label)
+        return cut(_verify(likely, texts, n).distinct(), "dup-links")[0]
+
+    links = tested(buckets.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct())
+    placed, left = _open_buckets(buckets, components(links))
     if left:
-        one = placed.select("band_key", F.col("doc_id").alias("a"), F.col("comp").alias("c_a"))
-        two = placed.select("band_key", F.col("doc_id").alias("b"), F.col("comp").alias("c_b"))
-        across = (one.join(two, "band_key").where("c_a < c_b").select("a", "b").distinct()
-                  .join(tried, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti"))
-        links = links.unionByName(tested(across))
+        apart, _ = cut(_differences(placed, texts, n), "dup-differences")
+        links = links.unionByName(apart.where("linked").select("a", F.col("center").alias("b")).distinct())
+        links = links.unionByName(tested(_close_pairs(apart)))
     joined = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.unionByName(joined))
     out = sketched.select("doc_id", "n_shingles").join(final, "doc_id", "left")
@@ -234,15 +222,59 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
 
 
 def _open_buckets(buckets: DataFrame, label: DataFrame) -> tuple[DataFrame, int]:
-    """Members of the buckets that hold several components, with their component and that of the largest member."""
+    """a, comp, center: the members of the buckets that hold several components, with their component and the smallest
+    document of the component that has most members in the bucket."""
     member = (buckets.join(label, "doc_id", "left")
-              .select("band_key", "doc_id", "last", F.coalesce("component_id", "doc_id").alias("comp")))
-    mixed = (member.groupBy("band_key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                            F.max_by("comp", "doc_id").alias("last_comp")).where("low < high"))
-    table, seen = cut(member.join(mixed.select("band_key", "last_comp"), "band_key"), "dup-open")
+              .select("band_key", F.col("doc_id").alias("a"), F.coalesce("component_id", "doc_id").alias("comp")))
+    parts = member.groupBy("band_key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (parts.groupBy("band_key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                           F.max(F.struct("n", -F.col("comp"))).alias("top"))
+             .where("low < high").select("band_key", (-F.col("top.col2")).alias("center")))
+    table, seen = cut(member.join(mixed, "band_key").select("a", "comp", "center").distinct(), "dup-open")
     return table, seen["rows"]
 
 
+def _differences(placed: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """How each document differs from its center: n_a shingles, `apart` of them on one side only, `linked`, and the start
+    of the differing shingles in an order that all documents of a center share (added ones, missing ones, each by hash).
+
+    Two linked documents differ from each other in at most k = (n_a + n_b) / 9 shingles. Either both are linked with the
+    center, or they share t = (apart_a + apart_b - k) / 2 >= 1 of their differences, and then a shared one stands among
+    the first apart - t + 1 of either (prefix filter). That is at most n_a / 4 + 1, as n_b <= 1.25 n_a.
+    """
+    both = placed.join(texts.toDF("a", "t_a"), "a").join(texts.toDF("center", "t_c"), "center")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for piece in pieces(iter([batch]), "t_a"):
+                last, of_last, rows = None, None, []
+                for t_a, t_c in zip(piece.column("t_a").to_pylist(), piece.column("t_c").to_pylist(), strict=True):
+                    one = np.unique(shingles(hashes.of(t_a.encode().lower().split()), n))
+                    if t_c != last:
+                        last, of_last = t_c, np.unique(shingles(hashes.of(t_c.encode().lower().split()), n))
+                    apart = np.concatenate((np.setdiff1d(one, of_last, True), np.setdiff1d(of_last, one, True)))
+                    rows.append((len(one), len(apart), 9 * len(apart) <= len(one) + len(of_last),
+                                 apart[:len(one) // 4 + 1].view(np.int64)))
+                sizes, aparts, linked, first = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(c) for c in ("center", "a", "comp")] +
+                    [pa.array(sizes, pa.int64()), pa.array(aparts, pa.int64()), pa.array(linked, pa.bool_()),
+                     pa.array(first, pa.list_(pa.int64()))], ["center", "a", "comp", "n_a", "apart", "linked", "first"])
+
+    return both.select("center", "a", "comp", "t_a", "t_c").mapInArrow(
+        differ, "center long, a long, comp long, n_a long, apart long, linked boolean, first array<long>")
+
+
+def _close_pairs(apart: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components around one center that pass the prefix filter."""
+    one = apart.select("center", "a", "comp", "n_a", F.col("apart").alias("d_a"), F.posexplode("first").alias("p_a", "item"))
+    two = one.toDF("center", "b", "other", "n_b", "d_b", "p_b", "item")
+    near = F.expr("comp < other AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) "
+                  "AND 2 * p_a <= d_a - d_b + (n_a + n_b) div 9 AND 2 * p_b <= d_b - d_a + (n_a + n_b) div 9")
+    return one.join(two, ["center", "item"]).where(near).select("a", "b").distinct()
+
+
 def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
     """One row of `docs` for each group of near duplicates: that of the smallest doc_id; rows of a null doc_id stay."""
     kept = near_duplicates(docs, n).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
