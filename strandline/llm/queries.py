@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import near_dedup, quality_rules
+from strandline.llm import near_dedup, quality_rules, suffix_dedup
 from strandline.llm.text import table
 
 QUERIES: dict = {}
@@ -78,3 +78,11 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m US
 def op5_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents over 2-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query()
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    stripped = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return stripped.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                           F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
