@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
     reps, _ = cut(reps.drop("set_id"), "dup-classes")
     rows = band_rows(reps)
     shared = rows.groupBy("band_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    buckets, _ = cut(rows.join(shared.drop("last"), "band_key"), "dup-buckets")
+    shared, _ = cut(shared.drop("last"), "dup-shared")  # written, so that hot buckets of the join can be split
+    buckets, _ = cut(rows.join(shared, "band_key"), "dup-buckets")
     involved = buckets.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts, _ = cut(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "dup-texts")

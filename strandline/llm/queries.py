@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import near_dedup, quality_rules, suffix_dedup
+from strandline.llm import mixing, near_dedup, packing, quality_rules, suffix_dedup
 from strandline.llm.text import table
 
 QUERIES: dict = {}
@@ -86,3 +86,35 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return stripped.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
                            F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket and batch of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM d GROUP BY source),
+weighed AS (SELECT *, CASE (pos - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+ordered AS (SELECT *, row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, pos) AS k FROM weighed),
+sums AS (SELECT *, (SELECT sum(source_size) FROM s)
+           - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+           sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM ordered),
+filling AS (SELECT min(k) AS k FROM sums WHERE 3 * source_size * weights > rest * weight),
+targets AS (SELECT s.source, s.source_size, CASE WHEN f.k IS NULL OR s.k < f.k THEN CAST(3 * s.source_size AS DOUBLE)
+              ELSE CAST(o.rest * s.weight AS DOUBLE) / CAST(o.weights AS DOUBLE) END AS target
+            FROM sums s, filling f LEFT JOIN sums o ON o.k = f.k),
+placed AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('0:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), d.doc_id, d.size
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
+           FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (words // CAST(source_size AS BIGINT)) * size
+            + least(greatest(words % CAST(source_size AS BIGINT) - start, 0), size) END AS BIGINT) AS taken
+FROM placed
+""")
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes from every document."""
+    return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

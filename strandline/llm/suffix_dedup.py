@@ -353,7 +353,9 @@ def _counted_matches(contexts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, group_max: int = GROUP_MAX) -> DataFrame:
     """doc_id, text_key, start, end: byte ranges whose union is what repeats. `docs` has doc_id, text_key, text."""
     found = _anchors(docs)
-    known = found.groupBy("anchor_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor_hash")
+    # written first, so that the join below reads plain exchanges and hot anchors can be split
+    known, _ = cut(found.groupBy("anchor_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor_hash"),
+                   "passage-repeated")
     shared, _ = cut(found.join(known, "anchor_hash"), "passage-anchors")
     blocks = shared.groupBy("anchor_hash", "block_hash").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("one"))
