@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, near_dedup, packing, quality_rules, suffix_dedup
+from strandline.llm import chat_format, fingerprints, mixing, near_dedup, packing, quality_rules, suffix_dedup, warc
 from strandline.llm.text import table
+from strandline.plans.materialize import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,3 +119,56 @@ FROM placed
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes from every document."""
     return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(r"""
+WITH added AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+marked AS (SELECT *, role IS DISTINCT FROM lag(role) OVER w AS opens,
+             length(text) + length(regexp_replace(text, '[^\\<]', '', 'g')) AS n_text,
+             length(role) + length(regexp_replace(role, '[^\\<>]', '', 'g')) AS n_role
+           FROM added WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n_text + CASE WHEN opens THEN 7 + n_role + 8 ELSE 7 END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+""")
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted conversations say when they are read back."""
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(hard).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat_format.format_conversations(rows)
+    read = made.withColumn("turns", chat_format.read_turns(F.col("formatted"))).withColumn(
+        "loss", chat_format.learned_text(F.col("formatted"), F.col("loss_spans")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query()
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    found = fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("slots")).alias("fingerprint"),
+                        fingerprints.as_text(F.col("edited_slots")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+d AS (SELECT page_id, n, sha256(html) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN n < 100 OR d.page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n < 100 OR d.page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM d LEFT JOIN f ON d.digest = f.digest AND n >= 100
+""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as archives and read back."""
+    folder = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
