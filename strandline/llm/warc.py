@@ -4,11 +4,11 @@
    revisits that refer to it. The digest of a hot payload is pre-aggregated, and the join with it can be split.
 2. Every record becomes one gzip member with headers, block and payload digests made anew; dates and ids derive from the
    page, so the bytes depend on the pages alone.
-3. Records are sorted by page_id, digest and url. A running sum of the compressed sizes rolls the files: a record belongs to
-   the file that its first byte falls into, whatever the partitions are.
-4. Files are dealt out by ranges of their number. A task writes a file under a temporary name and renames it when it is
-   complete; a repeated task writes the same bytes. The manifest, written last through Spark's own commit, names the
-   files with their sizes and digests; readers read the files that it names and nothing else.
+3. Pages are dealt out by ranges of page_id that hold about GROUP_BYTES of payload, sorted by page_id, digest and url. Ranges
+   come from sums per 1,000 ids, so they depend on the pages alone, not on partitions.
+4. A task compresses the records of its range and rolls to a new file when the next record would pass ROLL_BYTES. It writes
+   under a temporary name and renames a file when it is complete; a repeated task writes the same bytes. The manifest,
+   written last through Spark's own commit, names the files with their sizes and digests; readers read nothing else.
 
 Null html is an empty payload, a null url leaves its header out, line breaks in urls are percent-encoded. A null page_id is
 never referred to unless all copies have none. Rows with equal page_id and payload have the same record type. The target
@@ -24,14 +24,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.text import pieces
 from strandline.plans import cut, running_sum
 
 REVISIT_BYTES = 100
-ROLL_BYTES = 16 << 20
+ROLL_BYTES = 16 << 20  # small, as a task reads whole files
+GROUP_BYTES = 64 << 20
+SLICE = 1000
+SLICES = 200_000  # slices of 16 bytes that may be broadcast
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,8 +72,8 @@ def _page_record(page_id: int | None, url: str | None, digest: str, n_bytes: int
     return _record("response", fields, http + payload)
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """page_id, url, digest, member (the record as a gzip member), size: one row for each row of page_id, url, html."""
+def marked_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, digest, n_bytes, revisit, refers_to, payload (empty for revisits): one row for each row of `pages`."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"),
                         F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes"))
@@ -78,67 +81,80 @@ def records(pages: DataFrame) -> DataFrame:
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-payloads")
     known = rows.join(firsts.withColumn("shared", F.lit(True)), "digest", "left")
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    marked = known.select("page_id", "url", "digest", "n_bytes", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"),
-                          F.when(revisit, F.lit("")).otherwise(F.col("payload")).alias("payload"))
+    return known.select("page_id", "url", "digest", "n_bytes", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"),
+                        F.when(revisit, F.lit("")).otherwise(F.col("payload")).alias("payload"))
+
+
+def _slice() -> Column:
+    return F.coalesce(F.floor(F.col("page_id") / SLICE), F.lit(-(1 << 62)))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "payload"):
-            made = [_page_record(r["page_id"], r["url"], r["digest"], r["n_bytes"], r["refers_to"], r["revisit"], r["payload"].encode())
-                    for r in piece.to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), piece.column("digest"), pa.array(made, pa.binary()),
-                                              pa.array([len(m) for m in made], pa.int64())], ["page_id", "url", "digest", "member", "size"])
 
-    return marked.mapInArrow(build, "page_id long, url string, digest string, member binary, size long")
+def _groups(pages: DataFrame, group_bytes: int) -> tuple[DataFrame, int, int]:
+    """slice, group_no: which slices of page_id share a task; the numbers of slices and of groups."""
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("long") + 500
+    sums, seen = cut(pages.groupBy(_slice().alias("slice")).agg(F.sum(size).alias("size")), "warc-slices")
+    summed = running_sum(sums, [], F.floor(F.col("slice") / SLICE), [F.col("slice")], F.col("size"), "upto")
+    groups = summed.select("slice", F.floor((F.col("upto") - F.col("size")) / group_bytes).alias("group_no"))
+    total = sums.agg(F.sum("size").alias("n")).first()["n"] or 0
+    return groups, seen["rows"], int(total // group_bytes) + 1
 
 
-def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Writes warc-NNNNNNNN.warc.gz files and their manifest below `folder`; returns the manifest."""
+def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Writes warc-GGGGGGGG-NNNNNN.warc.gz files and their manifest below `folder`; returns the manifest."""
     spark = pages.sparkSession
-    made, _ = cut(records(pages), "warc-records")
-    order = [F.col("page_id"), F.col("digest"), F.col("url")]
-    summed = running_sum(made, [], F.coalesce(F.floor(F.col("page_id") / 1000), F.lit(-(1 << 62))), order, F.col("size"), "upto")
-    numbered = summed.withColumn("file_no", F.floor((F.col("upto") - F.col("size")) / roll_bytes)).drop("upto")
-    dealt = numbered.repartitionByRange("file_no").sortWithinPartitions("file_no", *order)
+    groups, n_slices, n_groups = _groups(pages, group_bytes)
+    placed = marked_pages(pages).withColumn("slice", _slice()).join(F.broadcast(groups) if n_slices <= SLICES else groups, "slice")
+    dealt = placed.drop("slice").repartitionByRange(n_groups, "group_no").sortWithinPartitions("group_no", "page_id", "digest", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        current, out, found = None, None, None
-
-        def close() -> pa.RecordBatch:
-            out.close()
-            name = f"warc-{current:08d}.warc.gz"
-            if store.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:
-                store.delete_file(f"{base}/{name}")
-            store.move(temporary, f"{base}/{name}")
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([found[0]]), pa.array([found[1]]), pa.array([found[2].hexdigest()])],
-                                              ["file", "records", "bytes", "sha256"])
-
-        for batch in batches:
-            for number, member in zip(batch.column("file_no").to_pylist(), batch.column("member"), strict=True):
-                if number != current:
-                    if out is not None:
-                        yield close()
-                    current, temporary = number, f"{base}/.{number:08d}-{uuid.uuid4().hex}.tmp"
-                    out, found = store.open_output_stream(temporary, compression=None), [0, 0, hashlib.sha256()]
-                    info = _record("warcinfo", [("WARC-Record-ID", f"<urn:x-archive:{number}>"), ("Content-Type", "application/warc-fields")],
-                                   b"format: WARC File Format 1.1\r\n")
-                    out.write(info)
-                    found[1] += len(info)
-                    found[2].update(info)
-                data = member.as_py()
-                out.write(data)
-                found[0] += 1
-                found[1] += len(data)
-                found[2].update(data)
-        if out is not None:
-            yield close()
-
-    manifest, _ = cut(dealt.select("file_no", "member").mapInArrow(write, MANIFEST), "warc-files")
+        file: _File | None = None
+        for piece in pieces(batches, "payload"):
+            for row in piece.to_pylist():
+                member = _page_record(row["page_id"], row["url"], row["digest"], row["n_bytes"], row["refers_to"], row["revisit"],
+                                      row["payload"].encode())
+                group = row["group_no"]
+                if file is None or file.group != group or file.n_bytes + len(member) > roll_bytes:
+                    if file is not None:
+                        yield file.commit()
+                    file = _File(store, base, group, file.part + 1 if file is not None and file.group == group else 0)
+                file.write(member)
+        if file is not None:
+            yield file.commit()
+
+    manifest, _ = cut(dealt.mapInArrow(write, MANIFEST), "warc-files")
     manifest.orderBy("file").coalesce(1).write.mode("overwrite").json(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).json(f"{folder}/_manifest")
 
 
+class _File:
+    """An archive that is being written under a temporary name."""
+
+    def __init__(self, store: fs.FileSystem, base: str, group: int, part: int):
+        self.store, self.base, self.group, self.part = store, base, group, part
+        self.name = f"warc-{group:08d}-{part:06d}.warc.gz"
+        self.temporary = f"{base}/.{self.name}-{uuid.uuid4().hex}.tmp"
+        self.out = store.open_output_stream(self.temporary, compression=None)
+        self.records, self.n_bytes, self.sha = -1, 0, hashlib.sha256()
+        self.write(_record("warcinfo", [("WARC-Record-ID", f"<urn:x-archive:{group}:{part}>"), ("Content-Type", "application/warc-fields")],
+                           b"format: WARC File Format 1.1\r\n"))
+
+    def write(self, member: bytes) -> None:
+        self.out.write(member)
+        self.records += 1
+        self.n_bytes += len(member)
+        self.sha.update(member)
+
+    def commit(self) -> pa.RecordBatch:
+        self.out.close()
+        if self.store.get_file_info(f"{self.base}/{self.name}").type != fs.FileType.NotFound:
+            self.store.delete_file(f"{self.base}/{self.name}")
+        self.store.move(self.temporary, f"{self.base}/{self.name}")
+        return pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([self.records], pa.int64()), pa.array([self.n_bytes], pa.int64()),
+                                           pa.array([self.sha.hexdigest()])], ["file", "records", "bytes", "sha256"])
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record in the files of the manifest.
 
