@@ -21,6 +21,7 @@ from strandline.plans import cut, with_previous
 KMER, SLOTS_LOG2, PICKED = 2, 5, 2
 PLACE_BITS = 24
 SLICE = 1000
+BORDERS = 100_000  # keys of 40 bytes that may be broadcast
 
 
 def _tagged(value: Column, place: Column) -> Column:
@@ -95,36 +96,45 @@ def as_text(slots: Column) -> Column:
     return F.array_join(F.transform(slots, lambda x: F.lower(F.lpad(F.hex(x), 10, "0"))), "")
 
 
-def with_next_document(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds `next`: struct of `columns` of the row that follows in descending order of doc_id; the first after the last.
+def border_keys(docs: DataFrame) -> tuple[DataFrame, int]:
+    """slice, key (doc_id and text_key of the row that follows the slice in descending order of doc_id): one row for each
+    slice of SLICE ids, and their number. The slice of the smallest ids is followed by the largest id."""
+    tails, seen = cut(docs.groupBy("slice").agg(F.max(F.struct("doc_id", "text_key")).alias("top")), "order-slices")
+    top = tails.agg(F.max("top").alias("top")).first()["top"]
+    if top is None:
+        return tails.withColumnRenamed("top", "key"), 0
+    first = F.struct(F.lit(top["doc_id"]).cast("bigint").alias("doc_id"), F.lit(top["text_key"]).alias("text_key")).cast(
+        tails.schema["top"].dataType)
+    linked = with_previous(tails, [], F.floor(F.col("slice") / SLICE), [F.col("slice")], F.col("top"), "before")
+    return linked.select("slice", F.coalesce("before.value", first).alias("key")), seen["rows"]
+
 
-    Null ids come last, equal ids are ordered by `text_key`. Windows hold one slice of SLICE ids; only the last row of a
-    slice looks into the next one, through a table of one key per slice.
+def with_next_document(docs: DataFrame, describe) -> DataFrame:
+    """`describe(docs)`, which adds columns to a text, with `next`: the struct of all columns of the row that follows in
+    descending order of doc_id; the first after the last. `docs` has doc_id, text_key and text.
+
+    Null ids come last, equal ids are ordered by `text_key`. Windows hold one slice of SLICE ids; the last row of a slice
+    looks up its follower, by a broadcast of the keys while they are at most BORDERS, else by a shuffled join.
     """
     lowest = -(1 << 62)
     sliced = docs.withColumn("slice", F.coalesce(F.floor(F.col("doc_id") / SLICE), F.lit(lowest)))
-    tails, _ = cut(sliced.groupBy("slice").agg(F.max(F.struct("doc_id", "text_key")).alias("top")), "order-slices")
-    top = tails.agg(F.max("top").alias("top")).first()["top"]
-    if top is None:
-        return docs.withColumn("next", F.struct(*columns))
-    kind = tails.schema["top"].dataType
-    first = F.struct(F.lit(top["doc_id"]).cast("bigint").alias("doc_id"), F.lit(top["text_key"]).alias("text_key")).cast(kind)
-    linked = with_previous(tails, [], F.floor(F.col("slice") / SLICE), [F.col("slice")], F.col("top"), "before")
-    borders = linked.select(F.col("slice").alias("_slice"), F.coalesce("before.value", first).alias("key"))
-    found = borders.join(docs.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct(*columns).alias("border")),
-                         F.col("key.doc_id").eqNullSafe(F.col("_id")) & (F.col("key.text_key") == F.col("_key")))
-    found = found.dropDuplicates(["_slice"]).select(F.col("_slice").alias("slice"), "border")
+    keys, n_slices = border_keys(sliced)
+    keys = keys.select(F.col("slice").alias("_slice"), "key")
+    same = F.col("key.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key.text_key") == F.col("text_key"))
+    found = docs.join(F.broadcast(keys) if n_slices <= BORDERS else keys, same).dropDuplicates(["_slice"]).drop("key")
+    found = describe(found)
+    border = found.select(F.col("_slice").alias("slice"), F.struct(*[c for c in found.columns if c != "_slice"]).alias("border"))
+    rows = describe(sliced)
     inside = Window.partitionBy("slice").orderBy("doc_id", "text_key")
-    seen = sliced.withColumn("next", F.lag(F.struct(*columns)).over(inside))
-    return seen.join(found, "slice", "left").withColumn("next", F.coalesce("next", "border")).drop("slice", "border")
+    seen = rows.withColumn("next", F.lag(F.struct(*[c for c in rows.columns if c != "slice"])).over(inside))
+    return seen.join(border, "slice", "left").withColumn("next", F.coalesce("next", "border")).drop("slice", "border")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited (the text with its last third replaced from the next document), the slots of both, and the
     likeness of the text to the edited one and to the next document: for every row of `docs` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_fingerprint(rows.withColumn("text_key", F.xxhash64("text")), "text", "slots")
-    paired = with_next_document(rows, ["text", "slots"])
+    paired = with_next_document(rows.withColumn("text_key", F.xxhash64("text")), lambda df: with_fingerprint(df, "text", "slots"))
     n = F.length("text")
     paired = paired.withColumn("n_chars", n.cast("long")).withColumn("cut", F.floor(n / 3).cast("int"))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("cut")),

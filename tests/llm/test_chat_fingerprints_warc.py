@@ -89,8 +89,9 @@ def test_archives_read_back(spark, rows, tmp_path):
     big = "<p>é</p>" * 40
     data = [(9, "http://a/\r\nx: y", big, ""), (4, "http://b", big, ""), (None, "u", big, ""), (5, None, "tiny", ""), (6, "v", "tiny", ""),
             (7, "w", None, ""), (8, "w", "", ""), (4, "http://b", big, ""), (11, "z", big + "!", "")]
+    data += [(5000 + 1000 * i, "far", f"{i}" * 900, "") for i in range(6)]
     folder = f"file://{tmp_path}/out"
-    manifest = warc.write_archives(rows(PAGES, *data).repartition(3), folder, roll_bytes=700)
+    manifest = warc.write_archives(rows(PAGES, *data).repartition(3), folder, roll_bytes=700, group_bytes=3000)
     read = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(spark, folder).collect()), key=repr)
     want = [(p, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), *(("revisit", 4) if h == big and p != 4 else ("response", None)))
             for p, _, h, _ in data]
@@ -98,7 +99,7 @@ def test_archives_read_back(spark, rows, tmp_path):
     files = sorted(x.name for x in (tmp_path / "out").glob("*.warc.gz"))
     assert files == sorted(r.file for r in manifest.collect()) and len(files) > 2 and not list((tmp_path / "out").glob(".*tmp"))
     again = f"file://{tmp_path}/again"
-    other = warc.write_archives(rows(PAGES, *reversed(data)).repartition(2), again, roll_bytes=700)
+    other = warc.write_archives(rows(PAGES, *reversed(data)).repartition(2), again, roll_bytes=700, group_bytes=3000)
     assert sorted(map(tuple, other.collect())) == sorted(map(tuple, manifest.collect()))
     first = tmp_path / "out" / files[0]
     first.write_bytes(first.read_bytes()[:-30] + b"x" * 30)
