@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat_format, fingerprints, mixing, near_dedup, packing, quality_rules, suffix_dedup, warc
+import corpus_pipeline
+from strandline.llm import (
+    chat_format,
+    fingerprints,
+    license_scan,
+    line_crf,
+    mixing,
+    near_dedup,
+    packing,
+    quality_rules,
+    suffix_dedup,
+    warc,
+)
 from strandline.llm.text import table
 from strandline.plans.materialize import new_folder
 
@@ -172,3 +184,27 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = line_crf.score(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_lines", "n_bad_lines")
+
+
+@query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses that every document states."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    best = F.get("licenses", F.lit(0))
+    return found.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"), best["license"].alias("license"),
+                        best["coverage"].alias("coverage"), best["first_word"].alias("first_word"), "licenses")
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
