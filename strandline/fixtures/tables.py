@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.plans import spread, with_previous
+from strandline.plans import with_previous
 
 PROJECT = "p0"
 
@@ -28,7 +28,7 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         if name not in self._opened:
             scan = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            self._opened[name] = spread(scan) if name in ("documents", "conversations") else scan
+            self._opened[name] = scan
         return self._opened[name]
 
     # ------------------------------------------------------------ network

@@ -47,11 +47,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", skip_
         return frontier.join(arcs, ["project_id", "node_id"]).select("project_id", "seed", F.col("next").alias("node_id"))
 
     pairs = fixpoint(start, step, ["project_id", "seed", "node_id"],
-                     max_rounds=max_depth or 10_000, stop_at_max=max_depth is not None, name="reach")
+                     max_rounds=max_depth, stop_at_max=max_depth is not None, name="reach")
     return pairs.where("round > 0").withColumnRenamed("round", "depth")
 
 
-def traced_edges(edges: DataFrame, seeds: DataFrame, direction: str = "up", max_depth: int = 50) -> DataFrame:
+def traced_edges(edges: DataFrame, seeds: DataFrame, direction: str = "up", max_depth: int | None = None) -> DataFrame:
     """Each link met while walking from a seed, at the depth where its near end is first reached.
 
     Upstream walks leave out loose links; downstream walks follow every link.
@@ -62,7 +62,7 @@ def traced_edges(edges: DataFrame, seeds: DataFrame, direction: str = "up", max_
     met = met.unionByName(seeds.select("project_id", "seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth")))
     walk = edges if not skip else edges.where(~F.col("rel").isin(skip))
     return (met.withColumnRenamed("node_id", near).join(walk, ["project_id", near])
-            .where(F.col("depth") <= max_depth)
+            .where(F.lit(True) if max_depth is None else F.col("depth") <= max_depth)
             .select("project_id", "seed", "depth", "edge_id", "source", "target", "rel"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import markup as m
+from strandline.functions.keys import scope
 from strandline.plans import cut
 from strandline.vocab import PART_BY_STEM, SKIPPED_STEMS
 
@@ -90,43 +91,45 @@ def evidence_targets(evidence: DataFrame, cited: DataFrame, assets: DataFrame, p
 
     `cited` has key and file (in the folder for cited articles), `assets` key and file, `present` path.
     """
-    there = present.select(F.col("path")).distinct().withColumn("here", F.lit(True))
-    paper = cited.select(F.col("key").alias("target"), F.concat(F.lit("CitedArticles/"), "file").alias("paper"))
-    asset = assets.select(F.col("key").alias("target"), F.col("file").alias("asset"))
-    rows = evidence.join(paper, "target", "left").join(asset, "target", "left")
+    key = scope(evidence, cited, assets, present)
+    there = present.select(*key, "path").distinct().withColumn("here", F.lit(True))
+    paper = cited.select(*key, F.col("key").alias("target"), F.concat(F.lit("CitedArticles/"), "file").alias("paper"))
+    asset = assets.select(*key, F.col("key").alias("target"), F.col("file").alias("asset"))
+    rows = evidence.join(paper, [*key, "target"], "left").join(asset, [*key, "target"], "left")
     cite = F.col("target").rlike(m.CITE_KEY)
     kind = F.when(cite, "cite").when(F.col("asset").isNotNull(), "asset").otherwise("file")
     rows = rows.withColumn("kind", kind).withColumn("path", F.when(cite, F.col("paper")).otherwise(
         F.coalesce("asset", "target")))
     safe = F.col("path").rlike(m.SAFE_PATH) & ~F.col("path").rlike(r"(^|/)\.\.(/|$)") & ~F.startswith("path", F.lit("/"))
-    rows = rows.join(there, "path", "left")
+    rows = rows.join(there, [*key, "path"], "left")
     empty = F.coalesce("target", F.lit("")) == ""
     problem = (F.when(empty, "no target").when(cite & F.col("here").isNull(), "paper not in the folder")
                .when((F.col("kind") == "asset") & F.col("here").isNull(), "asset missing")
                .when((F.col("kind") == "file") & (F.col("here").isNull() | ~safe), "not a file in the folder"))
     keeps = (F.col("kind") == "asset") | problem.isNull()
-    return rows.select("id", "kind", F.when(keeps & ~empty, F.col("path")).alias("path"), problem.alias("problem"))
+    return rows.select(*scope(evidence), "id", "kind", F.when(keeps & ~empty, F.col("path")).alias("path"), problem.alias("problem"))
 
 
 def evidence_problems(evidence: DataFrame, uses: DataFrame, assets: DataFrame) -> DataFrame:
     """(problem, name, n): bad ids, ids listed twice, names used but not registered, ids never used."""
-    ids = evidence.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    key = scope(evidence, uses, assets)
+    ids = evidence.groupBy(*key, "id").agg(F.count(F.lit(1)).alias("n"))
     good = ids.where(F.col("id").rlike(m.EVIDENCE_ID))
-    used = uses.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    used = uses.groupBy(*key, "name").agg(F.count(F.lit(1)).alias("n"))
     marks = used.where("NOT startswith(name, '@')")
     items = used.where("startswith(name, '@')").withColumn("key", F.substr("name", F.lit(2)))
     # a used key also stands for every asset key that begins with it
-    starts = assets.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.left("key", i))).alias("key")).distinct()
-    known = good.select(F.col("id").alias("name"))
+    starts = assets.select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.left("key", i))).alias("key")).distinct()
+    known = good.select(*key, F.col("id").alias("name"))
 
     def rows(df: DataFrame, what: str, name: str) -> DataFrame:
-        return df.select(F.lit(what).alias("problem"), F.col(name).alias("name"), "n")
+        return df.select(*key, F.lit(what).alias("problem"), F.col(name).alias("name"), "n")
 
     return reduce(DataFrame.unionByName, [
         rows(ids.where(~F.col("id").rlike(m.EVIDENCE_ID)), "bad id", "id"), rows(good.where("n > 1"), "listed twice", "id"),
-        rows(marks.join(known, "name", "left_anti"), "not in the register", "name"),
-        rows(items.join(starts, "key", "left_anti"), "asset not registered", "key"),
-        rows(good.join(marks.select(F.col("name").alias("id")), "id", "left_anti"), "unused", "id")])
+        rows(marks.join(known, [*key, "name"], "left_anti"), "not in the register", "name"),
+        rows(items.join(starts, [*key, "key"], "left_anti"), "asset not registered", "key"),
+        rows(good.join(marks.select(*key, F.col("name").alias("id")), [*key, "id"], "left_anti"), "unused", "id")])
 
 
 def _grams(words: Column, k: int) -> Column:
@@ -243,7 +246,8 @@ def match_doi(texts: DataFrame, refs: DataFrame) -> DataFrame:
 
 def gap_locations(gaps: DataFrame, files: DataFrame) -> DataFrame:
     """Recorded gaps with the line of their anchor: stale unless it occurs exactly once; explained when a cause is given."""
-    rows = gaps.join(files.select("file", "text"), "file", "left")
+    key = [*scope(gaps, files), "file"]
+    rows = gaps.join(files.select(*key, "text"), key, "left")
     times = (F.length("text") - F.length(F.replace(F.col("text"), F.col("anchor"), F.lit("")))) / F.length("anchor")
     once = (F.length("anchor") > 0) & (times == 1)
     at = F.when(once, F.expr("instr(text, anchor)"))
@@ -257,16 +261,18 @@ def gap_locations(gaps: DataFrame, files: DataFrame) -> DataFrame:
 
 def evidence_missing(evidence: DataFrame, targets: DataFrame) -> DataFrame:
     """(kind, id): entries that disagree with the text, and entries without a file."""
-    mismatch = evidence.where(F.startswith("note", F.lit("MISMATCH"))).select(F.lit("mismatch").alias("kind"), "id")
-    return mismatch.unionByName(targets.where("path IS NULL").select(F.lit("nofile").alias("kind"), "id"))
+    mismatch = evidence.where(F.startswith("note", F.lit("MISMATCH"))).select(
+        *scope(evidence, targets), F.lit("mismatch").alias("kind"), "id")
+    return mismatch.unionByName(targets.where("path IS NULL").select(*scope(evidence, targets), F.lit("nofile").alias("kind"), "id"))
 
 
 def gap_spans(located: DataFrame) -> DataFrame:
     """(file, line, x, y): the columns each located gap covers, line by line."""
     piece = F.split("anchor", "\n")
-    rows = located.where("NOT stale").select("file", "line", "column", F.posexplode(piece).alias("i", "piece"))
+    key = [*scope(located), "file"]
+    rows = located.where("NOT stale").select(*key, "line", "column", F.posexplode(piece).alias("i", "piece"))
     x = F.when(F.col("i") == 0, F.col("column")).otherwise(F.lit(0))
-    return rows.select("file", (F.col("line") + F.col("i")).alias("line"), x.alias("x"), (x + F.length("piece")).alias("y"))
+    return rows.select(*key, (F.col("line") + F.col("i")).alias("line"), x.alias("x"), (x + F.length("piece")).alias("y"))
 
 
 def unmarked_numbers(files: DataFrame, spans: DataFrame | None = None) -> DataFrame:
@@ -275,6 +281,7 @@ def unmarked_numbers(files: DataFrame, spans: DataFrame | None = None) -> DataFr
     Left out are tables with a marker, lines that state nothing and the columns of recorded gaps (`gap_spans`), which
     are matched line by line.
     """
+    key = [*(scope(files) if spans is None else scope(files, spans)), "file"]
     first_line = F.substring_index("text", "\n", 1)
     audited = files.where(F.contains("text", F.lit("\\ev{")) & ~F.startswith("text", F.lit(m.GENERATED))
                           & ~F.contains(first_line, F.lit(m.NO_EVIDENCE)))
@@ -283,18 +290,18 @@ def unmarked_numbers(files: DataFrame, spans: DataFrame | None = None) -> DataFr
     marked = F.filter(F.regexp_extract_all("text", F.lit(m.TABLE_BODY), 0), lambda t: F.contains(t, F.lit("\\ev{")))
     signed = F.reduce(marked, F.col("text"), lambda t, body: F.replace(
         t, body, F.replace(body, F.lit("\n"), F.lit("\n" + covered))))
-    rows = audited.select("file", F.posexplode(F.split(signed, "\n")).alias("pos", "text"))
+    rows = audited.select(*key, F.posexplode(F.split(signed, "\n")).alias("pos", "text"))
     kept = rows.where(~F.startswith("text", F.lit(covered)) & ~F.trim("text").rlike(m.SKIPPED_LINE))
     sentences = F.posexplode(F.split("text", m.SENTENCE_BREAK)).alias("n", "claim")
-    claims = kept.select("file", (F.col("pos") + 1).alias("line"), F.col("text").alias("_line"), sentences)
+    claims = kept.select(*key, (F.col("pos") + 1).alias("line"), F.col("text").alias("_line"), sentences)
     body = F.regexp_replace("claim", m.NOT_CLAIMS, " ")
     claims = claims.where(~F.contains("claim", F.lit("\\ev{")) & body.rlike(r"\d"))
     if spans is not None:
         at = F.expr("instr(_line, claim)") - 1
-        inside = (claims.select("file", "line", "n", at.alias("a"), (at + F.length("claim")).alias("b"))
-                  .join(spans, ["file", "line"]).where("x < b AND a < y").select("file", "line", "n").distinct())
-        claims = claims.join(inside, ["file", "line", "n"], "left_anti")
-    return claims.select("file", "line", F.trim("claim").alias("claim"))
+        inside = (claims.select(*key, "line", "n", at.alias("a"), (at + F.length("claim")).alias("b"))
+                  .join(spans, [*key, "line"]).where("x < b AND a < y").select(*key, "line", "n").distinct())
+        claims = claims.join(inside, [*key, "line", "n"], "left_anti")
+    return claims.select(*key, "line", F.trim("claim").alias("claim"))
 
 
 def parse_where(where: Column) -> dict[str, Column]:

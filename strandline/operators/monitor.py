@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.paths import ancestors, basename, folder_of, guess_type, matches_any, stem, suffix
+from strandline.plans import top_per_project
 from strandline.vocab import IGNORE_GLOBS, NAME_SIMILARITY
 
 P = "project_id"
@@ -126,9 +127,9 @@ def suggestions(new: DataFrame, tracked: DataFrame, nodes: DataFrame) -> DataFra
 
 
 def baseline_folders(files: DataFrame, limit: int = 12) -> DataFrame:
-    """The folders with most unrecorded files, reported by a first round instead of the files."""
+    """The folders of each project with most unrecorded files, reported by a first round instead of the files."""
     counts = files.groupBy(P, folder_of(F.col("path")).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
-    return counts.orderBy(F.col("files").desc(), "folder").limit(limit)
+    return top_per_project(counts, [F.col("files").desc(), F.col("folder")], limit)
 
 
 def monitor_round(disk: DataFrame, new: DataFrame, stale: DataFrame) -> DataFrame:

@@ -19,15 +19,23 @@ NODE = ["project_id", "node_id"]
 LINK = ["project_id", "edge_id"]
 
 
-def disk_state(versions: DataFrame, disk: DataFrame, limit: int | None = None) -> DataFrame:
-    """missing / modified per artifact with a file: equal size and time, or an equal hash, means unchanged."""
+def disk_state(versions: DataFrame, disk: DataFrame) -> DataFrame:
+    """missing / modified per artifact with a file, from its newest version if `versions` has numbers `v`.
+
+    Equal known sizes and times, or equal known hashes, mean unchanged. Otherwise a recorded hash is needed to say
+    modified, and a hash of the file, or as long as it has none, a size that differs.
+    """
+    if "v" in versions.columns:
+        versions = versions.groupBy(*NODE).agg(F.max_by(F.struct("path", "size", "mtime", "hash"), "v").alias("_n")).select(*NODE, "_n.*")
     now = disk.select("project_id", "path", F.col("size").alias("size_now"), F.col("mtime").alias("mtime_now"),
-                      F.col("hash").alias("hash_now"))
-    same = ((F.col("size") == F.col("size_now")) & (F.col("mtime") == F.col("mtime_now"))) | \
-        (F.col("hash") == F.col("hash_now"))
-    return (versions.join(now, ["project_id", "path"], "left")
-            .select(*NODE, F.col("hash_now").isNull().alias("missing"),
-                    (F.col("hash_now").isNotNull() & F.col("hash").isNotNull() & ~same).alias("modified")))
+                      F.col("hash").alias("hash_now"), F.lit(True).alias("_there"))
+    no = F.lit(False)
+    same = F.coalesce((F.col("size") == F.col("size_now")) & (F.col("mtime") == F.col("mtime_now")), no) | F.coalesce(
+        F.col("hash") == F.col("hash_now"), no)
+    told = F.col("hash_now").isNotNull() | F.coalesce(F.col("size") != F.col("size_now"), no)
+    there = F.coalesce("_there", no)
+    return versions.where("path IS NOT NULL").join(now, ["project_id", "path"], "left").select(
+        *NODE, (~there).alias("missing"), (there & ~same & F.col("hash").isNotNull() & told).alias("modified"))
 
 
 def outdated_inputs(nodes: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -124,7 +132,7 @@ class Staleness:
             return frontier.join(arcs, NODE).select("project_id", F.col("target").alias("node_id"),
                                                     F.explode(marks).alias("mark"))
 
-        return fixpoint(seed.withColumn("mark", F.lit("stale")), step, [*NODE, "mark"], max_rounds=10_000, name="stale")
+        return fixpoint(seed.withColumn("mark", F.lit("stale")), step, [*NODE, "mark"], name="stale")
 
     @cached_property
     def _stale_nodes(self) -> DataFrame:

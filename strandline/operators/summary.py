@@ -231,11 +231,12 @@ def resolve_project(refs: DataFrame, projects: DataFrame) -> DataFrame:
     exact = (refs.withColumn("form", F.lower("ref")).join(reduce(DataFrame.unionByName, forms), "form")
              .groupBy("ref").agg(F.min_by(P, F.struct("rank", P)).alias(P)))
     rest = refs.join(exact, "ref", "left_anti").withColumn("form", F.lower("ref"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 2)),
-                                         lambda i: F.substr(F.col("text"), i, F.lit(3))))
+    # up to three letters of a reference lead to the names that hold them
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - k + 1)), lambda i: F.substr(F.col("text"), i, k)))))
     texts = known.select(P, F.explode(F.array("_name", "_slug")).alias("text"))
     indexed = texts.select(P, "text", F.explode(grams).alias("gram"))
-    hits = (rest.where(F.length("form") >= 3).withColumn("gram", F.substring("form", 1, 3)).join(indexed, "gram")
+    hits = (rest.where(F.length("form") > 0).withColumn("gram", F.substring("form", 1, 3)).join(indexed, "gram")
             .where(F.contains("text", F.col("form"))).groupBy("ref").agg(F.min(P).alias("a"), F.max(P).alias("b")))
     found = rest.select("ref").join(hits, "ref", "left").select(
         "ref", F.when(F.col("a") == F.col("b"), F.col("a")).alias(P),

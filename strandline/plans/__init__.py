@@ -1,6 +1,7 @@
 from strandline.plans.fixpoint import fixpoint
-from strandline.plans.materialize import checkpoint_root, cut, spread
-from strandline.plans.ordered import number_changes, number_free, running_sum, with_previous
+from strandline.plans.materialize import checkpoint_root, cut, path_exists
+from strandline.plans.ordered import number_changes, number_free, running_sum, top_per_project, with_previous
 from strandline.plans.saturate import saturate
 
-__all__ = ["checkpoint_root", "cut", "fixpoint", "number_changes", "number_free", "running_sum", "saturate", "spread", "with_previous"]
+__all__ = ["checkpoint_root", "cut", "fixpoint", "number_changes", "number_free", "path_exists", "running_sum", "saturate", "top_per_project",
+           "with_previous"]

@@ -11,12 +11,13 @@ from strandline.plans.materialize import cut, new_folder
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str],
-             max_rounds: int = 100, stop_at_max: bool = False, name: str = "fixpoint") -> DataFrame:
+             max_rounds: int | None = None, stop_at_max: bool = False, name: str = "fixpoint") -> DataFrame:
     """All rows reachable from `seed` by repeating `step`; `round` tells when a key was first found.
 
     `step` maps the newest rows to candidates with the columns of `seed`. Each round is written
     once, as a new part of the result table, so nothing found earlier is rewritten and lost
-    executors only cost the running round. A candidate whose key is known is dropped.
+    executors only cost the running round. A candidate whose key is known is dropped, so loops in the data end the
+    iteration; `max_rounds` is for steps that make new keys without end.
     """
     spark = seed.sparkSession
     columns = seed.columns
@@ -31,7 +32,7 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
         if seen["rows"] == 0:
             return known
         n += 1
-        if n > max_rounds:
+        if max_rounds is not None and n > max_rounds:
             if stop_at_max:
                 return known
             raise RuntimeError(f"{name}: no fixpoint after {max_rounds} rounds (is there a cycle?)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,14 +9,15 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a private one only in local mode without the setting."""
+    """The shared folder named in spark.checkpoint.dir; a folder of the warehouse, which is shared too, where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints").rstrip("/")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -36,12 +36,3 @@ def cut(df: DataFrame, name: str = "cut", path: str | None = None, counts: dict
     marks = [F.count_if(cond).alias(key) for key, cond in (counts or {}).items()]
     df.observe(seen, F.count(F.lit(1)).alias("rows"), *marks).write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan dealt out over all cores when it has fewer splits than the cluster has cores.
-
-    For heavy per-row work on a table of few files; a large table has more splits than cores and stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() <= cores else scan

@@ -89,3 +89,12 @@ def number_changes(df: DataFrame, keys: list[str], slice_by: Column, order: list
     carry = opened.select(*keys, "_slice", "_opens", F.coalesce(so_far, F.lit(0)).alias("_before"))
     kept = marked.join(carry, [*keys, "_slice"]).where("_moved OR (_first AND _opens = 1)")
     return kept.withColumn(out, F.col("_before") + F.col("_opens") + F.col("_n")).select(*df.columns, out)
+
+
+def top_per_project(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first `limit` rows of every project (of all rows in a table without projects). Each task keeps at most that
+    many rows of a project before the shuffle."""
+    if "project_id" not in df.columns:
+        return df.orderBy(*order).limit(limit)
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy("project_id").orderBy(*order)))
+    return ranked.where(F.col("_rank") <= limit).drop("_rank")

@@ -85,16 +85,15 @@ def owner_overlap(fx):
 
 
 @query(with_tables(["fx_inventory", "fx_tracked"], """
-SELECT n.owner, s.class AS same_as, o.overlaps
+SELECT n.owner, s.class AS same_as, o.overlaps, coalesce(o.all_overlaps, '') AS all_overlaps
 FROM (SELECT folder AS owner, string_agg(DISTINCT hash, ',' ORDER BY hash) AS content FROM fx_inventory WHERE size >= 100
       GROUP BY folder UNION ALL SELECT 'D' || doc_id, hash FROM fx_inventory WHERE size >= 100) n
 LEFT JOIN (SELECT content, min(owner) AS class FROM old_sets GROUP BY content) s USING (content)
 LEFT JOIN (
-  SELECT owner, min(CASE WHEN own IS NULL OR least <> own THEN least WHEN most <> own THEN most END) AS overlaps FROM (
-    SELECT h.owner, h.hash, any_value(e.own) AS own, min(k.class) AS least, max(k.class) AS most
-    FROM held h JOIN old_classes k ON k.hash = h.hash
-    LEFT JOIN (SELECT sets.owner, min(old_sets.owner) AS own FROM sets JOIN old_sets USING (content) GROUP BY 1) e
-      ON e.owner = h.owner GROUP BY h.owner, h.hash) GROUP BY owner) o ON o.owner = n.owner""", _HELD + """,
+  SELECT h.owner, min(k.class) AS overlaps, string_agg(DISTINCT k.class, ',' ORDER BY k.class) AS all_overlaps
+  FROM held h JOIN old_classes k ON k.hash = h.hash
+  LEFT JOIN (SELECT sets.owner, min(old_sets.owner) AS own FROM sets JOIN old_sets USING (content) GROUP BY 1) e ON e.owner = h.owner
+  WHERE k.class IS DISTINCT FROM e.own GROUP BY h.owner) o ON o.owner = n.owner""", _HELD + """,
 old AS (SELECT DISTINCT owner, hash FROM (SELECT folder AS owner, hash FROM fx_tracked WHERE size >= 100
         UNION ALL SELECT node_id, hash FROM fx_tracked WHERE size >= 100)),
 old_sets AS (SELECT owner, string_agg(hash, ',' ORDER BY hash) AS content FROM old GROUP BY owner),
@@ -104,7 +103,8 @@ def classify_new(fx):
     """All documents and folders as a new batch against the labelled ones."""
     tracked = fx.tracked()
     catalog = tracked.withColumn("owner", F.col("folder")).unionByName(tracked.withColumn("owner", F.col("node_id")))
-    return dedup.classify_new(single_files(fx), catalog, SMALL).select("owner", "same_as", "overlaps")
+    return dedup.classify_new(single_files(fx), catalog, SMALL).select(
+        "owner", "same_as", "overlaps", F.array_join("all_overlaps", ",").alias("all_overlaps"))
 
 
 @query(with_tables(["fx_inventory"], """
@@ -117,7 +117,8 @@ def batch_signature(fx):
 
 
 @query(with_tables(["fx_edge"], """
-SELECT min(edge_id) AS edge_id, source, target, rel FROM (
+SELECT first(edge_id ORDER BY regexp_extract(edge_id, '^([A-Za-z]+)', 1), coalesce(TRY_CAST(regexp_extract(edge_id, '^[A-Za-z]+([0-9]+)', 1) AS BIGINT), 0),
+             regexp_extract(edge_id, '^[A-Za-z]+[0-9]+(.*)$', 1)) AS edge_id, source, target, rel FROM (
   SELECT edge_id, coalesce(r.keep, source) AS source, target, rel FROM fx_edge LEFT JOIN renamed r ON r.dup = source)
 GROUP BY source, target, rel""", """
 renamed AS (SELECT 'P' || p_partkey AS dup, 'P' || min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS keep FROM part)"""))

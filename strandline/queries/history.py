@@ -27,7 +27,7 @@ WHERE actor = 'user' AND event = 'error' AND contains(detail, '7') ORDER BY ts D
 def timeline(fx):
     events = fx.events().where("actor = 'user'")
     hits = events.where(F.contains("detail", F.lit("7")))
-    return ops.timeline(hits, actor="user", event="error", text="error").select("ts", "seq", "day", "event", "actor", "node")
+    return ops.timeline(hits, actor="user", event="error", text="error", limit=600).select("ts", "seq", "day", "event", "actor", "node")
 
 
 @query(with_tables(["fx_event"], """

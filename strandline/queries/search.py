@@ -40,7 +40,7 @@ SELECT node_id, CAST(sum(CASE WHEN q = w THEN CASE WHEN list_contains(regexp_spl
          THEN 2 ELSE 1 END WHEN length(q) > 3 AND (contains(w, q) OR contains(q, w)) THEN 1 ELSE 0 END) AS BIGINT) AS score
 FROM word JOIN fx_node n USING (node_id), asked GROUP BY node_id HAVING score > 0 ORDER BY score DESC, node_id LIMIT 12""", _WORDS))
 def search_best(fx):
-    return search.search_scored(fx.nodes(), fx.edges(), "Which hot ring is in the urgent building order?").select(
+    return search.search_scored(fx.nodes(), fx.edges(), "Which hot ring is in the urgent building order?", 12).select(
         "node_id", "score")
 
 
@@ -48,7 +48,7 @@ def search_best(fx):
 SELECT edge_id FROM fx_edge WHERE priority IS NOT NULL AND (lower(priority) LIKE '%urgent%' OR source IN ('PL77', 'PL78'))
 ORDER BY edge_id LIMIT 15"""))
 def search_params(fx):
-    return search.search_params(fx.nodes(), fx.edges(), "Which params were used for urgent, 77 and 78?").select("edge_id")
+    return search.search_params(fx.nodes(), fx.edges(), "Which params were used for urgent, 77 and 78?", 15).select("edge_id")
 
 
 @query(with_tables(["fx_analysis"], """

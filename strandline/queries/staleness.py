@@ -65,7 +65,7 @@ SELECT n.node_id, d.path IS NULL AS missing,
 FROM fx_node n LEFT JOIN fx_disk d ON d.path = n.path WHERE n.path IS NOT NULL"""))
 def disk_state(fx):
     return staleness.disk_state(fx.node_versions(), fx.disk()).select(
-        "node_id", "missing", F.coalesce("modified", F.lit(False)).alias("modified"))
+        "node_id", "missing", "modified")
 
 
 @query(with_tables(["fx_node", "fx_disk", "st_all"], """

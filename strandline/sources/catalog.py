@@ -9,24 +9,28 @@ from strandline.operators import validate
 from strandline.operators.history import history
 from strandline.operators.staleness import Staleness, disk_state, node_state
 from strandline.operators.trees import hidden_nodes
+from strandline.plans import path_exists
 
 
 def current_snapshot(spark: SparkSession, root: str) -> int:
     """Number of the newest complete snapshot, 0 if there is none."""
-    from pyspark.errors import AnalysisException
-    try:
-        done = spark.read.schema("snapshot INT, tables STRING").parquet(f"{root}/committed")
-        return done.agg(F.max("snapshot")).first()[0] or 0
-    except AnalysisException:
+    if not path_exists(spark, f"{root}/committed"):
         return 0
+    done = spark.read.schema("snapshot INT, tables STRING").parquet(f"{root}/committed")
+    return done.agg(F.max("snapshot")).first()[0] or 0
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str) -> int:
-    """Write all tables under a new number; the commit record comes last, so readers see all of it or nothing."""
+    """Write all tables under a new number; the commit record comes last, so readers see all of it or nothing.
+
+    A number that another load has begun to use is passed over; should two begin at once, the writer of the second fails.
+    """
     spark = next(iter(tables.values())).sparkSession
     n = current_snapshot(spark, root) + 1
+    while path_exists(spark, f"{root}/snapshot-{n:06d}"):
+        n += 1
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{root}/snapshot-{n:06d}/{name}")
+        table.write.mode("errorifexists").parquet(f"{root}/snapshot-{n:06d}/{name}")
     record = spark.range(1).select(F.lit(n).alias("snapshot"), F.lit(",".join(tables)).alias("tables"))
     record.coalesce(1).write.mode("append").parquet(f"{root}/committed")
     return n

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,7 +17,7 @@ from strandline.operators.graph import effective_parents
 from strandline.operators.monitor import new_files
 from strandline.operators.staleness import Staleness
 from strandline.operators.versions import assign_versions
-from strandline.plans import cut, fixpoint, with_previous
+from strandline.plans import cut, fixpoint, path_exists, with_previous
 from strandline.vocab import SOFT_RELS
 
 P = "project_id"
@@ -81,10 +80,9 @@ def heartbeat_timeouts(beats: DataFrame, seconds: int = 60, delay: str = "0 seco
 
 def _read_parts(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
     """Rows that earlier micro-batches wrote below `path`."""
-    try:
-        return spark.read.schema(schema + ", batch BIGINT").parquet(path).where(F.col("batch") < before).drop("batch")
-    except AnalysisException:
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema + ", batch BIGINT").parquet(path).where(F.col("batch") < before).drop("batch")
 
 
 def new_file_batch(seen_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
@@ -158,7 +156,7 @@ def reachable_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     def step(frontier: DataFrame) -> DataFrame:
         return frontier.join(stored, key).select(P, F.col("next").alias("node_id"))
 
-    return fixpoint(seeds.select(*key), step, key, max_rounds=10_000, name="affected").where("round > 0").select(*key)
+    return fixpoint(seeds.select(*key), step, key, name="affected").where("round > 0").select(*key)
 
 
 def staleness_batch(read: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], path: str) -> Callable[[DataFrame, int], None]:
@@ -170,11 +168,10 @@ def staleness_batch(read: Callable[[], tuple[DataFrame, DataFrame, DataFrame]],
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         nodes, edges, recorded = read()
-        try:
+        newest = None
+        if path_exists(spark, path):
             parts = spark.read.schema("project_id STRING, node_id STRING, batch BIGINT").parquet(path).where(F.col("batch") < n)
             newest = parts.agg(F.max("batch")).first()[0]
-        except AnalysisException:
-            newest = None
         if newest is None:
             stale = Staleness(nodes, edges, recorded).stale_nodes()
         else:

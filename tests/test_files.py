@@ -27,7 +27,7 @@ def test_owner_overlap_against_all_pairs(rows):
 def test_duplicates_need_size_and_another_place(rows):
     files = rows(FILE, ("p", "a", "x/1", 5000, "h"), ("p", "b", "y/2", 5000, "h"), ("p", "c", "z", 5000, "k"), ("p", "d", "t1", 10, "s"),
                  ("p", "e", "t2", 10, "s"))
-    assert as_set(dedup.duplicate_members(files), "path") == {"x/1", "y/2"}
+    assert as_set(dedup.duplicate_members(files, 4096), "path") == {"x/1", "y/2"}
 
 
 def test_merge(rows):
