@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.plans import cut, fixpoint, saturate
+from strandline.plans import cut, fixpoint, new_folder, saturate
 from strandline.vocab import HARD_RELS, PROCESS_TYPES, SOFT_RELS
 
 
@@ -168,11 +168,35 @@ def find_cycles(edges: DataFrame) -> DataFrame:
     return behind.join(peel(behind, back), key, "left_anti")
 
 
+def between(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """The links (source, target) on a way from any of `starts` to any of `ends` (project_id, node_id).
+
+    Two walks from all of them at once visit each artifact at most once, so questions about single pairs can be asked of
+    what is left, usually little or nothing.
+    """
+    key = ["project_id", "node_id"]
+    arcs, _ = cut(edges.select("project_id", "source", "target").distinct(), "arcs")
+
+    def walk(links: DataFrame, start: DataFrame, here: str, there: str) -> DataFrame:
+        def step(frontier: DataFrame) -> DataFrame:
+            return frontier.withColumnRenamed("node_id", here).join(links, ["project_id", here]).select(
+                "project_id", F.col(there).alias("node_id"))
+
+        return fixpoint(start.select(*key), step, key, name="walk").select("project_id", F.col("node_id").alias(here))
+
+    ahead, _ = cut(arcs.join(walk(arcs, starts, "source", "target"), ["project_id", "source"], "left_semi"), "ahead")
+    return cut(ahead.join(walk(ahead, ends, "target", "source"), ["project_id", "target"], "left_semi"), "between")[0]
+
+
 def cycle_violations(edges: DataFrame, new_edges: DataFrame) -> DataFrame:
     """New links (edge_id, source, target) whose target already leads to their source."""
-    seeds = new_edges.select("project_id", F.col("target").alias("seed")).distinct()
-    paths = reachable(edges, seeds, "down").select("project_id", F.col("seed").alias("target"),
-                                                   F.col("node_id").alias("source"))
+    starts = new_edges.select("project_id", F.col("target").alias("node_id"))
+    ends = new_edges.select("project_id", F.col("source").alias("node_id"))
+    way = between(edges, starts, ends)
+    seeds = starts.withColumnRenamed("node_id", "seed").distinct().join(
+        way.select("project_id", F.col("source").alias("seed")).distinct(), ["project_id", "seed"], "left_semi")
+    paths = reachable(way, seeds, "down").select("project_id", F.col("seed").alias("target"),
+                                                 F.col("node_id").alias("source"))
     closing = new_edges.join(paths, ["project_id", "source", "target"], "left_semi")
     return closing.unionByName(new_edges.where("source = target")).dropDuplicates(["project_id", "edge_id"])
 
@@ -292,17 +316,26 @@ def article_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     key = ["project_id", "node_id"]
     arcs, _ = cut(edges.where(~F.col("rel").isin(SOFT_RELS)).select(
         "project_id", F.col("target").alias("node_id"), F.col("source").alias("next")), "arcs")
-    fresh, seen = cut(nodes.where("type = 'article'").select(*key, F.col("node_id").alias("article")), "article")
-    best = fresh
+    base = new_folder(nodes.sparkSession, "article")
+    parts = [f"{base}/part-00000"]
+    fresh, seen = cut(nodes.where("type = 'article'").select(*key, F.col("node_id").alias("article")), path=parts[0])
+
+    def so_far() -> DataFrame:
+        """Improvements are appended; the best is their minimum."""
+        offered = nodes.sparkSession.read.schema(fresh.schema).parquet(*parts)
+        return offered.groupBy(*key).agg(F.min("article").alias("article"))
+
     while seen["rows"]:
+        best = so_far()
         offers = (fresh.join(arcs, key).groupBy("project_id", F.col("next").alias("node_id"))
                   .agg(F.min("article").alias("article")))
         better = (offers.join(best.withColumnRenamed("article", "had"), key, "left")
                   .where(F.col("had").isNull() | (F.col("article") < F.col("had"))).select(*key, "article"))
         # an article belongs to itself, whatever lies behind it
         better = better.join(nodes.where("type = 'article'").select(*key), key, "left_anti")
-        fresh, seen = cut(better, "article")
-        best, _ = cut(best.unionByName(fresh).groupBy(*key).agg(F.min("article").alias("article")), "best")
+        parts.append(f"{base}/part-{len(parts):05d}")
+        fresh, seen = cut(better, path=parts[-1])
+    best = so_far()
     labels = nodes.select("project_id", F.col("node_id").alias("article"), F.col("label").alias("article_label"))
     return (nodes.select(*key).join(best, key, "left").join(labels, ["project_id", "article"], "left")
             .select(*key, F.coalesce("article_label", F.lit("(no article)")).alias("article")))

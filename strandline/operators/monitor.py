@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.paths import ancestors, basename, folder_of, guess_type, matches_any, stem, suffix
-from strandline.plans import top_per_project
+from strandline.plans import cut, top_per_project
 from strandline.vocab import IGNORE_GLOBS, NAME_SIMILARITY
 
 P = "project_id"
@@ -72,35 +72,91 @@ def _rare_letters(name: Column, share: float) -> Column:
                        lambda s: F.concat(s["letter"], s["again"].cast("string")))
 
 
+def _shorter(hashed: bool, *names: Column) -> Column:
+    """The distinct texts that one character less makes of the given ones (an array), or their hashes."""
+    def without_one(name: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+        return F.transform(places, lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))
+
+    out = F.array_distinct(F.flatten(F.concat(*[F.transform(n, without_one) for n in names])))
+    return F.array_distinct(F.transform(out, lambda n: F.xxhash64(n))) if hashed else out
+
+
+def near_names(names: DataFrame, known: DataFrame, place: list[str]) -> DataFrame:
+    """(place, stem, known, node_id): pairs that become equal by taking at most one character out of either.
+
+    A name meets others under the hashes of its shorter forms, so numbered names meet those that differ in one digit, not
+    all of their folder. A shared hash of different texts only adds a pair.
+    """
+    def keyed(table: DataFrame, column: str) -> DataFrame:
+        forms = F.concat(F.array(F.xxhash64(column)), _shorter(True, F.array(F.col(column))))
+        return table.withColumn("form", F.explode(F.array_distinct(forms)))
+
+    return (keyed(names, "stem").join(keyed(known, "known"), [*place, "form"]).where("stem <> known")
+            .select(*place, "stem", "known", "node_id").distinct())
+
+
+def extended_names(names: DataFrame, known: DataFrame, place: list[str]) -> DataFrame:
+    """(place, stem, known, node_id): pairs where the known name has two characters more, in any places."""
+    sizes = names.select(*place, (F.length("stem") + 2).alias("_size")).distinct()
+    fits = known.withColumn("_size", F.length("known")).join(sizes, [*place, "_size"], "left_semi").drop("_size")
+    forms = fits.withColumn("form", F.explode(_shorter(True, _shorter(False, F.array(F.col("known"))))))
+    return (names.withColumn("form", F.xxhash64("stem")).join(forms, [*place, "form"])
+            .select(*place, "stem", "known", "node_id").distinct())
+
+
 def version_candidates(files: DataFrame, tracked: DataFrame, threshold: float = NAME_SIMILARITY) -> DataFrame:
     """(path, node_id, ratio): the recorded file of the same folder and extension whose name is closest.
 
-    Names that are too different in length or letters to reach the threshold are never paired; equal names are
-    settled without comparing. Ties go to the smallest id.
+    Closest first. The ratio of names of a and b characters is at most 1 - d / (a + b) when d characters have to go from
+    both to make them equal. Equal names need no ratio; then come names that differ by one character on either side, then
+    those with two more. What was not met has d >= 3, or d = 2 and a name two characters shorter, so a name with a better
+    ratio than 1 - 3 / (2a + 3) and 1 - 2 / (2a - 2) is settled. Only the others meet every name that shares a letter
+    without which the threshold cannot be reached. Ties go to the smallest id.
     """
     def described(table: DataFrame, *more: str) -> DataFrame:
         name = basename(F.col("path"))
         return table.select(P, "path", *more, folder_of(F.col("path")).alias("folder"),
                             F.lower(suffix(name)).alias("ext"), F.lower(stem(name)).alias("stem"))
 
-    # one row per distinct name: equal names in a folder have equal ratios
-    names = described(files).select(P, "folder", "ext", "stem").distinct()
-    known = (described(tracked, "node_id").groupBy(P, "folder", "ext", F.col("stem").alias("known"))
-             .agg(F.min("node_id").alias("node_id")))
     place = [P, "folder", "ext"]
+    one = [*place, "stem"]
+    # one row per distinct name: equal names in a folder have equal ratios
+    names = described(files).select(*one).distinct()
+    known, _ = cut(described(tracked, "node_id").groupBy(*place, F.col("stem").alias("known"))
+                   .agg(F.min("node_id").alias("node_id")), "known-names")
+    equal, _ = cut(names.join(known.withColumnRenamed("known", "stem"), one).select(*one, "node_id", F.lit(1.0).alias("ratio")),
+                   "equal-names")
+    rest, _ = cut(names.join(equal.select(*one), one, "left_anti"), "other-names")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        fit = pairs.withColumn("ratio", name_similarity("stem", "known")).where(F.col("ratio") >= threshold)
+        return fit.select(*one, "node_id", "ratio")
+
+    def best(found: DataFrame) -> DataFrame:
+        return (found.groupBy(*one).agg(F.min(F.struct((-F.col("ratio")).alias("r"), "node_id")).alias("best"))
+                .select(*one, F.col("best.node_id").alias("node_id"), (-F.col("best.r")).alias("ratio")))
+
+    def open_names(found: DataFrame, *unmet: Column) -> DataFrame:
+        """The names whose best ratio so far does not exceed what an unmet name can reach."""
+        settled = best(found).where(F.col("ratio") > F.greatest(*unmet) + 1e-9).select(*one)
+        return rest.join(settled, one, "left_anti")
+
+    a = F.length("stem")
+    shorter = F.when(a > 2, 1 - 1 / (a - 1)).otherwise(1.0)
+    found, _ = cut(scored(near_names(rest, known, place)), "near-names")
+    more, _ = cut(scored(extended_names(open_names(found, 1 - 2 / (2 * a + 2), shorter), known, place)), "near-names")
+    found = found.unionByName(more)
+    far, _ = cut(open_names(found, 1 - 3 / (2 * a + 3), shorter), "far-names")
     share = threshold / (2 - threshold)
-    equal = names.join(known, [names[c] == known[c] for c in place] + [names["stem"] == known["known"]]).select(
-        *[names[c] for c in place], "stem", "node_id", F.lit(1.0).alias("ratio"))
-    rest = names.join(equal.select(*place, "stem"), [*place, "stem"], "left_anti")
-    left = rest.withColumn("letter", F.explode(F.array_distinct(_rare_letters(F.col("stem"), share))))
-    right = known.withColumn("letter", F.explode(F.array_distinct(_rare_letters(F.col("known"), share))))
-    a, b = F.length("stem"), F.length("known")
+    left = far.withColumn("letter", F.explode(F.array_distinct(_rare_letters(F.col("stem"), share))))
+    right = (known.join(far.select(*place).distinct(), place, "left_semi")
+             .withColumn("letter", F.explode(F.array_distinct(_rare_letters(F.col("known"), share)))))
+    b = F.length("known")
     pairs = (left.join(right, [*place, "letter"]).where(2 * F.least(a, b) >= threshold * (a + b) - 1e-9)
-             .select(*place, "stem", "known", "node_id").distinct())
-    scored = pairs.withColumn("ratio", name_similarity("stem", "known")).where(F.col("ratio") >= threshold)
-    best = (scored.groupBy(*place, "stem").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "node_id")).alias("best"))
-            .select(*place, "stem", F.col("best.node_id").alias("node_id"), (-F.col("best.r")).alias("ratio")))
-    return described(files).join(equal.unionByName(best), [*place, "stem"]).select(P, "path", "node_id", "ratio")
+             .select(*one, "known", "node_id").distinct())
+    closest = best(found.unionByName(scored(pairs)))
+    return described(files).join(equal.unionByName(closest), one).select(P, "path", "node_id", "ratio")
 
 
 def nearest_node(files: DataFrame, tracked: DataFrame) -> DataFrame:

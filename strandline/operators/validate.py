@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.words import looks_cosmetic
-from strandline.operators.graph import find_cycles, reachable
+from strandline.operators.graph import between, find_cycles, reachable
 from strandline.operators.summary import file_kind
 from strandline.plans import cut, number_free
 from strandline.vocab import (GROUPING_RELS, MAX_SNAPSHOT_BYTES, MODES, NO_PATH_EXPECTED, NODE_TYPES, OUTPUT_TYPES,
@@ -160,11 +160,13 @@ def cycles(nodes: DataFrame, edges: DataFrame, catalog_edges: DataFrame) -> Data
     links, _ = cut(named(named(links, "src"), "dst").distinct(), "links")
     into = links.where("NOT startswith(dst, '@')").select(*BATCH, F.col("dst").alias("seed")).distinct()
     out = links.where("NOT startswith(src, '@')").select(*BATCH, F.col("src").alias("node_id")).distinct()
-    paths = reachable(catalog_edges, into.select(P, "seed").distinct(), "down").select(P, "seed", "node_id")
-    between = into.join(paths, [P, "seed"]).join(out, [*BATCH, "node_id"], "left_semi").select(
+    way = between(catalog_edges, into.select(P, F.col("seed").alias("node_id")), out.select(P, "node_id"))
+    met = into.select(P, "seed").distinct().join(way.select(P, F.col("source").alias("seed")).distinct(), [P, "seed"], "left_semi")
+    paths = reachable(way, met, "down").select(P, "seed", "node_id")
+    inside = into.join(paths, [P, "seed"]).join(out, [*BATCH, "node_id"], "left_semi").select(
         *BATCH, F.col("seed").alias("src"), F.col("node_id").alias("dst"))
     scope = F.concat_ws("\u0001", P, "batch_id")
-    graph = links.where("src <> dst").unionByName(between).select(
+    graph = links.where("src <> dst").unionByName(inside).select(
         scope.alias("project_id"), F.col("src").alias("source"), F.col("dst").alias("target"))
     caught = find_cycles(graph).groupBy("project_id").agg(F.min("node_id").alias("at"))
     parts = F.split("project_id", "\u0001")

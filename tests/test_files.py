@@ -111,3 +111,26 @@ def test_rounds(rows):
     assert as_set(monitor.minutes_since_last(log, F.expr("timestamp_seconds(1200)")), "minutes") == {10.0}
     seen = rows("project_id string, path string", ("p", "a"), ("p", "b"), ("p", "c.log"))
     assert as_set(monitor.open_suggestions(seen, rows("project_id string, path string", ("p", "b"))), "path") == {"a"}
+
+
+def test_numbered_names_meet_few(rows):
+    """Numbered names meet those that differ in a digit; the best match is still that of all pairs."""
+    def tables(n):
+        names = [f"sample_{i:05d}" for i in range(n)]
+        known = rows("place string, known string, node_id string", *[("f", x, f"N{x[-5:]}") for x in names])
+        return rows("place string, stem string", *[("f", x) for x in names]), known
+
+    # one of 5 digits goes and one of 10 comes in at one of 5 places: at most 250 for each name, whatever their number
+    for n in (400, 6400):
+        assert monitor.near_names(*tables(n), ["place"]).count() <= 250 * n
+    stems = [f"run{i}" for i in range(0, 300, 2)] + ["run1x", "a", "ab", "xrun10y"]
+    known = [f"run{i}" for i in range(1, 300, 2)] + ["run", "abcd", "xxrun10yy", "b"]
+    got = {r["path"]: (r["node_id"], round(r["ratio"], 9)) for r in monitor.version_candidates(
+        rows("project_id string, path string", *[("p", f"d/{x}.t") for x in stems]),
+        rows("project_id string, path string, node_id string", *[("p", f"d/{x}.t", x) for x in known])).collect()}
+    want = {}
+    for x in stems:
+        ratio, node = min((-difflib.SequenceMatcher(None, x, k).ratio(), k) for k in known)
+        if -ratio >= 0.72:
+            want[f"d/{x}.t"] = (node, round(-ratio, 9))
+    assert got == want

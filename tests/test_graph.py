@@ -118,3 +118,14 @@ def test_independent_of_order_and_partitions(rows, spark):
     one = as_set(graph.effective_parents(n, e), "node_id", "parent_id")
     many = as_set(graph.effective_parents(n.repartition(7), e.orderBy("edge_id", ascending=False).repartition(5)), "node_id", "parent_id")
     assert one == many
+
+
+def test_cycle_question_is_asked_of_the_way_only(rows):
+    chain = [("p", f"e{i}", f"n{i}", f"n{i + 1}", "feeds", None) for i in range(40)]
+    off = [("p", f"o{i}", "n5", f"off{i}", "feeds", None) for i in range(30)] + [("q", "x", "n9", "n3", "feeds", None)]
+    edges = rows(EDGE, *chain, *off)
+    new = rows(EDGE, ("p", "a", "n9", "n3", "feeds", None), ("p", "b", "n3", "n9", "feeds", None), ("q", "c", "n9", "n3", "feeds", None))
+    assert as_set(graph.cycle_violations(edges, new), "edge_id") == {"a"}
+    point = "project_id string, node_id string"
+    way = graph.between(edges, rows(point, ("p", "n3")), rows(point, ("p", "n9")))
+    assert as_set(way, "source", "target") == {(f"n{i}", f"n{i + 1}") for i in range(3, 9)}

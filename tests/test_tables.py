@@ -143,3 +143,14 @@ def test_search(rows):
     assert search.search_all_terms(nodes, edges, "locus credible").count() == 0
     assert as_set(search.search_scored(nodes, edges, "how was the credible coverage made"), "node_id", "score") == {("T1", 2), ("F1", 1)}
     assert search.search_params(nodes, edges, "which params").count() == 1
+
+
+def test_subtree_sizes_in_doubling_steps(rows):
+    import pytest
+    chain = [("p", f"a{i}", f"a{i - 1}" if i else None) for i in range(20)]
+    star = [("p", f"s{i}", "a19") for i in range(9)] + [("q", "a0", None), ("q", "z", "unknown")]
+    got = as_set(trees.subtree_sizes(rows("project_id string, key string, parent string", *chain, *star)), "project_id", "key", "below")
+    assert got == ({("p", f"a{i}", 19 - i + 9) for i in range(20)} | {("p", f"s{i}", 0) for i in range(9)}
+                   | {("q", "a0", 0), ("q", "z", 0)})
+    with pytest.raises(RuntimeError, match="loop"):
+        trees.subtree_sizes(rows("project_id string, key string, parent string", ("p", "x", "y"), ("p", "y", "x")))
