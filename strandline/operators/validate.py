@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.words import looks_cosmetic
+from strandline.functions.words import looks_cosmetic, natural_key
+from strandline.operators.dedup import batch_signature, classify_new
 from strandline.operators.graph import between, find_cycles, reachable
 from strandline.operators.summary import file_kind
 from strandline.plans import cut, number_free
@@ -176,7 +177,8 @@ def cycles(nodes: DataFrame, edges: DataFrame, catalog_edges: DataFrame) -> Data
 
 def duplicates(nodes: DataFrame, classified: DataFrame, signatures: DataFrame) -> DataFrame:
     """Content that is recorded already (same_as, overlaps by key) or twice in the batch (first by key)."""
-    allowed = nodes.select(*BATCH, F.col("key").alias("owner"), F.coalesce("allow_duplicate", F.lit(False)).alias("allowed"))
+    chosen = F.coalesce("allow_duplicate", F.lit(False)) if "allow_duplicate" in nodes.columns else F.lit(False)
+    allowed = nodes.select(*BATCH, F.col("key").alias("owner"), chosen.alias("allowed"))
     found = classified.join(allowed, [*BATCH, "owner"])
     same = found.where("same_as IS NOT NULL AND NOT allowed")
     partly = found.where("overlaps IS NOT NULL AND (same_as IS NULL OR allowed)")
@@ -184,6 +186,19 @@ def duplicates(nodes: DataFrame, classified: DataFrame, signatures: DataFrame) -
                  finding(signatures.where("first <> owner"), ERROR, "twice_in_batch", "owner", "first")])
 
 
+def content_duplicates(nodes: DataFrame, files: DataFrame, recorded: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """`duplicates` from the files (owner = key, size, hash) of the batches and those of the catalog (owner, size, hash)."""
+    # one object per batch and key; both checks look at content sets
+    named = files.withColumn("owner", F.concat_ws("\u0001", "batch_id", "owner"))
+    parts = F.split("owner", "\u0001")
+    classified = classify_new(named, recorded, min_bytes).select(
+        P, parts[0].alias("batch_id"), parts[1].alias("owner"), "same_as", "overlaps")
+    scoped = files.withColumn(P, F.concat_ws("\u0001", P, "batch_id"))
+    scope = F.split(P, "\u0001")
+    signatures = batch_signature(scoped, min_bytes).select(scope[0].alias(P), scope[1].alias("batch_id"), "owner", "first")
+    return duplicates(nodes, classified, signatures)
+
+
 def paths(nodes: DataFrame, listing: DataFrame) -> DataFrame:
     """Missing files, oversized managed copies, destinations that exist. `listing` has path, size, is_dir."""
     on_disk = listing.select(P, "path", F.col("size").alias("_size"), F.col("is_dir").alias("_dir")).dropDuplicates([P, "path"])
@@ -264,8 +279,11 @@ def check_batch(batch: dict[str, DataFrame], catalog: dict[str, DataFrame]) -> D
         parts.append(nested_params(edges))
     if "inventory" in catalog:
         parts.append(paths(nodes, catalog["inventory"]))
+    if "files" in batch and "files" in catalog:
+        parts.append(content_duplicates(nodes, batch["files"], catalog["files"]))
     if "steps" in catalog:
-        parts.append(missing_meta(nodes, catalog["steps"]))
+        steps = catalog["steps"].select(P, "step")
+        parts.append(missing_meta(nodes, steps.unionByName(batch["steps"].select(P, "step")) if "steps" in batch else steps))
     if {"saves", "branches", "notes", "groups"} <= set(batch):
         parts.append(small_items(batch["saves"], batch["branches"], batch["notes"], batch["groups"]))
     return _all(parts)
@@ -305,14 +323,34 @@ def implied_code_edges(edges: DataFrame, catalog_edges: DataFrame) -> DataFrame:
     return wanted.join(have, [P, "script", "dst"], "left_anti")
 
 
+def merged_links(links: DataFrame) -> DataFrame:
+    """One row for each (source, target, rel) of a batch: parameters are merged in the order of `n`, the last value of a
+    name wins, and so does the last text of each other column that has one."""
+    key = [P, "source", "target", "rel"]
+    place = F.col("n").cast("string")
+    order = F.struct(place.try_cast("bigint").alias("number"), natural_key(place).alias("key"), place.alias("text"))
+    rest = [c for c in links.columns if c not in (*key, "n", "params", "batch_id")]
+    given = {c: F.nullif(F.col(c), F.lit("")) if dict(links.dtypes)[c] == "string" else F.col(c) for c in rest}
+    told = links.groupBy(*key).agg(F.max(order).alias("_last"), *[
+        F.max_by(given[c], F.when(given[c].isNotNull(), order)).alias(c) for c in rest]).drop("_last")
+    values = (links.select(*key, order.alias("_order"), F.explode("params").alias("_name", "_value"))
+              .groupBy(*key, "_name").agg(F.max_by("_value", "_order").alias("_value")))
+    params = values.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias("params"))
+    empty = F.create_map().cast(links.schema["params"].dataType)
+    return told.join(params, key, "left").withColumn("params", F.coalesce("params", empty))
+
+
 def upsert_edges(catalog_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """Links after a load: a link of the same ends and relation takes over new parameters, others are added."""
+    """Links after a load: a link of the same ends and relation takes over new parameters and texts, others are added."""
     key = [P, "source", "target", "rel"]
-    fresh = new_edges.select(*key, F.col("params").alias("_new"), F.col("edge_id").alias("_id"))
+    names = [c for c in catalog_edges.columns if c not in (*key, "params", "edge_id")]
+    kinds = catalog_edges.schema
+    told = {c: F.col(c).cast(kinds[c].dataType) if c in new_edges.columns else F.lit(None).cast(kinds[c].dataType) for c in names}
+    fresh = new_edges.select(*key, F.col("params").alias("_new"), F.col("edge_id").alias("_id"),
+                             *[told[c].alias(f"_new_{c}") for c in names])
     kept = F.map_filter("params", lambda k, _: ~F.coalesce(F.map_contains_key("_new", k), F.lit(False)))
     params = (F.when(F.col("params").isNull(), F.col("_new")).when(F.col("_new").isNull(), F.col("params"))
               .otherwise(F.map_concat(kept, "_new")))
     both = catalog_edges.join(fresh, key, "full_outer")
-    names = [c for c in catalog_edges.columns if c not in (*key, "params", "edge_id")]
-    return both.select(F.coalesce("edge_id", "_id").alias("edge_id"), *key, params.alias("params"), *names).select(
-        *catalog_edges.columns)
+    return both.select(F.coalesce("edge_id", "_id").alias("edge_id"), *key, params.alias("params"),
+                       *[F.coalesce(f"_new_{c}", c).alias(c) for c in names]).select(*catalog_edges.columns)

@@ -116,6 +116,12 @@ def on_disk(fx):
     return files.select("project_id", "batch_id", F.col("key").alias("owner"), "size", F.sha2("label", 256).alias("hash"))
 
 
+def recorded_parts(fx):
+    """Parts over size 40 are recorded with their name as content."""
+    return fx.table("part").where("p_size > 40").selectExpr(
+        "'p0' AS project_id", "concat('P', p_partkey) AS owner", "sha2(p_name, 256) AS hash", "CAST(1 AS BIGINT) AS size")
+
+
 @query(sql(("ERROR", "same_content", "key", "owner", "batch JOIN old USING (label) WHERE least = owner"),
            ("ERROR", "twice_in_batch", "key", "first", """(SELECT *, min(key) OVER (PARTITION BY batch_id, label) AS first FROM batch)
             WHERE first <> key"""), need=("fx_batch_node", "fx_disk"), extra="""
@@ -123,19 +129,8 @@ batch AS (SELECT DISTINCT batch_id, key, label FROM fx_batch_node JOIN fx_disk U
 old AS (SELECT 'P' || p_partkey AS owner, p_name AS label, min('P' || p_partkey) OVER (PARTITION BY p_name) AS least FROM part
         WHERE p_size > 40)"""))
 def v_duplicates(fx):
-    """Parts over size 40 are recorded with their name as content."""
-    old = fx.table("part").where("p_size > 40").selectExpr(
-        "'p0' AS project_id", "concat('P', p_partkey) AS owner", "sha2(p_name, 256) AS hash", "CAST(1 AS BIGINT) AS size")
     batch = on_disk(fx).withColumn("size", F.lit(1).cast("long"))
-    # one object per batch and key; both checks look at content sets
-    named = batch.withColumn("owner", F.concat_ws("\u0001", "batch_id", "owner"))
-    parts = F.split("owner", "\u0001")
-    classified = dedup.classify_new(named, old, 1).select(
-        "project_id", parts[0].alias("batch_id"), parts[1].alias("owner"), "same_as", "overlaps")
-    scoped = batch.withColumn("project_id", F.concat_ws("\u0001", "project_id", "batch_id"))
-    scope = F.split("project_id", "\u0001")
-    signatures = dedup.batch_signature(scoped, 1).select(scope[0].alias("project_id"), scope[1].alias("batch_id"), "owner", "first")
-    return out(validate.duplicates(fx.batch_nodes(), classified, signatures))
+    return out(validate.content_duplicates(fx.batch_nodes(), batch, recorded_parts(fx), 1))
 
 
 @query(sql(("ERROR", "path_missing", "key", "path", "fx_batch_node WHERE path LIKE 'gone/%'"),
@@ -165,18 +160,24 @@ def v_ungrouped_sets(fx):
     return out(validate.ungrouped_sets(fx.batch_nodes(), fx.batch_edges(), fx.nodes()))
 
 
-@query(with_tables(["fx_batch_node", "fx_batch_edge"], """
-SELECT batch_id, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(w) AS BIGINT) AS warnings, sum(e) = 0 AS passed FROM (
-  SELECT batch_id, CASE WHEN type = 'widget' THEN 1 ELSE 0 END + CASE WHEN mode = 'copied' THEN 1 ELSE 0 END
-         + CASE WHEN trim(label) = '' THEN 1 ELSE 0 END AS e, CASE WHEN length(trim(label)) > 60 THEN 1 ELSE 0 END AS w
-  FROM fx_batch_node
-  UNION ALL SELECT batch_id, CASE WHEN rel = 'makes' THEN 1 ELSE 0 END, CASE WHEN len(keys) = 3 THEN 2 ELSE 0 END FROM fx_batch_edge
-) GROUP BY batch_id"""))
+# every rule that has a query of its own, next to each other
+_RULES = ("v_duplicate_keys", "v_unknown_values", "v_labels", "v_dangling", "v_script_type", "v_nested_params", "v_cosmetic",
+          "v_param_rel", "v_unparameterised", "v_no_provenance", "v_cycles", "v_duplicates", "v_paths", "v_missing_meta",
+          "v_ungrouped_sets")
+_FOUND = "\nUNION ALL ".join(f"SELECT batch_id, severity FROM ({SQL[name]}) AS {name}" for name in _RULES)
+
+
+@query(f"""
+SELECT b.batch_id, count(f.severity) FILTER (f.severity = 'ERROR') AS errors, count(f.severity) FILTER (f.severity = 'WARN') AS warnings,
+       count(f.severity) FILTER (f.severity = 'ERROR') = 0 AS passed
+FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS batch_id FROM part) b LEFT JOIN ({_FOUND}) f ON f.batch_id = b.batch_id
+GROUP BY b.batch_id""")
 def v_report(fx):
-    nodes, edges = fx.batch_nodes(), fx.batch_edges()
-    findings = reduce(DataFrame.unionByName, [validate.unknown_values(nodes, edges), validate.labels(nodes),
-                                              validate.cosmetic_params(edges)])
-    return validate.report(nodes, findings).drop("project_id")
+    """All rules over the batches with their files, against the whole catalog."""
+    batch = {"nodes": fx.batch_nodes(), "edges": fx.batch_edges(), "files": on_disk(fx).withColumn("size", F.lit(1).cast("long"))}
+    catalog = {"nodes": fx.nodes(), "edges": fx.edges(), "inventory": listed(fx), "files": recorded_parts(fx),
+               "steps": fx.nodes().select("project_id", "step").distinct()}
+    return validate.report(fx.batch_nodes(), validate.check_batch(batch, catalog)).drop("project_id")
 
 
 @query(with_tables(["fx_batch_node", "fx_node"], """

@@ -9,7 +9,7 @@ from strandline.operators import validate
 from strandline.operators.history import history
 from strandline.operators.staleness import Staleness, disk_state, node_state
 from strandline.operators.trees import hidden_nodes
-from strandline.plans import path_exists
+from strandline.plans import cut, path_exists
 
 
 def current_snapshot(spark: SparkSession, root: str) -> int:
@@ -42,42 +42,82 @@ def read_snapshot(spark: SparkSession, root: str, n: int | None = None) -> dict[
     return {name: spark.read.parquet(f"{root}/snapshot-{n:06d}/{name}") for name in row["tables"].split(",")}
 
 
+# sections of a batch besides nodes and edges, and the column of each that names an artifact
+SECTIONS = {"notes": "node", "groups": "node", "final": "node", "saves": "node"}
+
+
 def load_batch(batch: dict[str, DataFrame], catalog: dict[str, DataFrame], root: str) -> tuple[DataFrame, int | None]:
     """Check a batch and, without errors, write the next snapshot: (findings, snapshot number or None).
 
-    Nothing of a refused or failed load becomes visible. Nodes get their ids first, links follow the keys.
+    Nothing of a refused or failed load becomes visible. Nodes get their ids first, everything else follows the keys.
+    `steps` replace steps of the same name; `notes` (node, text) and `groups` (name, node) are added; a save (node) raises
+    the version; `final` (node, version) marks a version, the newest one if it names none. Branches are made by
+    `derive_branch` and refused here.
     """
+    if "branches" in batch and batch["branches"].limit(1).count():
+        raise ValueError("load_batch: make branches with derive_branch")
     findings = validate.check_batch(batch, catalog)
     if findings.where(F.col("severity") == validate.ERROR).limit(1).count():
         return findings, None
     nodes = batch["nodes"]
-    ids = validate.next_ids(nodes, catalog["nodes"], F.expr("seq div 100000"))
+    ids, _ = cut(validate.next_ids(nodes, catalog["nodes"], F.expr("seq div 100000")), "ids")
     by_key = ids.select("project_id", "batch_id", "key", F.col("node_id").alias("_id"))
 
     def resolved(df: DataFrame, column: str) -> DataFrame:
         return df.join(by_key.withColumnRenamed("key", column), ["project_id", "batch_id", column], "left").withColumn(
             column, F.coalesce("_id", column)).drop("_id")
 
-    known = catalog["nodes"].columns
-    added = nodes.join(ids, ["project_id", "batch_id", "key"])
-    added = added.select(*[F.col(c) if c in added.columns else F.lit(None).cast(catalog["nodes"].schema[c].dataType).alias(c)
-                           for c in known])
+    def like(table: DataFrame, rows: DataFrame) -> DataFrame:
+        """`rows` with the columns of a table; those they lack are null."""
+        return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(table.schema[c].dataType).alias(c)
+                             for c in table.columns])
+
     links = batch["edges"]
+    if "script" not in links.columns:
+        links = links.withColumn("script", F.lit(None).cast("string"))
     for column in ("src", "dst", "script"):
         links = resolved(links, column)
     implied = validate.implied_code_edges(links, catalog["edges"]).select(
         "project_id", F.col("script").alias("source"), F.col("dst").alias("target"), F.lit("code").alias("rel"),
         F.create_map().cast("map<string,string>").alias("params"))
-    fresh = (links.select("project_id", F.col("src").alias("source"), F.col("dst").alias("target"), "rel", "params")
-             .unionByName(implied))
-    fresh = fresh.groupBy("project_id", "source", "target", "rel").agg(F.max_by("params", F.size("params")).alias("params"))
+    named = links.withColumnsRenamed({"src": "source", "dst": "target"})
+    fresh = validate.merged_links(named).unionByName(implied, allowMissingColumns=True)
     fresh = fresh.withColumn("edge_id", F.concat("source", F.lit(">"), "target", F.lit(":"), "rel"))
     tables = dict(catalog)
-    tables["nodes"] = catalog["nodes"].unionByName(added)
+    tables["nodes"] = catalog["nodes"].unionByName(like(catalog["nodes"], nodes.join(ids, ["project_id", "batch_id", "key"])))
     tables["edges"] = validate.upsert_edges(catalog["edges"], fresh)
+    rows = {name: resolved(batch[name], column).withColumnRenamed(column, "node_id")
+            for name, column in SECTIONS.items() if name in batch}
+    tables["nodes"] = _versions_set(tables["nodes"], rows.get("saves"), rows.get("final"))
+    if "steps" in batch:
+        new = batch["steps"].dropDuplicates(["project_id", "step"])
+        old = catalog.get("steps", new.drop("batch_id").limit(0))
+        tables["steps"] = old.join(new, ["project_id", "step"], "left_anti").select(*old.columns).unionByName(like(old, new))
+    for name in ("notes", "groups"):
+        if name in rows:
+            new = rows[name].drop("batch_id", "n")
+            old = catalog.get(name, new.limit(0))
+            both = old.unionByName(like(old, new))
+            tables[name] = both.distinct() if name == "groups" else both
     return findings, write_snapshot(tables, root)
 
 
+def _versions_set(nodes: DataFrame, saves: DataFrame | None, final: DataFrame | None) -> DataFrame:
+    """`nodes` after the saves and the marks of final versions."""
+    key, names = ["project_id", "node_id"], nodes.columns
+    if saves is not None:
+        times = saves.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("_saves"))
+        nodes = nodes.join(times, key, "left").withColumn("current_version", F.when(
+            F.col("_saves").isNotNull(), F.coalesce("current_version", F.lit(0)) + F.col("_saves")).otherwise(F.col("current_version"))
+        ).select(*names)
+    if final is not None:
+        marks = final.groupBy(*key).agg(F.max("version").alias("_final"), F.lit(True).alias("_marked"))
+        nodes = nodes.join(marks, key, "left").withColumn(
+            "final_version", F.when(F.col("_marked"), F.coalesce("_final", "current_version")).otherwise(F.col("final_version"))
+        ).select(*names)
+    return nodes
+
+
 def catalog_snapshot(nodes: DataFrame, edges: DataFrame, recorded: DataFrame, versions: DataFrame, disk: DataFrame,
                      analyses: DataFrame, listed: DataFrame, events: DataFrame, last_events: int = 2000) -> dict[str, DataFrame]:
     """Everything a viewer shows: nodes with state and hiding reason, links with their stale flag, the newest events."""

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
 from strandline.operators import layout
@@ -107,6 +108,42 @@ def test_load_is_all_or_nothing(spark, rows, tmp_path):
         ("T6", "T5", "derives", (("y", "1"),)), ("PL1", "T5", "code", ())}
 
 
+def test_load_keeps_every_section(spark, rows, tmp_path):
+    root = str(tmp_path / "catalog")
+    tables = catalog_tables(rows)
+    tables["edges"] = tables["edges"].selectExpr("*", "CAST(NULL AS STRING) AS script", "'old' AS label", "CAST(NULL AS STRING) AS note")
+    tables["files"] = rows("project_id string, owner string, size long, hash string", ("p", "T4", 9, "x"))
+    catalog.write_snapshot(tables, root)
+    stored = catalog.read_snapshot(spark, root)
+    batch = batch_tables(rows, "produces")
+    batch["edges"] = rows(
+        "project_id string, batch_id string, n string, src string, dst string, rel string, params map<string,string>, script string, "
+        "label string, note string", ("p", "b", "10", "PL1", "T4", "produces", {"x": "3", "zz": "9"}, None, None, "ten"),
+        ("p", "b", "2", "PL1", "T4", "produces", {"x": "1", "y": "2"}, "PL1", "two", "two"),
+        ("p", "b", "3", "PL1", "tab", "produces", {"q": "1"}, None, "", None), ("p", "b", "4", "tab", "five", "derives", None, None, None, None))
+    one = "project_id string, batch_id string, n string, node string, "
+    batch["notes"] = rows(one + "text string", ("p", "b", "1", "tab", "see this"))
+    batch["groups"] = rows(one + "name string", ("p", "b", "1", "five", "g"), ("p", "b", "2", "T4", "g"), ("p", "b", "3", "T4", "g"))
+    batch["final"] = rows(one + "version int", ("p", "b", "1", "T4", None))
+    batch["saves"] = rows(one + "why string", ("p", "b", "1", "T4", "again"))
+    batch["steps"] = rows("project_id string, batch_id string, step string, label string", ("p", "b", "s", "Step"))
+    batch["files"] = rows("project_id string, batch_id string, owner string, size long, hash string", ("p", "b", "tab", 9, "x"))
+    findings, n = catalog.load_batch(batch, stored, root)
+    assert n is None and as_set(findings.where("rule = 'same_content'"), "subject", "detail") == {("tab", "T4")}
+    batch["files"] = batch["files"].where("false")
+    findings, n = catalog.load_batch(batch, stored, root)
+    now = catalog.read_snapshot(spark, root)
+    assert n == 2 and {(r["source"], r["target"], r["label"], r["note"], r["script"], tuple(sorted(r["params"].items())))
+                       for r in now["edges"].collect()} == {
+        ("PL1", "T4", "two", "ten", "PL1", (("a", "1"), ("x", "3"), ("y", "2"), ("zz", "9"))),
+        ("PL1", "T6", None, None, None, (("q", "1"),)), ("T6", "T5", None, None, None, ())}
+    assert as_set(now["notes"], "node_id", "text") == {("T6", "see this")} and as_set(now["steps"], "step", "label") == {("s", "Step")}
+    assert sorted(r["node_id"] for r in now["groups"].collect()) == ["T4", "T5"]
+    assert as_set(now["nodes"].where("node_id = 'T4'"), "current_version", "final_version") == {(2, 2)}
+    with pytest.raises(ValueError, match="derive_branch"):
+        catalog.load_batch(batch | {"branches": batch["notes"]}, stored, root)
+
+
 def test_catalog_snapshot(spark):
     from strandline.fixtures import Fixtures
     fx = Fixtures(spark, "/root/testdata/sf0.001")
