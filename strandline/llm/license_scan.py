@@ -6,10 +6,14 @@ their places is kept, and the gaps between anchors are aligned the same way, whe
 unique. A gap without anchors adds its longest common subsequence. Coverage is the share of the template's words that
 are matched.
 
-Which stretches: at a coverage of LIMIT at most n - ceil(LIMIT n) of the n template words are unmatched, so of any one more
-words one is matched. The words rarest in the text are taken, and each of their occurrences fixes a stretch
-of the template's length and SLACK more on either side. Texts that lack too many of the words are passed over at once.
-So every stretch that could reach the limit is looked at, in texts of any length.
+Which stretches: a statement is a chain of template words that the text holds in the template's order, with at most as many
+other words between two that follow each other as the template has words, and 2 * SLACK more. How long it gets in all is not
+bounded, so copyright lines, remarks and line numbers inside a statement do not hide it. At a coverage of LIMIT at most
+n - ceil(LIMIT n) of the n template words are unmatched, so of any one more words one is matched. The words rarest in the text
+are taken, and each of their occurrences fixes the span that a chain through it can reach; spans that meet are joined. In
+each, the longest chains are found exactly. The best chain (most words, then shortest, then first) gives the stretch, from its
+first to its last word; where the alignment finds fewer words than the chain, the chain counts. So every chain that reaches
+the limit is found, in texts of any length. Statements with a longer insertion in one place are not.
 
 A license is reported when its coverage is at least LIMIT. Null and empty texts report nothing. Repeated rows are scanned each.
 """
@@ -19,7 +23,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -125,23 +129,64 @@ class Template:
         self.name, self.words = name, words_of(text.encode())
         self.counts = Counter(self.words)
         self.need = math.ceil(LIMIT * len(self.words))
+        self.gap = len(self.words) + 2 * SLACK
+        self.at: dict[bytes, list[int]] = {}
+        for j, word in enumerate(self.words):
+            self.at.setdefault(word, []).append(j)
+
+    def spans(self, places: dict[bytes, list[int]]) -> list[tuple[int, int]]:
+        """Disjoint ranges of the text, in order, that hold every chain of `need` words."""
+        spare = len(self.words) - self.need + 1
+        rarest = sorted(range(len(self.words)), key=lambda j: (len(places.get(self.words[j], ())), j))[:spare]
+        step, out = self.gap + 1, []
+        for a, b in sorted((i - j * step, i + (len(self.words) - 1 - j) * step) for j in rarest for i in places.get(self.words[j], ())):
+            if out and a <= out[-1][1]:
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            else:
+                out.append((a, b))
+        return out
+
+    def chain(self, found: list[tuple[int, bytes]]) -> tuple[int, int, int]:
+        """(words, first place, last place) of the best chain among the (place, word) in order of place: most words, then shortest, then
+        first. `top` holds for every template word the best chain (words, first place) that ends there and can still go on."""
+        none = (0, -1)
+        top, ends, recent = [none] * len(self.words), [deque() for _ in self.words], deque()
+        best = (0, 0, 0)
+        for i, word in found:
+            while recent and recent[0][0] < i - self.gap - 1:
+                place, j = recent.popleft()
+                if ends[j][0][0] == place:
+                    ends[j].popleft()
+                    top[j] = ends[j][0][1] if ends[j] else none
+            new = []
+            for j in self.at[word]:
+                n, first = max(top[:j], default=none)
+                new.append((j, (n + 1, first if n else i)))
+            for j, value in new:
+                while ends[j] and ends[j][-1][1] <= value:
+                    ends[j].pop()
+                ends[j].append((i, value))
+                top[j] = ends[j][0][1]
+                recent.append((i, j))
+                n, first = value
+                if n > best[0] or n == best[0] and i - first < best[2] - best[1]:
+                    best = n, first, i
+        return best
 
     def best(self, text: list[bytes], places: dict[bytes, list[int]]) -> tuple[int, int] | None:
-        """(matched words, start of the stretch) of the best stretch at or above the limit."""
+        """(matched words, first word) of the best statement at or above the limit."""
         if sum(min(n, len(places.get(w, ()))) for w, n in self.counts.items()) < self.need:
             return None
-        spare = len(self.words) - self.need + 1
-        rarest = sorted(range(len(self.words)), key=lambda j: (len(places.get(self.words[j], ())), j))[:spare]
-        starts = sorted({max(0, i - j - SLACK) for j in rarest for i in places.get(self.words[j], ())})
-        found = None
-        for start in starts:
-            stretch = text[start:start + len(self.words) + 2 * SLACK]
-            if sum((Counter(stretch) & self.counts).values()) < self.need:
+        found = (0, 0, 0)
+        for a, b in self.spans(places):
+            held = {w: places[w][bisect.bisect_left(places[w], a):bisect.bisect_right(places[w], b)] for w in self.counts if w in places}
+            if sum(min(self.counts[w], len(x)) for w, x in held.items()) < self.need:
                 continue
-            matched = matched_words(stretch, self.words)
-            if matched >= self.need and (found is None or matched > found[0]):
-                found = matched, start
-        return found
+            n, first, last = self.chain(sorted((i, w) for w, x in held.items() for i in x))
+            if n > found[0] or n == found[0] and last - first < found[2] - found[1]:
+                found = n, first, last
+        n, first, last = found
+        return (max(n, matched_words(text[first:last + 1], self.words)), first) if n >= self.need else None
 
 
 def scan_text(data: bytes, templates: list[Template]) -> tuple[int, list[dict]]:
