@@ -25,9 +25,9 @@ def event_history(fx):
 SELECT ts, seq, CAST(ts AS DATE) AS day, event, actor, node FROM fx_event
 WHERE actor = 'user' AND event = 'error' AND contains(detail, '7') ORDER BY ts DESC, seq DESC LIMIT 600"""))
 def timeline(fx):
-    events = fx.events().where("actor = 'user'")
-    hits = events.where(F.contains("detail", F.lit("7")))
-    return ops.timeline(hits, actor="user", event="error", text="error", limit=600).select("ts", "seq", "day", "event", "actor", "node")
+    """The newest errors of users with a 7 in their detail; the operator's limit is per project, the question's over all."""
+    hits = ops.timeline(fx.events(), actor="user", event="error", text="7", fields=["detail"], limit=600)
+    return hits.orderBy(F.desc("ts"), F.desc("seq")).limit(600).select("ts", "seq", "day", "event", "actor", "node")
 
 
 @query(with_tables(["fx_event"], """
