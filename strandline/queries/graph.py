@@ -1,5 +1,8 @@
 """Network questions over the fixture tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.fixtures import with_tables
@@ -185,6 +188,21 @@ def removal_cascade(fx):
     return graph.removal_plan(made, single.unionByName(together)).select("seed", "node_id", "wave")
 
 
+@query()
+def removal_cascade_all(fx):
+    """What follows over all links: the removal of each artifact and article, of all results of a customer, of an article with
+    all results of its customers, and of a nation with all tables of its article."""
+    orders = fx.table("orders").join(fx.table("customer").selectExpr("c_custkey AS o_custkey", "c_nationkey"), "o_custkey")
+    seeds = [fx.nodes().selectExpr("project_id", "node_id AS seed", "node_id")]
+    for rows, seed, node in ((fx.table("orders"), "concat('all of ', o_custkey)", "concat('O', o_orderkey)"),
+                             (orders, "concat('article of ', c_nationkey)", "concat('O', o_orderkey)"),
+                             (orders, "concat('article of ', c_nationkey)", "concat('A', c_nationkey)"),
+                             (orders, "concat('tables of ', c_nationkey)", "concat('T', o_custkey)"),
+                             (orders, "concat('tables of ', c_nationkey)", "concat('N', c_nationkey)")):
+        seeds.append(rows.selectExpr(f"'{PROJECT}' AS project_id", f"{seed} AS seed", f"{node} AS node_id"))
+    return graph.removal_plan(fx.edges(), reduce(DataFrame.unionByName, seeds)).select("seed", "node_id", "wave")
+
+
 _NATION_GONE = """gone AS (
   SELECT 'N' || n_nationkey AS node_id FROM nation
   UNION SELECT 'C' || c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
