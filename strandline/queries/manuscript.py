@@ -122,6 +122,12 @@ def applied_edits(fx):
     return ops.apply_edits(texts(fx), two)
 
 
+@query()
+def applied_edits_all(fx):
+    """All three edits of every document, one after the other; the second asks for an occurrence."""
+    return ops.apply_edits(texts(fx), edits(fx))
+
+
 @query("""
 SELECT 'd' || doc_id AS file, role AS writer, d.lang = 'fr' AS refused FROM documents d JOIN conversations c ON c.conv_id = d.doc_id
 UNION ALL SELECT 'd' || doc_id, 'new', false FROM documents WHERE lang = 'de'""")

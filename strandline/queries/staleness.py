@@ -165,12 +165,8 @@ def rebuild_order(fx):
     return depth.join(places, ["project_id", "depth"]).select("node_id", "place")
 
 
-@query(with_tables(["fx_snapshot", "fx_version"], """
-SELECT DISTINCT 'U' || (1 + CAST(substring(v.node_id, 2) AS BIGINT)) AS node_id
-FROM (SELECT node_id, max(v) AS now FROM fx_version WHERE ts <= TIMESTAMP '2024-01-05 00:00:00' GROUP BY node_id) v
-WHERE now % 2 = 1 AND 'U' || (1 + CAST(substring(v.node_id, 2) AS BIGINT)) IN (SELECT node_id FROM fx_snapshot)"""))
-def stale_asof(fx):
-    """Direct staleness at a past moment: each user's page was built from an even version of the user before it."""
+def asof(fx):
+    """Staleness at a past moment: each user's page was built from an even version of the user before it."""
     saved = versions.assign_versions(fx.snapshots(), F.date_trunc("day", "ts"))
     then = staleness.version_asof(saved, F.expr("TIMESTAMP_NTZ '2024-01-05 00:00:00'"))
     users = fx.snapshots().select("project_id", "node_id").distinct()
@@ -186,4 +182,19 @@ def stale_asof(fx):
     recorded = links.join(now, ["project_id", "source"]).select(
         "project_id", F.col("target").alias("node_id"), F.col("source").alias("parent_id"),
         (F.col("now") - F.col("now") % 2).alias("recorded"))
-    return Staleness(nodes, edges, recorded).direct().select("node_id").distinct()
+    return Staleness(nodes, edges, recorded)
+
+
+@query(with_tables(["fx_snapshot", "fx_version"], """
+SELECT DISTINCT 'U' || (1 + CAST(substring(v.node_id, 2) AS BIGINT)) AS node_id
+FROM (SELECT node_id, max(v) AS now FROM fx_version WHERE ts <= TIMESTAMP '2024-01-05 00:00:00' GROUP BY node_id) v
+WHERE now % 2 = 1 AND 'U' || (1 + CAST(substring(v.node_id, 2) AS BIGINT)) IN (SELECT node_id FROM fx_snapshot)"""))
+def stale_asof(fx):
+    """Direct staleness at a past moment."""
+    return asof(fx).direct().select("node_id").distinct()
+
+
+@query()
+def stale_asof_all(fx):
+    """All that was out of date at a past moment, directly or behind a stale page."""
+    return asof(fx).stale_nodes().select("node_id").distinct()

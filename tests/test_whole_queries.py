@@ -40,3 +40,38 @@ def test_removals_over_all_links_and_seeds(spark):
     want = {(seed, n, wave) for seed, start in seeds.items() for n, wave in cascade(around, into, start).items()}
     assert as_set(QUERIES["removal_cascade_all"](spark, SF), "seed", "node_id", "wave") == want
     assert {"T", "A"} <= {n[0] for _, n, wave in want if wave}
+
+
+def edited(text, steps):
+    """(text, failed, problem) after the (find, replace, nth) of a document."""
+    now = text
+    for n, (find, replace, nth) in enumerate(steps, 1):
+        hits = now.count(find) if find else 0
+        problem = "not found" if not hits else "ambiguous" if nth is None and hits > 1 else "no such occurrence" if (nth or 1) > hits else None
+        if problem:
+            return text, n, problem
+        parts = now.split(find)
+        k = nth or 1
+        now = find.join(parts[:k]) + replace + find.join(parts[k:])
+    return now, None, None
+
+
+def test_all_edits(spark):
+    want = set()
+    for doc, text, lang in as_set(Fixtures(spark, SF).table("documents"), "doc_id", "text", "lang"):
+        steps = [(text.split(" ")[0], "<0>", None), (" the ", "<1>", 2), (" der " if lang == "de" else " le ", "<2>", None)]
+        want.add((f"d{doc}", *edited(text, steps)))
+    assert as_set(QUERIES["applied_edits_all"](spark, SF), "file", "text", "failed", "problem") == want
+    assert {"no such occurrence"} <= {problem for _, _, n, problem in want if n == 2} and any(n == 3 for _, _, n, _ in want)
+
+
+def test_staleness_behind_stale_pages(spark):
+    fx = Fixtures(spark, SF)
+    users = sorted(int(n[1:]) for n in as_set(fx.snapshots(), "node_id"))
+    direct = {int(n[1:]) for n in as_set(QUERIES["stale_asof"](spark, SF), "node_id")}
+    want = set()
+    for user in users:
+        if user in direct or user - 1 in want:
+            want.add(user)
+    assert as_set(QUERIES["stale_asof_all"](spark, SF), "node_id") == {f"U{u}" for u in want}
+    assert direct < want
