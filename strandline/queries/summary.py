@@ -140,3 +140,11 @@ def common_label(fx):
         F.min("p_name").alias("a"), F.max("p_name").alias("b"),
         F.min(F.left("second", F.lit(1))).alias("x"), F.max(F.left("second", F.lit(1))).alias("y"))
     return sets.where("x <> y OR a = b").select("first", "p_brand", label_of(F.col("a"), F.col("b")).alias("label"))
+
+
+@query()
+def common_label_all(fx):
+    """Labels of parts by first word and brand, also where the second words start alike."""
+    sets = fx.table("part").withColumn("first", F.split("p_name", " ")[0]).groupBy("first", "p_brand").agg(
+        F.min("p_name").alias("a"), F.max("p_name").alias("b"))
+    return sets.select("first", "p_brand", label_of(F.col("a"), F.col("b")).alias("label"))

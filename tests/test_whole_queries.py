@@ -1,6 +1,7 @@
 """Queries over their whole tables against plain models, where the SQL of their smaller forms cannot follow."""
 
 from collections import defaultdict
+from itertools import takewhile
 
 from conftest import as_set
 
@@ -75,3 +76,16 @@ def test_staleness_behind_stale_pages(spark):
             want.add(user)
     assert as_set(QUERIES["stale_asof_all"](spark, SF), "node_id") == {f"U{u}" for u in want}
     assert direct < want
+
+
+def test_labels_of_all_sets(spark):
+    sets = defaultdict(set)
+    for name, brand in as_set(Fixtures(spark, SF).table("part"), "p_name", "p_brand"):
+        sets[name.split(" ")[0], brand].add(name)
+    want = set()
+    for (first, brand), names in sets.items():
+        words = [n.split(" ") for n in names]
+        shared = list(takewhile(lambda w: len(set(w)) == 1, zip(*words, strict=False)))
+        want.add((first, brand, " ".join(w[0] for w in shared)))
+    got = as_set(QUERIES["common_label_all"](spark, SF), "first", "p_brand", "label")
+    assert got == want and got > as_set(QUERIES["common_label"](spark, SF), "first", "p_brand", "label")
