@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 PIECE_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE_BYT
             start = end
 
 
+def word_runs(text: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text in order, as lists of about `size` bytes, so that a long text is never a list of words as a whole."""
+    start = 0
+    while start < len(text):
+        gap = _SPACE.search(text, start + size)
+        end = gap.start() if gap else len(text)
+        yield text[start:end].split()
+        start = end
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, the same in every process; forgets all when it grows too large."""
 
