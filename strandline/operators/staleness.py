@@ -45,15 +45,36 @@ def outdated_inputs(nodes: DataFrame, recorded: DataFrame) -> DataFrame:
             .where("now IS NOT NULL AND recorded <> now"))
 
 
+def passed_marks(marks: DataFrame, links: DataFrame) -> DataFrame:
+    """(node_id, mark) that follow from `marks` (node_id, mark) over one typed link each."""
+    stale = F.col("mark") == "stale"
+    data_source = stale & ~F.col("from_process")
+    passes = data_source | ((F.col("mark") == "carries") & F.col("from_process"))
+    now_stale = ((F.col("hard") & ~F.col("to_process") & passes)
+                 | (~F.col("hard") & ~F.col("to_process") & stale)
+                 | (F.col("to_process") & data_source))
+    now_carries = F.col("hard") & F.col("to_process") & passes
+    found = F.array_compact(F.array(F.when(now_stale, F.lit("stale")), F.when(now_carries, F.lit("carries"))))
+    return marks.join(links.withColumnRenamed("source", "node_id"), NODE).select(
+        "project_id", F.col("target").alias("node_id"), F.explode(found).alias("mark"))
+
+
 class Staleness:
     """One evaluation of the staleness rules; the expensive tables are written once and shared."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, recorded: DataFrame, also_stale: DataFrame | None = None):
-        """`also_stale` (node_id) are artifacts known to be stale for reasons outside these tables."""
-        self.edges, self.also_stale = edges, also_stale
+    def __init__(self, nodes: DataFrame, edges: DataFrame, recorded: DataFrame, also_stale: DataFrame | None = None,
+                 links: DataFrame | None = None):
+        """`also_stale` (node_id) are artifacts known to be stale for reasons outside these tables.
+
+        `links` are stored `typed_links`; with them nothing of the size of the network is written, which suits questions about
+        few artifacts.
+        """
+        self.edges, self.also_stale, self.links = edges, also_stale, links
         # the few columns the rules need
-        self.nodes, _ = cut(nodes.select(*NODE, "type", F.col("current_version").cast("int").alias("current_version"),
-                                         F.col("final_version").cast("int").alias("final_version")), "nodes")
+        self.nodes = nodes.select(*NODE, "type", F.col("current_version").cast("int").alias("current_version"),
+                                  F.col("final_version").cast("int").alias("final_version"))
+        if links is None:
+            self.nodes, _ = cut(self.nodes, "nodes")
         self.recorded = recorded
 
     @cached_property
@@ -62,7 +83,7 @@ class Staleness:
 
     @cached_property
     def typed(self) -> DataFrame:
-        return cut(typed_links(self.nodes, self.edges), "links")[0]
+        return self.links if self.links is not None else cut(typed_links(self.nodes, self.edges), "links")[0]
 
     @cached_property
     def parents(self) -> DataFrame:
@@ -104,13 +125,8 @@ class Staleness:
         return (self.moved.join(self.parents.select(*NODE, "parent_id"), [*NODE, "parent_id"], "left_semi")
                 .join(data, NODE, "left_semi"))
 
-    def _marks(self) -> DataFrame:
-        """(node_id, mark): 'stale', or 'carries' for a process behind which a stale input lies.
-
-        A stale input reaches data behind any number of processes, while the processes themselves
-        are only flagged next to it. Carrying marks keeps the work at one visit per link.
-        """
-        arcs = self.typed.withColumnRenamed("source", "node_id")
+    def seeds(self) -> DataFrame:
+        """(node_id) of what is stale by itself, not through another stale artifact; repeats are harmless."""
         process = self.nodes.where(is_process("type")).select("project_id", F.col("node_id").alias("target"))
         links = self.stale_links()
         seed = self.direct().select(*NODE).unionByName(
@@ -119,24 +135,20 @@ class Staleness:
             .select("project_id", F.col("target").alias("node_id")))
         if self.also_stale is not None:
             seed = seed.unionByName(self.also_stale.select(*NODE))
+        return seed
 
-        def step(frontier: DataFrame) -> DataFrame:
-            stale = F.col("mark") == "stale"
-            data_source = stale & ~F.col("from_process")
-            passes = data_source | ((F.col("mark") == "carries") & F.col("from_process"))
-            now_stale = ((F.col("hard") & ~F.col("to_process") & passes)
-                         | (~F.col("hard") & ~F.col("to_process") & stale)
-                         | (F.col("to_process") & data_source))
-            now_carries = F.col("hard") & F.col("to_process") & passes
-            marks = F.array_compact(F.array(F.when(now_stale, F.lit("stale")), F.when(now_carries, F.lit("carries"))))
-            return frontier.join(arcs, NODE).select("project_id", F.col("target").alias("node_id"),
-                                                    F.explode(marks).alias("mark"))
+    def marks(self) -> DataFrame:
+        """(node_id, mark): 'stale', or 'carries' for a process behind which a stale input lies.
 
-        return fixpoint(seed.withColumn("mark", F.lit("stale")), step, [*NODE, "mark"], name="stale")
+        A stale input reaches data behind any number of processes, while the processes themselves
+        are only flagged next to it. Carrying marks keeps the work at one visit per link.
+        """
+        return fixpoint(self.seeds().withColumn("mark", F.lit("stale")), lambda frontier: passed_marks(frontier, self.typed),
+                        [*NODE, "mark"], name="stale")
 
     @cached_property
     def _stale_nodes(self) -> DataFrame:
-        return self._marks().where("mark = 'stale'").select(*NODE)
+        return self.marks().where("mark = 'stale'").select(*NODE)
 
     def stale_nodes(self) -> DataFrame:
         """(node_id) of everything out of date."""

@@ -1,7 +1,7 @@
 """Continuous forms of the pollers, as Structured Streaming jobs.
 
-Small state per key lives in the state store. Work that needs order or joins runs in foreachBatch with the batch
-operators; each micro-batch writes under its own number, so a repeated batch replaces its rows.
+Versions, state changes and new files keep their memory in the state store (`keyed`); rows behind the watermark are in `late`, the
+upkeep of stale artifacts in `upkeep`. Jobs in foreachBatch write under the number of the micro-batch, so a repeated one replaces its rows.
 """
 
 from __future__ import annotations
@@ -9,17 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strandline.operators.graph import effective_parents
-from strandline.operators.monitor import new_files
-from strandline.operators.staleness import Staleness
-from strandline.operators.versions import assign_versions
-from strandline.plans import cut, fixpoint, path_exists, with_previous
-from strandline.vocab import SOFT_RELS
-
 P = "project_id"
 NODE = ["project_id", "node_id"]
 
@@ -36,29 +29,6 @@ def growth_stream(marks: DataFrame) -> DataFrame:
     return marks.groupBy(P, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def state_change_batch(path: str, slice_by: Column) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: write (node_id, ts, seq, state) whenever a node's state differs from the one last reported.
-
-    A first `ok` is silent. Rounds arrive in order; inside a batch, ts and seq give the order, however many rows a
-    node has.
-    """
-    schema = "project_id STRING, node_id STRING, ts TIMESTAMP, seq BIGINT, state STRING"
-
-    def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*NODE, "ts", "seq", "state")
-        # what was reported last, as a row before the batch; it is never reported again itself
-        done = _read_parts(spark, path, schema, n).join(rows.select(*NODE).distinct(), NODE, "left_semi")
-        last = done.groupBy(*NODE).agg(F.max_by("state", F.struct("ts", "seq")).alias("last"))
-        order = [F.col("ts"), F.col("seq")]
-        known = with_previous(rows, NODE, slice_by, order, F.col("state"), "_before").join(last, NODE, "left")
-        before = F.coalesce("_before.value", "last", F.lit("ok"))
-        fresh = known.where(F.col("state") != before).select(*NODE, "ts", "seq", "state")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    return run
-
-
 def heartbeat_timeouts(beats: DataFrame, seconds: int = 60, delay: str = "0 seconds") -> DataFrame:
     """(job_id, last_beat) of jobs without a heartbeat for `seconds`, once event time has passed that point."""
     def silent(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,110 +48,6 @@ def heartbeat_timeouts(beats: DataFrame, seconds: int = 60, delay: str = "0 seco
     return quiet.select("job_id", F.timestamp_millis("last_ms").alias("last_beat"))
 
 
-def _read_parts(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    """Rows that earlier micro-batches wrote below `path`."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema + ", batch BIGINT").parquet(path).where(F.col("batch") < before).drop("batch")
-
-
-def new_file_batch(seen_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: report files that are new or changed; the first batch only fills the memory."""
-    schema = "project_id STRING, path STRING, size BIGINT, mtime BIGINT"
-
-    def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        files = batch.select(P, "path", "size", "mtime").dropDuplicates([P, "path", "size", "mtime"])
-        seen = _read_parts(spark, seen_path, schema + ", batch_seen BIGINT", n)
-        last = seen.groupBy(P, "path").agg(F.max_by(F.struct("size", "mtime"), "batch_seen").alias("s")).select(P, "path", "s.*")
-        fresh, _ = cut(new_files(files, last), "new-files")
-        if n > 0:
-            fresh.write.mode("overwrite").parquet(f"{out_path}/batch={n}")
-        fresh.select(P, "path", "size", "mtime", F.lit(n).cast("long").alias("batch_seen")).write.mode("overwrite").parquet(
-            f"{seen_path}/batch={n}")
-
-    return run
-
-
-def version_batch(path: str, slice_by: Column) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: number the versions of new snapshots, continuing from the versions already written.
-
-    Numbers follow arrival: a snapshot in a later batch gets a later number whatever its time says.
-    """
-    schema = "project_id STRING, node_id STRING, v INT, ts TIMESTAMP, seq BIGINT, hash STRING"
-
-    def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        touched = batch.select(*NODE).distinct()
-        done = _read_parts(spark, path, schema, n).join(touched, NODE, "left_semi")
-        last = done.groupBy(*NODE).agg(F.max_by(F.struct("v", "hash"), "v").alias("last")).select(
-            *NODE, F.col("last.v").alias("last_v"), F.col("last.hash").alias("last_hash"))
-        rows = batch.select(*NODE, "ts", "seq", "hash")
-        numbered = assign_versions(rows, slice_by).join(last, NODE, "left")
-        # the first new snapshot may repeat the last known content: then all numbers move down by one
-        repeats = (numbered.where("v = 1").select(*NODE, F.col("hash").eqNullSafe(F.col("last_hash")).cast("int").alias("same")))
-        out = (numbered.join(repeats, NODE).where("NOT (v = 1 AND same = 1 AND last_v IS NOT NULL)")
-               .withColumn("v", (F.col("v") + F.coalesce("last_v", F.lit(0))
-                                 - F.when(F.col("last_v").isNotNull(), F.col("same")).otherwise(0)).cast("int")))
-        out.select(*NODE, "v", "ts", "seq", "hash").write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    return run
-
-
-def incremental_staleness(nodes: DataFrame, edges: DataFrame, recorded: DataFrame, changed: DataFrame,
-                          stale_before: DataFrame) -> DataFrame:
-    """Stale artifacts after `changed` (node_id) got new versions, working only on what lies downstream of them.
-
-    `nodes` and `recorded` are the tables after the change. Artifacts outside keep their verdict, and the stale ones
-    among them still count as inputs of the affected part.
-    """
-    seeds = changed.select(P, F.lit("changed").alias("seed"), "node_id").distinct()
-    hits = reachable_from(edges, seeds)
-    affected, _ = cut(hits.unionByName(changed.select(*NODE)).distinct(), "affected")
-    # the affected part with every process its artifacts are made through
-    makers = effective_parents(nodes, edges, affected).where("process").select(P, F.col("parent_id").alias("node_id"))
-    inside, _ = cut(affected.unionByName(makers).distinct().withColumnRenamed("node_id", "target"), "inside")
-    links = edges.where(~F.col("rel").isin(SOFT_RELS)).join(inside, [P, "target"], "left_semi")
-    outside = stale_before.join(affected, NODE, "left_anti")
-    verdict = Staleness(nodes, links, recorded.join(affected, NODE, "left_semi"), also_stale=outside)
-    return verdict.stale_nodes().join(affected, NODE, "left_semi").unionByName(outside.select(*NODE))
-
-
-def reachable_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Artifacts downstream of any of the seeds, each once."""
-    key = [P, "node_id"]
-    arcs = edges.where(~F.col("rel").isin(SOFT_RELS)).select(P, F.col("source").alias("node_id"), F.col("target").alias("next"))
-    stored, _ = cut(arcs.distinct(), "arcs")
-
-    def step(frontier: DataFrame) -> DataFrame:
-        return frontier.join(stored, key).select(P, F.col("next").alias("node_id"))
-
-    return fixpoint(seeds.select(*key), step, key, name="affected").where("round > 0").select(*key)
-
-
-def staleness_batch(read: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch over saved versions (project_id, node_id): rewrite the table of stale artifacts.
-
-    `read` returns nodes, edges and recorded inputs as they are now. Each batch writes the whole verdict under its
-    number; the newest number is the current one.
-    """
-    def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        nodes, edges, recorded = read()
-        newest = None
-        if path_exists(spark, path):
-            parts = spark.read.schema("project_id STRING, node_id STRING, batch BIGINT").parquet(path).where(F.col("batch") < n)
-            newest = parts.agg(F.max("batch")).first()[0]
-        if newest is None:
-            stale = Staleness(nodes, edges, recorded).stale_nodes()
-        else:
-            before, _ = cut(parts.where(F.col("batch") == newest).select(*NODE), "before")
-            stale = incremental_staleness(nodes, edges, recorded, batch.select(*NODE), before)
-        stale.write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    return run
-
-
 def autosave_batch(saves_path: str, log_path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch over state changes (with mode): managed changes ask for a new version, others are logged."""
     def run(batch: DataFrame, n: int) -> None:

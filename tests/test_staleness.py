@@ -4,7 +4,8 @@ import model
 from pyspark.sql import functions as F
 from strandline.operators import staleness
 from strandline.operators.staleness import Staleness
-from strandline.streaming.jobs import incremental_staleness
+from strandline.operators.graph import typed_links
+from strandline.streaming.upkeep import changed_marks
 from test_graph import EDGE, NODE, network, tables
 
 REC = "project_id string, node_id string, parent_id string, recorded int"
@@ -56,9 +57,12 @@ def test_matches_the_model_on_random_networks(rows, seed):
     changed = rnd.choice(sorted(nodes))
     nodes[changed]["current"] += 1
     after, _ = tables(rows, nodes, edges, placed)
-    before = rows("project_id string, node_id string", *[("p", x) for x in want])
-    got = incremental_staleness(after, e, r, rows("project_id string, node_id string", ("p", changed)), before)
-    assert as_set(got, "node_id") == model.stale(nodes, edges, recorded, placed)
+    mark = ["project_id", "node_id", "mark"]
+    before = verdict.marks().select(*mark).unionByName(verdict.seeds().distinct().withColumn("mark", F.lit("seed")))
+    moves = changed_marks(after, e, r, typed_links(n, e), rows("project_id string, node_id string", ("p", changed)), before)
+    moves = moves.where("mark = 'stale'")
+    got = (want | as_set(moves.where("on"), "node_id")) - as_set(moves.where("NOT on"), "node_id")
+    assert got == model.stale(nodes, edges, recorded, placed)
 
 
 def test_confirmations(rows):
