@@ -65,6 +65,7 @@ def normal_text(text: Column) -> Column:
     plain = F.replace(text, F.lit("\u00ad"), F.lit(""))
     for ligature, letters in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")):
         plain = F.replace(plain, F.lit(ligature), F.lit(letters))
-    plain = F.translate(plain, "\u2018\u2019\u201c\u201d\u2212\u2013", "''''--")
+    # few texts hold such signs, and single blanks may stay: what is left alone costs nothing
+    plain = F.when(plain.rlike("[\u2018\u2019\u201c\u201d\u2212\u2013]"), F.translate(plain, "\u2018\u2019\u201c\u201d\u2212\u2013", "''''--")).otherwise(plain)
     plain = F.regexp_replace(plain, r"(?U)-\s*\n\s*", "")
-    return F.lower(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(plain, r"(?U)\s\s+|[\s&&[^ ]]", " ")))

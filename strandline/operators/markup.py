@@ -140,18 +140,36 @@ def _grams(words: Column, k: int) -> Column:
     return F.when(n >= k, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def quote_pairs(quotes: DataFrame, pages: DataFrame, k: int = 4) -> DataFrame:
-    """(quote_id, doc, page_no): pages whose text contains the quote, line breaks and typography aside.
+# The punctuation that may stick to a word.
+GLUED = ".,;:()[]'\""
+# end of fixed values
+_GLUED = r"(^| )[.,;:()\[\]'\"]+|[.,;:()\[\]'\"]+(?= |$)"
+TEXT, WORDS = "text", "words"
 
-    The words inside a quote are whole words on its page, so k of them in a row (fewer in short quotes) lead to the
-    candidate pages by an equi-join; the full texts are compared only there. Quotes of one or two words have no inner
-    word: the words they can be part of are looked up in the vocabulary of all pages first.
+
+def bare_words(normal: Column) -> Column:
+    """A normalised text without the punctuation at the ends of its words."""
+    return F.regexp_replace(normal, F.lit(_GLUED), F.lit("$1"))
+
+
+def _has_words(page: Column, quote: Column) -> Column:
+    """Do the words of the quote follow each other on the page? Both without glued punctuation."""
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return F.contains(spaced(page), spaced(quote))
+
+
+def quote_pairs(quotes: DataFrame, pages: DataFrame, k: int = 2) -> DataFrame:
+    """(quote_id, doc, page_no, how): pages that show the quote, line breaks and typography aside, also more than once. `how` is 'text' where the text
+    contains it, or 'words' where only its words follow each other, whatever punctuation is glued to them.
+
+    The words inside a quote are whole words on its page in either case, so k of them in a row (fewer in short quotes)
+    lead to the candidate pages by an equi-join; the full texts are compared only there. Quotes of one or two words have no
+    inner word: the words they can be part of are looked up in the vocabulary of all pages first.
     """
     page = ["doc", "page_no"]
-    known, _ = cut(pages.select(*page, m.normal_text(F.col("text")).alias("page")), "pages")
-    worded = known.withColumn("words", F.split("page", " "))
+    known, _ = cut(pages.select(*page, m.normal_text(F.col("text")).alias("page")), "pages", row_group=1 << 20)
     asked = (quotes.select("quote_id", m.normal_text(F.col("quote")).alias("quote")).where("quote <> ''")
-             .withColumn("words", F.split("quote", " ")))
+             .withColumn("bare", bare_words(F.col("quote"))).withColumn("words", F.split("bare", " ")))
     asked, _ = cut(asked.withColumn("inner", F.slice("words", F.lit(2), F.greatest(F.size("words") - 2, F.lit(0))))
                    .withColumn("k", F.least(F.size("inner"), F.lit(k))), "quotes")
     lengths = sorted(r["k"] for r in asked.select("k").distinct().collect())  # at most k + 1 values
@@ -160,7 +178,8 @@ def quote_pairs(quotes: DataFrame, pages: DataFrame, k: int = 4) -> DataFrame:
         # stored first, so that its size decides how the far larger page side is joined
         offered, _ = cut(reduce(DataFrame.unionByName, [asked.where(F.col("k") == n).select(
             "quote_id", F.explode(F.array_distinct(_grams(F.col("inner"), n))).alias("gram")) for n in inner]), "offered")
-        wanted, _ = cut(offered.select("gram").distinct(), "wanted")
+        wanted = offered.select("gram").distinct()
+        worded = known.withColumn("words", F.split(bare_words(F.col("page")), " "))
         grams = F.flatten(F.array(*[_grams(F.col("words"), n) for n in inner]))
         found, _ = cut(worded.select(*page, F.explode(grams).alias("gram")).join(wanted, "gram", "left_semi").distinct(), "grams")
         on_pages = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -169,51 +188,80 @@ def quote_pairs(quotes: DataFrame, pages: DataFrame, k: int = 4) -> DataFrame:
                   .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
                   .where("a.n > 0").select("quote_id", F.col("a.gram").alias("gram")))
         pairs = found.join(rarest, "gram").select("quote_id", *page)
-        parts.append(pairs.join(asked.select("quote_id", "quote"), "quote_id").join(known, page)
-                     .where(F.contains("page", F.col("quote"))).select("quote_id", *page))
+        both = pairs.join(asked.select("quote_id", "quote", "bare"), "quote_id").join(known, page)
+        how = F.when(F.contains("page", F.col("quote")), TEXT).when(_has_words(bare_words(F.col("page")), F.col("bare")), WORDS)
+        parts.append(both.select("quote_id", *page, how.alias("how")).where("how IS NOT NULL"))
     if 0 in lengths:
-        parts.append(_short_quotes(asked.where("k = 0"), worded, page))
+        parts.append(_short_quotes(asked.where("k = 0"), known, page))
+    if not parts:
+        return known.select(F.lit(None).cast("string").alias("quote_id"), *page, F.lit(TEXT).alias("how")).limit(0)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _short_quotes(short: DataFrame, worded: DataFrame, page: list[str]) -> DataFrame:
+def _runs(word: Column, n: int) -> Column:
+    """Every n characters in a row."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))), lambda i: F.substr(word, i, F.lit(n)))
+
+
+def _short_quotes(short: DataFrame, known: DataFrame, page: list[str]) -> DataFrame:
     """Pages with a quote of one or two words, found through the vocabulary of all pages.
 
-    One word lies inside some word of the page. Of two, the first ends a word and the second begins the next one.
+    One word lies inside some word of the page. Of two, the first ends a word and the second begins the next one. Or the
+    words are those of the page but for glued punctuation.
     """
-    vocabulary, _ = cut(worded.select(F.explode(F.array_distinct("words")).alias("word")).distinct(), "vocabulary")
+    text, words = F.lit(TEXT).alias("how"), F.lit(WORDS).alias("how")
+    worded = known.select(*page, F.split("page", " ").alias("words"))
+    vocabulary, _ = cut(worded.select(F.explode(F.array_distinct("words")).alias("word")).distinct(), "vocabulary", row_group=1 << 20)
     upto = F.sequence(F.lit(1), F.length("word"))
-    first, last = F.col("words")[0], F.col("words")[F.size("words") - 1]
-    runs = F.array_distinct(F.flatten(F.transform(upto, lambda i: F.transform(
-        F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr("word", i, n)))))
-    one = short.where("size(words) = 1").select("quote_id", F.left(first, F.lit(3)).alias("key"), first.alias("part"))
-    inside, _ = cut(vocabulary.withColumn("key", F.explode(runs)).join(one, "key").where(
-        F.contains("word", F.col("part"))).select("quote_id", "word").distinct(), "inside")
-    single = worded.select(*page, F.explode(F.array_distinct("words")).alias("word")).join(inside, "word").select("quote_id", *page)
-    two = short.where("size(words) = 2")
-    ends, _ = cut(vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.substr("word", i)))).join(
-        two.select("quote_id", first.alias("key")), "key").select("quote_id", F.col("word").alias("a")), "ends")
-    begins, _ = cut(vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.left("word", i)))).join(
-        two.select("quote_id", last.alias("key")), "key").select("quote_id", F.col("word").alias("b")), "begins")
-    n = F.greatest(F.size("words") - 1, F.lit(0))
-    neighbours = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    near = worded.select(*page, F.inline(neighbours))
-    for side, name in ((ends, "a"), (begins, "b")):
-        near = near.join(cut(side.select(name).distinct(), "side")[0], name, "left_semi")
-    double = near.join(ends, "a").join(begins, ["quote_id", "b"]).select("quote_id", *page)
-    return single.unionByName(double).distinct()
-
-
-def match_quotes(quotes: DataFrame, pages: DataFrame, k: int = 4) -> DataFrame:
-    """(quote_id, doc, page_no): the page that shows the quote in each document, the wanted page first, else the lowest.
-
-    `quotes` has quote_id, quote, want (page or null), doc (or null: all documents).
+    quoted = F.split("quote", " ")
+    first, last = quoted[0], quoted[F.size(quoted) - 1]
+    alike = vocabulary.select("word", bare_words(F.col("word")).alias("key"))
+    known_as = lambda part, name: alike.join(short.where("size(words) = 2").select(
+        "quote_id", bare_words(part).alias("key")), "key").select("quote_id", F.col("word").alias(name), words)
+    kinds = {r[0] for r in short.select(F.size("words")).distinct().collect()}
+    parts = []
+    if 1 in kinds:
+        # the first three letters of the part, or all of a shorter one, stand somewhere in the word
+        sizes = sorted(r[0] for r in short.where("size(words) = 1").select(F.least(F.length("quote"), F.lit(3))).distinct().collect())
+        runs = F.array_distinct(F.concat(*[_runs(F.col("word"), n) for n in sizes]))
+        one = short.where("size(words) = 1").select("quote_id", F.left("quote", F.lit(3)).alias("key"), F.col("quote").alias("part"))
+        inside = vocabulary.select("word", F.explode(runs).alias("key")).join(one, "key").where(
+            F.contains("word", F.col("part"))).select("quote_id", "word", text)
+        same = alike.join(short.where("size(words) = 1").select("quote_id", F.col("bare").alias("key")), "key").select("quote_id", "word", words)
+        inside, _ = cut(inside.unionByName(same).distinct(), "inside")
+        parts.append(worded.select(*page, F.explode(F.array_distinct("words")).alias("word")).join(inside, "word").select("quote_id", *page, "how"))
+    if 2 in kinds:
+        two = short.where("size(words) = 2")
+        ends = vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.substr("word", i)))).join(
+            two.select("quote_id", first.alias("key")), "key").select("quote_id", F.col("word").alias("a"), text)
+        ends, _ = cut(ends.unionByName(known_as(first, "a")), "ends")
+        begins = vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.left("word", i)))).join(
+            two.select("quote_id", last.alias("key")), "key").select("quote_id", F.col("word").alias("b"), text)
+        begins, _ = cut(begins.unionByName(known_as(last, "b")), "begins")
+        n = F.greatest(F.size("words") - 1, F.lit(0))
+        neighbours = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        near = worded.select(*page, F.inline(neighbours))
+        for side, name in ((ends, "a"), (begins, "b")):
+            near = near.join(side.select(name).distinct(), name, "left_semi")
+        parts.append(near.join(ends, "a").join(begins, ["quote_id", "how", "b"]).select("quote_id", *page, "how"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def match_quotes(quotes: DataFrame, pages: DataFrame, k: int = 2) -> DataFrame:
+    """(quote_id, doc, page_no, how): the page that shows the quote in each document. Pages whose text contains it come before those
+    that only have its words ('text', 'words'), then the wanted page, then the lowest one.
+
+    `quotes` has quote_id, quote, want (page or null), doc (or null: all documents). A quote that is on no page it may be on has one
+    row: 'not found', with the document that was asked and no page.
     """
     found = quote_pairs(quotes, pages, k).join(quotes.select("quote_id", "want", F.col("doc").alias("_doc")), "quote_id")
     here = found.where("_doc IS NULL OR _doc = doc")
-    order = F.struct((~F.col("page_no").eqNullSafe(F.col("want"))).cast("int").alias("other"), "page_no")
-    return here.groupBy("quote_id", "doc").agg(F.min(order).alias("best")).select(
-        "quote_id", "doc", F.col("best.page_no").alias("page_no"))
+    order = F.struct("how", (~F.col("page_no").eqNullSafe(F.col("want"))).cast("int").alias("other"), "page_no")
+    shown, _ = cut(here.groupBy("quote_id", "doc").agg(F.min(order).alias("best")).select(
+        "quote_id", "doc", F.col("best.page_no").alias("page_no"), F.col("best.how").alias("how")), "shown")
+    missing = quotes.select("quote_id", "doc").distinct().join(shown, "quote_id", "left_anti")
+    return shown.unionByName(missing.select("quote_id", "doc", F.lit(None).cast(shown.schema["page_no"].dataType).alias("page_no"),
+                                            F.lit("not found").alias("how")))
 
 
 def match_doi(texts: DataFrame, refs: DataFrame) -> DataFrame:

@@ -24,15 +24,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/strandline/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut", path: str | None = None, counts: dict | None = None):
+def cut(df: DataFrame, name: str = "cut", path: str | None = None, counts: dict | None = None, row_group: int | None = None):
     """Write `df` once and read it back, so later steps start from files instead of its whole lineage.
 
-    Row counts come from the same pass: `counts` names further boolean columns to count.
+    Row counts come from the same pass: `counts` names further boolean columns to count. `row_group` is the size in bytes of the
+    pieces that a file can be read in; smaller ones than usual suit tables whose rows cost much work later.
     Returns (table, {"rows": n, ...}).
     """
     spark = df.sparkSession
     path = path or new_folder(spark, name)
     seen = Observation()
     marks = [F.count_if(cond).alias(key) for key, cond in (counts or {}).items()]
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), *marks).write.mode("overwrite").parquet(path)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows"), *marks).write.mode("overwrite")
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get

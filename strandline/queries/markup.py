@@ -127,22 +127,30 @@ def evidence_problems(fx):
 
 
 _NORMAL = "trim(lower(regexp_replace({}, '\\s+', ' ', 'g')))"
+_BARE = """' ' || array_to_string(list_transform(string_split({}, ' '), lambda w: trim(w, '.,;:()[]''"')), ' ') || ' '"""
 
 
 @query(f"""
-SELECT quote_id, source AS doc, min(doc_id) AS page_no FROM (
+WITH q AS (SELECT quote_id, q, {_BARE.format('q')} AS bare FROM (
   SELECT 'w' || item_id AS quote_id, {_NORMAL.format('text')} AS q FROM benchmark
   UNION ALL SELECT 's' || item_id, {_NORMAL.format("split_part(text, '.', 1)")} FROM benchmark
-  UNION ALL SELECT 't' || item_id, array_to_string(list_slice(string_split({_NORMAL.format('text')}, ' '), 1, 2), ' ') FROM benchmark)
-JOIN (SELECT doc_id, source, {_NORMAL.format('text')} AS page FROM documents) ON contains(page, q)
-WHERE q <> '' GROUP BY quote_id, source""")
+  UNION ALL SELECT 't' || item_id, array_to_string(list_slice(string_split({_NORMAL.format('text')}, ' '), 1, 2), ' ') FROM benchmark
+  UNION ALL SELECT 'p' || item_id, replace({_NORMAL.format("split_part(text, '.', 1)")}, ',', '') || ';' FROM benchmark)),
+p AS (SELECT doc, page_no, page, {_BARE.format('page')} AS bare FROM (SELECT source AS doc, doc_id AS page_no, {_NORMAL.format('text')} AS page FROM documents)),
+hits AS (SELECT quote_id, doc, page_no, CASE WHEN contains(page, q) THEN 'text' ELSE 'words' END AS how
+         FROM q JOIN p ON contains(page, q) OR contains(p.bare, q.bare) WHERE q <> ''),
+best AS (SELECT quote_id, doc, min(how) AS how FROM hits GROUP BY quote_id, doc)
+SELECT quote_id, doc, min(page_no) AS page_no, how FROM hits JOIN best USING (quote_id, doc, how) GROUP BY quote_id, doc, how
+UNION ALL SELECT quote_id, NULL, NULL, 'not found' FROM q WHERE quote_id NOT IN (SELECT quote_id FROM best)""")
 def quote_matches(fx):
-    """Benchmark passages, their first sentences and their first two words, in the documents of each source."""
+    """Benchmark passages, their first sentences, those with other punctuation, and their first two words, in the documents of each
+    source."""
     t = fx.table("benchmark")
     quotes = (t.selectExpr("concat('w', item_id) AS quote_id", "text AS quote")
               .unionByName(t.selectExpr("concat('s', item_id) AS quote_id", "substring_index(text, '.', 1) AS quote"))
               .unionByName(t.selectExpr("concat('t', item_id) AS quote_id",
-                                        "substring_index(trim(regexp_replace(text, '\\\\s+', ' ')), ' ', 2) AS quote")))
+                                        "substring_index(trim(regexp_replace(text, '\\\\s+', ' ')), ' ', 2) AS quote"))
+              .unionByName(t.selectExpr("concat('p', item_id) AS quote_id", "concat(replace(substring_index(text, '.', 1), ',', ''), ';') AS quote")))
     quotes = quotes.selectExpr("*", "CAST(NULL AS BIGINT) AS want", "CAST(NULL AS STRING) AS doc")
     pages = fx.table("documents").selectExpr("source AS doc", "doc_id AS page_no", "text")
     return markup.match_quotes(quotes, pages)

@@ -1,3 +1,4 @@
+import random
 import re
 
 from conftest import as_set
@@ -66,8 +67,40 @@ def test_quotes(rows):
     quotes = rows("quote_id string, quote string, want long, doc string", ("long", "quick brown fox jumps", None, None), ("want", "QUICK brown fox jumps", 2, None),
                   ("edge", "ick brown fox ju", None, "d"), ("lig", "office hours", None, None), ("hyph", "hyphenation and 'quoted' te", None, None),
                   ("one", "igh", None, None), ("two", "ox jum", None, "d"), ("none", "quick fox brown jumps", None, None), ("other", "brown fox", None, "e"))
-    assert as_set(markup.match_quotes(quotes, pages), "quote_id", "doc", "page_no") == {
-        ("long", "d", 1), ("want", "d", 2), ("edge", "d", 1), ("lig", "d", 2), ("hyph", "e", 7), ("one", "d", 2), ("two", "d", 1)}
+    assert as_set(markup.match_quotes(quotes, pages), "quote_id", "doc", "page_no", "how") == {
+        ("long", "d", 1, "text"), ("want", "d", 2, "text"), ("edge", "d", 1, "text"), ("lig", "d", 2, "text"), ("hyph", "e", 7, "text"),
+        ("one", "d", 2, "text"), ("two", "d", 1, "text"), ("none", None, None, "not found"), ("other", "e", None, "not found")}
+
+
+def plain_quotes(quotes, pages):
+    """(quote, document, page, how) by looking at every page for every quote."""
+    glued = ".,;:()[]'\""
+    normal = lambda s: re.sub(r"\s+", " ", re.sub(r"-\s*\n\s*", "", s)).strip().lower()
+    bare = lambda s: [w.strip(glued) for w in normal(s).split(" ")]
+    out = set()
+    for name, quote, want, asked in quotes:
+        hits = {}
+        for doc, page, text in pages:
+            if normal(quote) and asked in (None, doc):
+                q, words = bare(quote), bare(text)
+                follow = any(words[i:i + len(q)] == q for i in range(len(words) - len(q) + 1))
+                how = "text" if normal(quote) in normal(text) else "words" if follow else None
+                if how:
+                    hits.setdefault(doc, []).append((how, page != want, page))
+        out |= {(name, doc, min(found)[2], min(found)[0]) for doc, found in hits.items()} or {(name, asked, None, "not found")}
+    return out
+
+
+def test_quotes_against_every_page(rows):
+    rnd = random.Random(6)
+    words = ["alpha", "be", "c", "(be)", "be,", "alphabet", "c.", "\"c", "d;e", "...", "ab", "(", "al"]
+    some = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    pages = [(rnd.choice("xyz"), n, some(rnd.randrange(0, 25)).replace(" ", rnd.choice([" ", "\n", "  "]))) for n in range(40)]
+    quotes = [(f"q{i}", some(rnd.choice([1, 1, 2, 2, 3, 4, 5, 6])), rnd.choice([None, 3, 7]), rnd.choice([None, None, "x", "w"])) for i in range(70)]
+    quotes += [("blank", " \n", None, None), ("inside", "ph", None, None), ("across", "ha b", None, None)]
+    got = markup.match_quotes(rows("quote_id string, quote string, want long, doc string", *quotes), rows("doc string, page_no long, text string", *pages))
+    assert as_set(got, "quote_id", "doc", "page_no", "how") == plain_quotes(quotes, pages)
+    assert {"text", "words", "not found"} == {h for *_, h in plain_quotes(quotes, pages)}
 
 
 def test_where(rows):
