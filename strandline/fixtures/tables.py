@@ -158,14 +158,21 @@ class Fixtures:
             "concat('U', user_id) AS node", "props AS detail")
 
     # ---------------------------------------------------------- files
-    def inventory(self) -> DataFrame:
+    def _listed(self, more: str) -> DataFrame:
         return self.table("documents").selectExpr(
             "source AS owner", "concat(source, '/', lang) AS folder",
             "concat('d', doc_id, element_at(array('.tsv', '.png', '.py', '.log', '.tex'), CAST(doc_id % 5 AS INT) + 1))"
             " AS name",
-            "CAST(octet_length(text) AS BIGINT) AS size", "doc_id AS mtime", "sha2(text, 256) AS hash", "doc_id"
+            "CAST(octet_length(text) AS BIGINT) AS size", "doc_id AS mtime", more, "doc_id"
         ).withColumn("path", F.concat("folder", F.lit("/"), "name")).withColumn("project_id", F.lit(PROJECT))
 
+    def inventory(self) -> DataFrame:
+        return self._listed("sha2(text, 256) AS hash")
+
+    def contents(self) -> DataFrame:
+        """The bytes of every listed file."""
+        return self._listed("text AS content").select("project_id", "owner", "path", "content")
+
     def tracked(self) -> DataFrame:
         """The labelled documents are recorded artifacts."""
         return (self.inventory().join(self.table("labels").select("doc_id").distinct(), "doc_id", "left_semi")

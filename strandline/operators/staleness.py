@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.graph import effective_children, effective_parents, is_process, typed_links
-from strandline.plans import cut, fixpoint
+from strandline.plans import cut, fixpoint, merge_spans
 from strandline.vocab import HARD_RELS, SOFT_RELS
 
 NODE = ["project_id", "node_id"]
@@ -45,8 +45,8 @@ def outdated_inputs(nodes: DataFrame, recorded: DataFrame) -> DataFrame:
             .where("now IS NOT NULL AND recorded <> now"))
 
 
-def passed_marks(marks: DataFrame, links: DataFrame) -> DataFrame:
-    """(node_id, mark) that follow from `marks` (node_id, mark) over one typed link each."""
+def passed_marks(marks: DataFrame, links: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(node_id, mark) that follow from `marks` (node_id, mark) over one typed link each, with the columns `carry`."""
     stale = F.col("mark") == "stale"
     data_source = stale & ~F.col("from_process")
     passes = data_source | ((F.col("mark") == "carries") & F.col("from_process"))
@@ -56,7 +56,7 @@ def passed_marks(marks: DataFrame, links: DataFrame) -> DataFrame:
     now_carries = F.col("hard") & F.col("to_process") & passes
     found = F.array_compact(F.array(F.when(now_stale, F.lit("stale")), F.when(now_carries, F.lit("carries"))))
     return marks.join(links.withColumnRenamed("source", "node_id"), NODE).select(
-        "project_id", F.col("target").alias("node_id"), F.explode(found).alias("mark"))
+        "project_id", F.col("target").alias("node_id"), F.explode(found).alias("mark"), *carry)
 
 
 class Staleness:
@@ -261,3 +261,64 @@ def version_asof(versions: DataFrame, when: Column) -> DataFrame:
     """Newest version number per artifact at a point in time."""
     return (versions.where(F.col("ts") <= when).groupBy(*NODE)
             .agg(F.max("v").cast("int").alias("current_version")))
+
+
+def version_spans(versions: DataFrame) -> DataFrame:
+    """(node_id, v, since, until): when each version (node_id, v, ts) was the newest one. Times must not decrease along the numbers."""
+    forever = F.lit("9999-12-31 00:00:00").cast(versions.schema["ts"].dataType)
+    after = versions.select(*NODE, (F.col("v") - 1).cast("int").alias("v"), F.col("ts").alias("until"))
+    spans = versions.select(*NODE, F.col("v").cast("int").alias("v"), F.col("ts").alias("since")).join(after, [*NODE, "v"], "left")
+    return spans.withColumn("until", F.coalesce("until", forever)).where("since < until")
+
+
+def _another_version(asked: DataFrame, spans: DataFrame, first: DataFrame) -> DataFrame:
+    """`asked` (parent_id, wanted, since, until, ...) cut to the times when parent_id has versions and the newest is not `wanted`.
+
+    That is all of its time but the span of one version: two pieces at most, found by equi-joins.
+    """
+    wanted = spans.select("project_id", F.col("node_id").alias("parent_id"), F.col("v").alias("wanted"), F.col("since").alias("_s"), F.col("until").alias("_u"))
+    begin = first.select("project_id", F.col("node_id").alias("parent_id"), F.col("since").alias("_first"))
+    met = asked.join(begin, ["project_id", "parent_id"]).join(wanted, ["project_id", "parent_id", "wanted"], "left")
+    since = F.greatest("since", "_first")
+    pieces = F.array(F.struct(since.alias("since"), F.least("until", F.coalesce("_s", "until")).alias("until")),
+                     F.struct(F.greatest(since, F.coalesce("_u", "until")).alias("since"), F.col("until").alias("until")))
+    rest = [c for c in asked.columns if c not in ("since", "until")]
+    return met.select(*rest, F.explode(pieces).alias("p")).select(*rest, "p.since", "p.until").where("since < until")
+
+
+def staleness_spans(nodes: DataFrame, edges: DataFrame, versions: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(node_id, since, until): when each artifact was out of date, at every moment in one run.
+
+    `versions` has node_id, v, ts; `recorded` has node_id, v, parent_id, recorded: what version v was built from. The network, final
+    versions and placements are taken as they are. Seeds get the times at which an input was another version than the
+    recorded one, and carry them along the links; a link is followed again only for times that are new to its target.
+    """
+    spans, _ = cut(version_spans(versions), "spans")
+    first = spans.groupBy(*NODE).agg(F.min("since").alias("since"))
+    end = F.lit("9999-12-31 00:00:00").cast(spans.schema["until"].dataType)
+    kinds, _ = cut(nodes.select(*NODE, "type", "final_version"), "nodes")
+    links, _ = cut(typed_links(kinds, edges), "links")
+    built = recorded.where("recorded IS NOT NULL").select(*NODE, F.col("v").cast("int").alias("v"), "parent_id", F.col("recorded").cast("int").alias("wanted"))
+    moved, _ = cut(_another_version(built.join(spans, [*NODE, "v"]).drop("v"), spans, first).drop("wanted"), "moved")
+    parents = effective_parents(kinds, edges, moved, links)
+    data = kinds.where(~is_process("type")).select(*NODE)
+    direct = moved.join(parents.select(*NODE, "parent_id"), [*NODE, "parent_id"], "left_semi").join(data, NODE, "left_semi")
+    hard = edges.where(F.col("rel").isin(HARD_RELS)).select("project_id", F.col("source").alias("parent_id"), F.col("target").alias("made_by")).distinct()
+    reruns = moved.join(parents.where("process").select(*NODE, F.col("parent_id").alias("made_by")), NODE).join(
+        hard, ["project_id", "parent_id", "made_by"], "left_semi").select("project_id", F.col("made_by").alias("node_id"), "since", "until")
+    # a placed component with a final version is compared with that one as soon as it has versions
+    placed = (edges.where("rel = 'part_of' AND placed_version IS NOT NULL").select("project_id", F.col("source").alias("parent_id"), F.col("target").alias("node_id"), F.col("placed_version").cast("int").alias("wanted"))
+              .join(kinds.select("project_id", F.col("node_id").alias("parent_id"), "final_version"), ["project_id", "parent_id"])
+              .join(first.select("project_id", F.col("node_id").alias("parent_id"), "since"), ["project_id", "parent_id"]).withColumn("until", end))
+    newer = placed.where("final_version <> wanted").unionByName(
+        _another_version(placed.where("final_version IS NULL"), spans, first))
+    seeds = direct.select(*NODE, "since", "until").unionByName(reruns).unionByName(newer.select(*NODE, "since", "until"))
+    time = ("since", "until")
+    marks = fixpoint(seeds.select(*NODE, F.lit("stale").alias("mark"), *time), lambda frontier: passed_marks(frontier, links, time),
+                     [*NODE, "mark"], name="stale-spans", span=time)
+    return merge_spans(marks.where("mark = 'stale'"), NODE, *time)
+
+
+def staleness_asof(spans: DataFrame, when: Column) -> DataFrame:
+    """(node_id) of what was out of date at a moment, from `staleness_spans`."""
+    return spans.where((F.col("since") <= when) & (when < F.col("until"))).select(*NODE)

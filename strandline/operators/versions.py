@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.words import natural_key
 from strandline.operators.graph import branch_family, is_process
 from strandline.plans import number_changes
 from strandline.vocab import MAX_SNAPSHOT_BYTES, PARAM_RELS, SOFT_RELS
@@ -140,7 +141,7 @@ def derive_branch(requests: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("carries", carries)
     per_branch = pairs.groupBy("project_id", "new_id").agg(
         F.bool_or("carries").alias("any_carries"),
-        F.min(F.when(F.col("rel").isin(PARAM_RELS), F.col("edge_id"))).alias("first_link"))
+        F.min_by("edge_id", F.when(F.col("rel").isin(PARAM_RELS), natural_key(F.col("edge_id")))).alias("first_link"))
     changed = F.col("carries") | (~F.col("any_carries") & F.col("edge_id").eqNullSafe(F.col("first_link")))
     kept = F.map_filter("old", lambda k, _: ~F.map_contains_key("params", k))
     params = F.when(F.col("rel") == "code", F.create_map().cast("map<string,string>")).when(

@@ -8,22 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.plans.materialize import cut, new_folder
+from strandline.plans.ordered import merge_spans
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str],
-             max_rounds: int | None = None, stop_at_max: bool = False, name: str = "fixpoint") -> DataFrame:
+             max_rounds: int | None = None, stop_at_max: bool = False, name: str = "fixpoint",
+             span: tuple[str, str] | None = None) -> DataFrame:
     """All rows reachable from `seed` by repeating `step`; `round` tells when a key was first found.
 
     `step` maps the newest rows to candidates with the columns of `seed`. Each round is written
     once, as a new part of the result table, so nothing found earlier is rewritten and lost
     executors only cost the running round. A candidate whose key is known is dropped, so loops in the data end the
     iteration; `max_rounds` is for steps that make new keys without end.
+
+    With `span`, two columns, a row holds for its key from the first up to before the second: overlapping spans of a round
+    are merged, and a candidate is known if one known span covers it.
     """
     spark = seed.sparkSession
     columns = seed.columns
     base = new_folder(spark, name)
     paths: list[str] = []
-    fresh = seed.dropDuplicates(keys)
+    once = (lambda rows: merge_spans(rows, keys, *span)) if span else (lambda rows: rows.dropDuplicates(keys))
+    fresh = once(seed)
     n = 0
     while True:
         paths.append(f"{base}/part-{n:05d}")
@@ -36,5 +42,10 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
             if stop_at_max:
                 return known
             raise RuntimeError(f"{name}: no fixpoint after {max_rounds} rounds (is there a cycle?)")
-        candidates = step(frontier).select(*columns).dropDuplicates(keys)
-        fresh = candidates.join(known.select(*keys), keys, "left_anti")
+        candidates = once(step(frontier).select(*columns))
+        if span is None:
+            fresh = candidates.join(known.select(*keys), keys, "left_anti")
+        else:
+            there = known.select(*[F.col(c).alias(f"_{c}") for c in [*keys, *span]])
+            covers = [F.col(f"_{k}") == F.col(k) for k in keys] + [F.col(f"_{span[0]}") <= F.col(span[0]), F.col(span[1]) <= F.col(f"_{span[1]}")]
+            fresh = candidates.join(there, covers, "left_anti")

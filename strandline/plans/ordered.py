@@ -91,6 +91,15 @@ def number_changes(df: DataFrame, keys: list[str], slice_by: Column, order: list
     return kept.withColumn(out, F.col("_before") + F.col("_opens") + F.col("_n")).select(*df.columns, out)
 
 
+def merge_spans(df: DataFrame, keys: list[str], since: str, until: str) -> DataFrame:
+    """(keys, since, until): the spans of each key with those that meet or overlap made one."""
+    line = Window.partitionBy(*keys).orderBy(since, until)
+    opens = F.coalesce(F.col(since) > F.max(until).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    marked = df.select(*keys, since, until).withColumn("_opens", opens.cast("long"))
+    numbered = marked.withColumn("_n", F.sum("_opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_n").agg(F.min(since).alias(since), F.max(until).alias(until)).drop("_n")
+
+
 def top_per_project(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first `limit` rows of every project (of all rows in a table without projects). Each task keeps at most that
     many rows of a project before the shuffle."""

@@ -51,7 +51,7 @@ def duplicate_groups(fx):
 @query(with_tables(["fx_inventory"], f"""
 SELECT hash, owner, path FROM fx_inventory WHERE size >= {SMALL} AND hash IN (SELECT hash FROM groups)""", _GROUPS))
 def duplicate_members(fx):
-    return dedup.duplicate_members(fx.inventory(), SMALL).select("hash", "owner", "path")
+    return dedup.duplicate_members(fx.inventory().drop("hash"), SMALL, fx.contents()).select("hash", "owner", "path")
 
 
 def single_files(fx):

@@ -1,6 +1,8 @@
 """Staleness questions over the fixture tables."""
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.fixtures import with_tables
@@ -59,19 +61,22 @@ def stale_reasons(fx):
     return evaluate(fx).reasons().select("node_id", "kind", "src", "from_v", "to_v")
 
 
-@query(with_tables(["fx_node", "fx_disk"], """
-SELECT n.node_id, d.path IS NULL AS missing,
-       d.path IS NOT NULL AND (d.mtime <> n.key OR d.size <> 1000 + n.key) AND d.hash <> 'h' || n.node_id AS modified
-FROM fx_node n LEFT JOIN fx_disk d ON d.path = n.path WHERE n.path IS NOT NULL"""))
+# files of customers in debt are gone, results of urgent orders have other content
+_DISK = "FROM fx_node n LEFT JOIN customer ON n.node_id = 'C' || c_custkey LEFT JOIN orders ON n.node_id = 'O' || o_orderkey"
+
+
+@query(with_tables(["fx_node"], f"""
+SELECT n.node_id, coalesce(c_acctbal < 0, false) AS missing, coalesce(o_orderpriority = '1-URGENT', false) AS modified
+{_DISK} WHERE n.path IS NOT NULL"""))
 def disk_state(fx):
     return staleness.disk_state(fx.node_versions(), fx.disk()).select(
         "node_id", "missing", "modified")
 
 
-@query(with_tables(["fx_node", "fx_disk", "st_all"], """
-SELECT n.node_id, CASE WHEN n.path IS NOT NULL AND d.path IS NULL THEN 'missing' WHEN s.node_id IS NOT NULL THEN 'stale'
-       WHEN d.path IS NOT NULL AND (d.mtime <> n.key) AND d.hash <> 'h' || n.node_id THEN 'modified' ELSE 'ok' END AS state
-FROM fx_node n LEFT JOIN fx_disk d ON d.path = n.path LEFT JOIN st_all s ON s.node_id = n.node_id"""))
+@query(with_tables(["fx_node", "st_all"], f"""
+SELECT n.node_id, CASE WHEN c_acctbal < 0 THEN 'missing' WHEN s.node_id IS NOT NULL THEN 'stale'
+       WHEN o_orderpriority = '1-URGENT' THEN 'modified' ELSE 'ok' END AS state
+{_DISK} LEFT JOIN (SELECT DISTINCT node_id FROM st_all) s ON s.node_id = n.node_id"""))
 def node_state(fx):
     disk = staleness.disk_state(fx.node_versions(), fx.disk())
     return staleness.node_state(fx.nodes(), evaluate(fx).stale_nodes(), disk).select("node_id", "state")
@@ -198,3 +203,33 @@ def stale_asof(fx):
 def stale_asof_all(fx):
     """All that was out of date at a past moment, directly or behind a stale page."""
     return asof(fx).stale_nodes().select("node_id").distinct()
+
+
+_MOMENTS = ("2024-01-03 12:00:00", "2024-01-10 00:00:00", "2024-01-25 06:30:00")
+
+
+@query(with_tables(["fx_version"], f"""
+SELECT moment, node_id FROM reach""", f"""
+moments AS (SELECT CAST(m AS TIMESTAMP) AS moment FROM (VALUES {', '.join(f"('{m}')" for m in _MOMENTS)}) t(m)),
+users AS (SELECT DISTINCT node_id FROM fx_version),
+newest AS (SELECT moment, node_id, max(v) AS now FROM fx_version, moments WHERE ts <= moment GROUP BY moment, node_id),
+reach(moment, node_id) AS (
+  SELECT c.moment, c.node_id FROM newest c JOIN newest p ON p.moment = c.moment AND p.node_id = 'U' || (CAST(substring(c.node_id, 2) AS BIGINT) - 1)
+  WHERE c.now >= 2 AND p.now <> c.now - c.now % 2 AND CAST(substring(c.node_id, 2) AS BIGINT) % 8 <> 0
+  UNION SELECT r.moment, u.node_id FROM reach r JOIN users u ON u.node_id = 'U' || (CAST(substring(r.node_id, 2) AS BIGINT) + 1)
+  WHERE CAST(substring(u.node_id, 2) AS BIGINT) % 8 <> 0)""", True))
+def stale_moments(fx):
+    """What was out of date at several moments, from one run over all times: version v of a user's page was built from version
+    v - v % 2 of the page of the user before, in rows of eight users."""
+    saved, _ = cut(versions.assign_versions(fx.snapshots(), F.date_trunc("day", "ts")), "versions")
+    users = saved.select("project_id", "node_id").distinct()
+    nodes = users.withColumn("type", F.lit("result")).withColumn("final_version", F.lit(None).cast("int"))
+    before = F.concat(F.lit("U"), F.substring("node_id", 2, 20).cast("long") - 1)
+    links = users.where(F.substring("node_id", 2, 20).cast("long") % 8 != 0).select("project_id", before.alias("source"), F.col("node_id").alias("target")).join(
+        users.select("project_id", F.col("node_id").alias("source")), ["project_id", "source"], "left_semi")
+    edges = links.select("project_id", "source", "target", F.lit("derives").alias("rel"), F.concat("source", F.lit(">"), "target").alias("edge_id"),
+                         F.lit(None).cast("int").alias("placed_version"))
+    recorded = saved.where("v >= 2").join(edges.select("project_id", F.col("target").alias("node_id")), ["project_id", "node_id"], "left_semi").select("project_id", "node_id", "v", before.alias("parent_id"), (F.col("v") - F.col("v") % 2).alias("recorded"))
+    spans, _ = cut(staleness.staleness_spans(nodes, edges, saved, recorded), "spans")
+    at = lambda m: F.expr(f"TIMESTAMP_NTZ '{m}'")
+    return reduce(DataFrame.unionByName, [staleness.staleness_asof(spans, at(m)).select(at(m).alias("moment"), "node_id") for m in _MOMENTS])

@@ -1,5 +1,6 @@
 import difflib
 import fnmatch
+import hashlib
 import random
 import re
 
@@ -30,6 +31,17 @@ def test_duplicates_need_size_and_another_place(rows):
     assert as_set(dedup.duplicate_members(files, 4096), "path") == {"x/1", "y/2"}
 
 
+def test_contents_are_hashed_above_the_join_on_sizes(rows):
+    listing = [("a", "x/1", 5, "apple"), ("b", "x/2", 5, "apple"), ("b", "x/3", 5, "peach"), ("c", "x/4", 9, "elsewhere"), ("c", "X/1", 5, "apple")]
+    files = rows("project_id string, owner string, path string, size long", *[("p", o, p, s) for o, p, s, _ in listing])
+    content = rows("project_id string, owner string, path string, content string", *[("p", o, p, c) for o, p, _, c in listing])
+    groups = dedup.duplicate_groups(files, 1, content)
+    assert as_set(groups, "hash", "size", "files", "owners_differ") == {(hashlib.sha256(b"apple").hexdigest(), 5, 3, True)}
+    assert as_set(dedup.duplicate_members(files, 1, content), "owner", "path") == {("a", "x/1"), ("b", "x/2"), ("c", "X/1")}
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("sha2(") < plan.index("Join") and "sha2(" not in plan[plan.index("Join"):]
+
+
 def test_merge(rows):
     edges = rows("project_id string, edge_id string, source string, target string, rel string, script string",
                  ("p", "E1", "a", "x", "feeds", None), ("p", "E2", "d", "x", "feeds", "d"), ("p", "E3", "d", "a", "derives", None),

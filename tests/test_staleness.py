@@ -106,3 +106,29 @@ def test_nodes_without_versions(rows):
     n, e, r = chain(rows, {}, {})
     n = n.withColumn("current_version", F.when(F.col("node_id") == "cov", None).otherwise(F.col("current_version")))
     assert Staleness(n, e, r).stale_nodes().count() == 0
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_spans_answer_every_moment(rows, seed):
+    """One run over all times next to the model at twenty moments."""
+    nodes, edges, rnd = network(seed, 14, 28)
+    placed = {e: rnd.choice([None, 1, 2, 3]) for e in edges if e[2] == "part_of"}
+    saves = {x: sorted(rnd.sample(range(1, 100), rnd.randrange(0, 5))) for x in nodes}
+    number = lambda x, t: sum(at <= t for at in saves[x]) or None
+    recorded = {(x, v, p): rnd.choice([None, number(p, at), number(p, at), 1, 9]) for x in nodes if nodes[x]["type"] not in model.PROCESS
+                for v, at in enumerate(saves[x], 1) for p in model.effective_parents(nodes, edges, x)}
+    n, e = tables(rows, nodes, edges, placed)
+    when = lambda df: df.selectExpr("project_id", "node_id", "v", "timestamp_seconds(t) AS ts")
+    versions = when(rows("project_id string, node_id string, v int, t int", *[("p", x, v, at) for x in nodes for v, at in enumerate(saves[x], 1)]))
+    built = rows("project_id string, node_id string, v int, parent_id string, recorded int", *[("p", x, v, p, r) for (x, v, p), r in recorded.items()])
+    spans = [(r.node_id, r.a, r.b) for r in staleness.staleness_spans(n, e, versions, built).select(
+        "node_id", F.unix_seconds("since").alias("a"), F.unix_seconds("until").alias("b")).collect()]
+    changes = 0
+    for t in rnd.sample(range(0, 110), 20):
+        then = {x: {**rec, "current": number(x, t)} for x, rec in nodes.items()}
+        inputs = {(x, p): r for (x, v, p), r in recorded.items() if number(x, t) == v}
+        got = {x for x, a, b in spans if a <= t < b}
+        assert got == model.stale(then, edges, inputs, placed), t
+        changes += bool(got)
+    assert changes >= 5
+    assert len({(x, a) for x, a, _ in spans}) == len(spans) and all(a < b for _, a, b in spans)
