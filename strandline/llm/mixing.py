@@ -8,7 +8,7 @@
    Should its points fall short by a few, the missing ranks follow at the end.
 3. `pieces`: the documents of a source in shuffled order make a stream of words that starts again when it ends; blocks of
    `block` words cut it. A document lies in the blocks it overlaps.
-4. `mix` joins slots and pieces: which words of which document stand in which slot.
+4. `mix` joins slots and pieces: which words of which document stand in which slot. The slots order the mixed documents.
 
 A word is a run of characters other than space and 0x09-0x0D; null and empty texts have size 0 and are never taken. A null
 source is a source. Repeated rows are documents of their own. Documents with equal ids are ordered by size. Order and
@@ -118,33 +118,51 @@ def mix(placed: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
     return pieces(placed, block).join(schedule(targets, block), ["source_no", "rank"])
 
 
-def taken_words(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """doc_id, text_key, size, source_size, target, taken of every row of `docs` (doc_id, source, text)."""
+def _placed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(placed documents, targets), both written."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     targets, _ = cut(source_targets(sized), "mix-targets")
     placed, _ = cut(placed_documents(sized, targets, seed), "mix-placed")
+    return placed, targets
+
+
+def taken_words(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """doc_id, text_key, source_no, size, source_size, target, taken, first_slot of every row of `docs` (doc_id, source, text).
+
+    `first_slot` is the first slot of the schedule in which words of the document stand, null if it has none.
+    """
+    placed, targets = _placed(docs, seed)
     sums = mix(placed, targets, block).groupBy(F.col("source_no").alias("_s"), F.col("start").alias("_at")).agg(
-        F.sum(F.col("last") - F.col("first")).alias("taken"))
+        F.sum(F.col("last") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"))
     here = (F.col("source_no") == F.col("_s")) & (F.when(F.col("size") > 0, F.col("start")) == F.col("_at"))
     return placed.join(sums, here, "left").select("doc_id", "text_key", "source_no", "size", "source_size", "target",
-                                                  F.coalesce("taken", F.lit(0)).alias("taken"))
+                                                  F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The beginning of a text up to its n-th word, white space as it is."""
+    space, word = r"[\x20\x09-\x0D]*+", r"[^\x20\x09-\x0D]++"
+    return F.regexp_substr(text, F.concat(F.lit(f"^(?:{space}{word}){{"), n.cast("string"), F.lit("}+")))
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """`docs` as the mix takes them: a row for each time that a whole document is taken, and the first words of the one
-    document per source that the target cuts. Documents that the mix does not take are gone."""
-    found = taken_words(docs, block, seed).where("taken > 0").groupBy(
-        F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+    """`docs` as the mix takes them, in the order of the schedule: a row for each time that a document is taken, placed by the
+    first slot in which that copy has words. The one document per source that the target cuts ends with its last word taken.
+    Documents that the mix does not take are gone. Rows that repeat id and text count each; all are written as one of them."""
+    placed, targets = _placed(docs, seed)
+    copies = mix(placed, targets, block).groupBy(F.col("source_no").alias("_s"), F.col("start").alias("_at"), F.col("epoch").alias("_epoch")).agg(
+        F.sum(F.col("last") - F.col("first")).alias("_taken"), F.min("slot").alias("_slot"))
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_key").alias("_text")]
+    here = (F.col("source_no") == F.col("_s")) & (F.col("start") == F.col("_at"))
+    taken = placed.where("size > 0").join(copies, here).select(*key, F.col("size").alias("_size"), "_taken", "_slot", "_epoch", "_at")
+    taken, _ = cut(taken, "mix-copies")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
-    rows = rows.dropDuplicates(["_id", "_text"])
-    both = rows.join(found, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_k")))
-    part = F.col("_taken") % F.col("_size")
-    words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cutoff = F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")
+    rows = docs.select(whole.alias("row"), key[0], F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    both = rows.dropDuplicates(["_id", "_text"]).join(taken, ["_id", "_text"])
+    cutoff = first_words(F.col("row.text"), F.col("_taken"))
     shorter = F.col("row").withField("text", cutoff)
     if "n_chars" in docs.columns:
         shorter = shorter.withField("n_chars", F.length(cutoff).cast(docs.schema["n_chars"].dataType))
-    full = both.where("_taken >= _size").select("row", F.explode(F.sequence(F.lit(1), F.expr("cast(_taken div _size as int)"))).alias("_n"))
-    return full.select("row.*").unionByName(both.where(part > 0).select(shorter.alias("row")).select("row.*"))
+    made = both.withColumn("row", F.when(F.col("_taken") < F.col("_size"), shorter).otherwise(F.col("row")))
+    return made.orderBy("_slot", "_epoch", "_at").select("row.*")

@@ -278,6 +278,6 @@ def _close_pairs(apart: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
     """One row of `docs` for each group of near duplicates: that of the smallest doc_id; rows of a null doc_id stay."""
-    kept = near_duplicates(docs, n).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    marked = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
-    return marked.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    kept = near_duplicates(docs, n).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"]).unionByName(
+        docs.where("doc_id IS NULL"))

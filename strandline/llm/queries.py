@@ -122,18 +122,31 @@ filling AS (SELECT min(k) AS k FROM sums WHERE 3 * source_size * weights > rest
 targets AS (SELECT s.source, s.source_size, CASE WHEN f.k IS NULL OR s.k < f.k THEN CAST(3 * s.source_size AS DOUBLE)
               ELSE CAST(o.rest * s.weight AS DOUBLE) / CAST(o.weights AS DOUBLE) END AS target
             FROM sums s, filling f LEFT JOIN sums o ON o.k = f.k),
-placed AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
+placed AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('0:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), d.doc_id, d.size
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
-           FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (words // CAST(source_size AS BIGINT)) * size
-            + least(greatest(words % CAST(source_size AS BIGINT) - start, 0), size) END AS BIGINT) AS taken
-FROM placed
+           FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+-- the schedule: slot i has the point i * 2654435769 mod 2^32, in one interval per source; blocks hold 1024 words
+need AS (SELECT pos, target, CAST(ceil(floor(target) / 1024) AS BIGINT) AS blocks, weighed.source
+         FROM targets JOIN weighed ON weighed.source IS NOT DISTINCT FROM targets.source),
+slots AS (SELECT CASE WHEN sum(blocks) = 0 THEN 0 ELSE sum(blocks) + sum(blocks) // 64 + 64 END AS n FROM need),
+bounds AS (SELECT pos, blocks, CASE WHEN pos = max(pos) OVER () THEN 4294967296
+             ELSE CAST(floor(sum(target) OVER (ORDER BY pos) / sum(target) OVER () * 4294967296.0) AS BIGINT) END AS high FROM need WHERE blocks > 0),
+cells AS (SELECT pos, blocks, coalesce(lag(high) OVER (ORDER BY pos), 0) AS low, high FROM bounds),
+points AS (SELECT CAST(i AS BIGINT) AS slot, CAST((CAST(i AS HUGEINT) * 2654435769) % 4294967296 AS BIGINT) AS point FROM range((SELECT CAST(n AS BIGINT) FROM slots)) r(i)),
+turns AS (SELECT slot, pos, row_number() OVER (PARTITION BY pos ORDER BY slot) - 1 AS rank FROM points JOIN cells ON low <= point AND point < high),
+short AS (SELECT n.pos, count(t.slot) AS had, n.blocks FROM need n LEFT JOIN turns t USING (pos) GROUP BY n.pos, n.blocks),
+plan AS (SELECT slot, pos, rank FROM turns JOIN need USING (pos) WHERE rank < blocks
+         UNION ALL SELECT pos + CAST((SELECT n FROM slots) AS BIGINT), pos, unnest(range(had, blocks)) FROM short WHERE had < blocks),
+taking AS (SELECT placed.*, pos, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (words // CAST(source_size AS BIGINT)) * size
+             + least(greatest(words % CAST(source_size AS BIGINT) - start, 0), size) END AS BIGINT) AS taken
+           FROM placed JOIN need ON need.source IS NOT DISTINCT FROM placed.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, taking.target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot
+FROM taking LEFT JOIN plan ON plan.pos = taking.pos AND plan.rank = CAST(start AS BIGINT) // 1024
 """)
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words the mix takes from every document."""
-    return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """How many words the mix takes from every document, and where it first does."""
+    return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 @query(r"""

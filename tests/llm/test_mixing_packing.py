@@ -70,6 +70,62 @@ def test_documents_as_the_mix_takes_them(spark, rows):
     assert mixing.mix_documents(docs.limit(0)).count() == 0 and mixing.taken_words(docs.limit(0)).count() == 0
 
 
+def plain_slots(targets, block):
+    """(source, rank) -> slot, from golden-ratio points taken one by one; `targets` are (source number, target) in order."""
+    blocks = {no: -(-int(t) // block) for no, t in targets}
+    total, upto, bounds = sum(t for _, t in targets if t), 0.0, []
+    for no, t in targets:
+        if blocks[no]:
+            upto += t
+            bounds.append((int(upto / total * 2**32), no))
+    n = sum(blocks.values())
+    n += n // 64 + 64
+    next_rank, slots = dict.fromkeys(blocks, 0), {}
+    for slot in range(n):
+        point = slot * mixing.GOLDEN % 2**32
+        no = next((no for high, no in bounds if point < high), bounds[-1][1])
+        if next_rank[no] < blocks[no]:
+            slots[no, next_rank[no]] = slot
+        next_rank[no] += 1
+    for no in blocks:
+        for rank in range(min(next_rank[no], blocks[no]), blocks[no]):
+            slots[no, rank] = n + no
+    return slots
+
+
+def test_the_schedule_decides_slots_and_order(spark, rows):
+    """First slots against the points; the mixed documents stand in the order of their slots."""
+    data = [(i, " ".join(f"d{i}w{k}" for k in range(5 + i % 7)), "en", "abc"[i % 5 % 3], 0) for i in range(90)]
+    docs, block = rows(DOCS, *data), 16
+    out = mixing.taken_words(docs, block).collect()
+    targets = sorted({(r.source_no, r.target) for r in out})
+    slots = plain_slots(targets, block)
+    placed, _ = mixing._placed(docs, 0)
+    at = {r.doc_id: (r.source_no, r.start) for r in placed.collect()}
+    want = {i: slots.get((no, start // block)) for i, (no, start) in at.items()}
+    got = {r.doc_id: r.first_slot for r in out if r.taken}
+    assert got == {i: want[i] for i in got} and len(set(got.values())) > 20
+    # not the ranks of the blocks: sources take turns
+    assert any(slot != at[i][1] // block for i, slot in got.items())
+    mixed = [(r.doc_id, r.text) for r in mixing.mix_documents(docs, block).collect()]
+    seen, places = {}, []
+    for i, _ in mixed:
+        no, start = at[i]
+        size = next(r.source_size for r in out if r.doc_id == i)
+        places.append(slots[no, (seen.get(i, 0) * size + start) // block])
+        seen[i] = seen.get(i, 0) + 1
+    assert places == sorted(places)
+    assert sum(a != b for a, b in itertools.pairwise(at[i][0] for i, _ in mixed)) > len(mixed) // 3
+
+
+def test_a_cut_document_keeps_its_lines(spark, rows):
+    text = " one\ttwo \n\n three  four\x0b"
+    got = rows("t string, n int", *[(text, n) for n in range(1, 6)]).select(mixing.first_words(F.col("t"), F.col("n")).alias("x")).collect()
+    assert [r.x for r in got] == [" one", " one\ttwo", " one\ttwo \n\n three", " one\ttwo \n\n three  four", None]
+    long = rows("t string, n int", ("w " * 200_000, 150_000)).select(F.length(mixing.first_words(F.col("t"), F.col("n"))).alias("x")).first().x
+    assert long == 299_999
+
+
 def padding(cells, bounds):
     return sum(min(b for b in bounds if b >= end) * n - words for end, n, words in cells)
 

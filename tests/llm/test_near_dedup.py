@@ -79,3 +79,9 @@ def test_estimate_and_compression():
     assert abs(jaccard[0] - 0.6) < 0.12 and filled[0] == nd.REGISTERS
     zeros = nd._leading_zeros(np.array([1 << 60, (1 << 60) - 1, 1 << 20], np.uint64))
     assert zeros.tolist() == [0, 1, 40]
+
+
+def test_columns_with_clashing_names(spark, rows):
+    docs = rows("doc_id long, text string, _kept long, kept boolean", (1, "a b c d e f", 1, True), (2, "a b c d e f", 2, False), (None, "x", 3, None))
+    kept = nd.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((tuple(r) for r in kept.collect()), key=repr) == [(1, "a b c d e f", 1, True), (None, "x", 3, None)]
