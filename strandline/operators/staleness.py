@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import effective_children, effective_parents, is_process, typed_links
+from strandline.operators.graph import effective_children, effective_parents, is_process, peel, typed_links
 from strandline.plans import cut, fixpoint, merge_spans
 from strandline.vocab import HARD_RELS, SOFT_RELS
 
@@ -202,6 +202,17 @@ def node_state(nodes: DataFrame, stale: DataFrame, disk: DataFrame) -> DataFrame
     return flagged.select(*NODE, state.alias("state"))
 
 
+def rebuild_order(nodes: DataFrame, edges: DataFrame, stale: DataFrame) -> DataFrame:
+    """(node_id, place) of the artifacts `stale` (node_id): what has a lower place is rebuilt first, equal places do not wait
+    for each other. Places are without holes in each project."""
+    arcs = edges.select("project_id", "source", "target").distinct()
+    depth, _ = cut(peel(nodes, arcs).join(stale.select(*NODE), NODE, "left_semi"), "stale-depth")
+    # depths are few: ranking them, not the artifacts
+    places = depth.select("project_id", "depth").distinct().withColumn(
+        "place", F.row_number().over(Window.partitionBy("project_id").orderBy("depth")))
+    return depth.join(places, ["project_id", "depth"]).select(*NODE, "place")
+
+
 def with_current(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     """`nodes` after new versions were saved: changes has node_id, new_version."""
     return (nodes.join(changes.select(*NODE, "new_version"), NODE, "left")

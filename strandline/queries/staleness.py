@@ -2,11 +2,11 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.fixtures import with_tables
-from strandline.operators import graph, staleness, versions
+from strandline.operators import staleness, versions
 from strandline.operators.staleness import Staleness
 from strandline.plans import cut
 from strandline.queries.register import Registry
@@ -161,13 +161,8 @@ stale_depth AS (SELECT node_id, max(depth) AS depth FROM walk WHERE node_id IN (
 def rebuild_order(fx):
     """Stale artifacts in the order to rebuild them: those with the same place do not wait for each other."""
     nodes, edges, recorded = stored(fx)
-    arcs = edges.select("project_id", "source", "target").distinct()
-    depth, _ = cut(graph.peel(nodes, arcs).join(Staleness(nodes, edges, recorded).stale_nodes(),
-                                                ["project_id", "node_id"], "left_semi"), "stale-depth")
-    # depths are few: ranking them, not the artifacts
-    places = (depth.select("project_id", "depth").distinct()
-              .withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("depth"))))
-    return depth.join(places, ["project_id", "depth"]).select("node_id", "place")
+    stale = Staleness(nodes, edges, recorded).stale_nodes()
+    return staleness.rebuild_order(nodes, edges, stale).select("node_id", "place")
 
 
 def asof(fx):

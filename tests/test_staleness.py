@@ -65,6 +65,12 @@ def test_matches_the_model_on_random_networks(rows, seed):
     assert got == model.stale(nodes, edges, recorded, placed)
 
 
+def test_rebuild_order(rows):
+    n, e, r = chain(rows, {"cov": 2}, {})
+    got = as_set(staleness.rebuild_order(n, e, Staleness(n, e, r).stale_nodes()), "node_id", "place")
+    assert got == {("pl", 1), ("ss", 2), ("qc", 2), ("tab", 3), ("fig", 4)}
+
+
 def test_confirmations(rows):
     n, e, r = chain(rows, {"cov": 2}, {})
     ask = "project_id string, node_id string, parent_id string, why string"
