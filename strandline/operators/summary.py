@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.paths import basename
 from strandline.functions.words import common_label, slug
+from strandline.operators.history import recency
 from strandline.plans import cut, number_free, running_sum
 from strandline.vocab import COMPONENT_RANK, GROUPING_RELS, NODE_TYPES, PROCESS_TYPES
 
@@ -244,6 +245,28 @@ def resolve_project(refs: DataFrame, projects: DataFrame) -> DataFrame:
     return exact.select("ref", P, F.lit(None).cast("string").alias("problem")).unionByName(found)
 
 
-def first_of_group(nodes: DataFrame, by: Column) -> DataFrame:
-    """(node_id, grp) for one way of grouping the view."""
-    return nodes.select(*NODE, by.alias("grp"))
+GROUPINGS = ("category", "type", "group", "step", "article", "state", "recency")
+
+
+def group_nodes(nodes: DataFrame, now: Column, articles: DataFrame | None = None, states: DataFrame | None = None,
+                steps: DataFrame | None = None, ways: tuple[str, ...] = GROUPINGS) -> DataFrame:
+    """(node_id, by, grp): the group of every artifact for each of `ways` to group the view.
+
+    `nodes` has type, step, updated (a time or null) and groups (a list) or grp (the first group). `articles` (node_id, article)
+    and `states` (node_id, state) are asked for by the ways of these names. With `steps` (project_id, step) an unknown step counts as none.
+    """
+    key, columns = NODE, set(nodes.columns)
+    first = F.get("groups", F.lit(0)) if "groups" in columns else F.col("grp")
+    rows = nodes
+    if steps is not None and "step" in ways:
+        rows = rows.join(steps.select(P, F.col("step"), F.lit(True).alias("_known")).distinct(), [P, "step"], "left").withColumn(
+            "step", F.when(F.col("_known"), F.col("step")))
+    if "article" in ways:
+        rows = rows.join(articles.select(*key, F.col("article").alias("_article")), key, "left")
+    if "state" in ways:
+        rows = rows.join(states.select(*key, F.col("state").alias("_state")), key, "left")
+    values = {"category": lambda: category(F.col("type")), "type": lambda: F.col("type"),
+              "group": lambda: F.coalesce(first, F.lit("(ungrouped)")), "step": lambda: F.coalesce("step", F.lit("(no step)")),
+              "article": lambda: F.coalesce("_article", F.lit("(no article)")), "state": lambda: F.coalesce("_state", F.lit("ok")),
+              "recency": lambda: recency(F.col("updated"), now)}
+    return rows.select(*key, F.inline(F.array(*[F.struct(F.lit(w).alias("by"), values[w]().alias("grp")) for w in ways])))

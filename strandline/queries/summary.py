@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from strandline.fixtures import with_tables
 from strandline.functions.words import common_label as label_of
-from strandline.operators import staleness, summary
+from strandline.operators import graph, staleness, summary
 from strandline.operators.staleness import Staleness
 from strandline.queries.register import Registry
 from strandline.queries.staleness import stored
@@ -63,14 +63,25 @@ def project_summary(fx):
         "project_id", "nodes", "sources", "outputs", "links", "stale", "missing_files", "last_activity", "missing")
 
 
-@query(with_tables(["fx_node"], """
+@query(with_tables(["fx_node", "fx_edge", "st_all"], """
 SELECT node_id, 'type' AS by, type AS grp FROM fx_node UNION ALL SELECT node_id, 'step', step FROM fx_node
-UNION ALL SELECT node_id, 'group', coalesce(grp, '(ungrouped)') FROM fx_node"""))
+UNION ALL SELECT node_id, 'group', coalesce(grp, '(ungrouped)') FROM fx_node
+UNION ALL SELECT node_id, 'category', CASE WHEN type IN ('raw', 'input') THEN 'sources' WHEN type = 'pipeline' THEN 'process'
+  WHEN type = 'article' THEN 'writing' ELSE 'outputs' END FROM fx_node
+UNION ALL SELECT n.node_id, 'article', coalesce('article ' || substring(b.article, 2), '(no article)') FROM fx_node n LEFT JOIN best b USING (node_id)
+UNION ALL SELECT node_id, 'state', CASE WHEN node_id IN (SELECT node_id FROM st_all) THEN 'stale' ELSE 'ok' END FROM fx_node
+UNION ALL SELECT node_id, 'recency', CASE WHEN age < 86400 THEN 'updated today' WHEN age < 604800 THEN 'this week' WHEN age < 2678400 THEN 'this month'
+  ELSE 'older' END FROM (SELECT node_id, epoch(TIMESTAMP '1998-08-02 12:00:00' - created) AS age FROM fx_node)""", """
+up(node_id, article) AS (
+  SELECT node_id, node_id FROM fx_node WHERE type = 'article'
+  UNION SELECT e.source, article FROM up JOIN fx_edge e ON e.target = node_id AND e.rel NOT IN ('documents', 'related', 'variant')),
+best AS (SELECT node_id, min(article) AS article FROM up GROUP BY node_id)""", True))
 def group_nodes(fx):
-    forms = F.array(*[F.struct(F.lit(name).alias("by"), value.alias("grp")) for name, value in (
-        ("type", F.col("type")), ("step", F.coalesce("step", F.lit("(no step)"))),
-        ("group", F.coalesce("grp", F.lit("(ungrouped)"))))])
-    return fx.nodes().select("node_id", F.inline(forms))
+    """All ways to group the view; what is out of date has the state stale."""
+    nodes, edges, recorded = stored(fx)
+    states = Staleness(nodes, edges, recorded).stale_nodes().withColumn("state", F.lit("stale"))
+    return summary.group_nodes(nodes.withColumnRenamed("created", "updated"), F.expr("TIMESTAMP_NTZ '1998-08-02 12:00:00'"),
+                               graph.article_of(nodes, edges), states).select("node_id", "by", "grp")
 
 
 @query(with_tables(["fx_node"], """
