@@ -232,39 +232,24 @@ def removal_plan(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     `seeds` has seed (a name for the what-if) and node_id; many what-ifs run at once.
 
-    An artifact follows when every neighbour is gone and one of the gone ones leads to it.
-    Per seed only neighbours of gone artifacts are counted, against their full neighbour count.
+    An artifact follows (wave 1) when every neighbour is gone and one of the gone ones leads to it. There is no wave 2: what
+    follows has only removed neighbours, so it is no neighbour of anything that stays. One counted join answers all what-ifs;
+    neighbours that have more neighbours than a what-if has artifacts can't follow and are not counted.
     """
-    key = ["project_id", "node_id"]
-    gone_key = ["project_id", "seed", "node_id"]
-    there = edges.select("project_id", F.col("source").alias("node_id"), F.col("target").alias("next"),
-                         F.lit(1).alias("into"))
-    back = edges.select("project_id", F.col("target").alias("node_id"), F.col("source").alias("next"),
-                        F.lit(0).alias("into"))
-    around, _ = cut(there.unionByName(back).groupBy(*key, "next").agg(F.max("into").alias("into")), "around")
-    # what can follow at all has an incoming link; its number of neighbours is compared with those gone
-    degree, _ = cut(around.groupBy("project_id", F.col("next").alias("node_id"))
-                    .agg(F.count(F.lit(1)).alias("degree"), F.max("into").alias("fed")).where("fed = 1").drop("fed"), "degree")
-    fresh, seen = cut(seeds.select("project_id", "seed", "node_id", F.lit(0).alias("wave")).distinct(), "gone")
-    parts, counts, wave = [], None, 0
-    while seen["rows"]:
-        parts.append(fresh)
-        wave += 1
-        hits = (fresh.join(around, key).groupBy("project_id", "seed", F.col("next").alias("node_id"))
-                .agg(F.count(F.lit(1)).alias("lost"), F.max("into").alias("into")))
-        if counts is not None:
-            hits = hits.unionByName(counts).groupBy(*gone_key).agg(F.sum("lost").alias("lost"), F.max("into").alias("into"))
-        gone = reduce(DataFrame.unionByName, parts)
-        state = (hits.join(degree, key).join(gone.select(*gone_key), gone_key, "left_anti")
-                 .withColumn("falls", (F.col("lost") == F.col("degree")) & (F.col("into") == 1)).drop("degree"))
-        state, counted = cut(state, "waves", counts={"falls": F.col("falls")})
-        if counted["falls"] == 0:
-            break
-        # only what-ifs that still grow go on
-        fresh = state.where("falls").select(*gone_key, F.lit(wave).alias("wave"))
-        growing, _ = cut(fresh.select("project_id", "seed").distinct(), "growing")
-        counts = state.where("NOT falls").join(growing, ["project_id", "seed"], "left_semi").select(*gone_key, "lost", "into")
-    return reduce(DataFrame.unionByName, parts)
+    key, gone_key = ["project_id", "node_id"], ["project_id", "seed", "node_id"]
+    there = edges.select("project_id", F.col("source").alias("node_id"), F.col("target").alias("next"), F.lit(1).alias("into"))
+    back = edges.select("project_id", F.col("target").alias("node_id"), F.col("source").alias("next"), F.lit(0).alias("into"))
+    pairs, _ = cut(there.unionByName(back).groupBy(*key, "next").agg(F.max("into").alias("into")), "around")
+    # what can follow at all has an incoming link
+    degree = pairs.groupBy("project_id", "next").agg(F.count(F.lit(1)).alias("degree"), F.max("into").alias("fed")).where("fed = 1")
+    around = pairs.join(degree.drop("fed"), ["project_id", "next"])
+    gone, _ = cut(seeds.select(*gone_key).distinct(), "gone")
+    sizes = gone.groupBy("project_id", "seed").agg(F.count(F.lit(1)).alias("size"))
+    lost = (gone.join(sizes, ["project_id", "seed"]).join(around, key).where("degree <= size")
+            .groupBy("project_id", "seed", F.col("next").alias("node_id"))
+            .agg(F.count(F.lit(1)).alias("lost"), F.max("into").alias("into"), F.max("degree").alias("degree")))
+    follows = lost.where("lost = degree AND into = 1").join(gone, gone_key, "left_anti")
+    return gone.withColumn("wave", F.lit(0)).unionByName(follows.select(*gone_key, F.lit(1).alias("wave")))
 
 
 def removal_effects(edges: DataFrame, plan: DataFrame) -> dict[str, DataFrame]:
