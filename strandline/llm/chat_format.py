@@ -31,6 +31,17 @@ def _escape_role(role: Column) -> Column:
     return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array's numbers from the first to each. A round adds what stands 2^k places before, so n numbers take n log n steps."""
+    rounds = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"), F.lit(0)))
+
+    def add(sums: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2.0), k).cast("int")
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.when(i >= back, F.get(sums, i - back)), F.lit(0).cast("long")))
+
+    return F.aggregate(rounds, values, add)
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (array of start, chars) for the rows conv_id, turn, role, text."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -46,16 +57,14 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     parts = each.select("conv_id", F.transform(t, part).alias("parts"))
     p = F.col("parts")
-    none = F.array().cast("array<struct<start:bigint,chars:bigint>>")
+    ends = running_sums(F.transform(p, lambda x: F.length(F.concat(x["head"], x["text"], x["tail"])).cast("long")))
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["head"])
+    def span(x: Column, end: Column) -> Column:
         chars = F.length(x["text"]).cast("long")
-        span = F.array(F.struct((start + 1).alias("start"), chars.alias("chars")))
-        return F.struct((start + chars + F.length(x["tail"])).alias("at"),
-                        F.when(x["learned"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+        return F.struct(x["learned"].alias("learned"), (end - F.length(x["tail"]) - chars + 1).alias("start"), chars.alias("chars"))
 
-    spans = F.aggregate(p, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+    learned = F.filter(F.zip_with(p, ends, span), lambda s: s["learned"])
+    spans = F.transform(learned, lambda s: F.struct(s["start"].alias("start"), s["chars"].alias("chars")))
     text = F.array_join(F.transform(p, lambda x: F.concat(x["head"], x["text"], x["tail"])), "")
     return parts.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
 

@@ -3,17 +3,17 @@
 A text and a template are sequences of words (letters, digits, inner dots and hyphens, in lower case). The template is
 aligned with a stretch of the text: words that occur once in both are anchors, the longest increasing subsequence of
 their places is kept, and the gaps between anchors are aligned the same way, where words that occur more often may have become
-unique. A gap without anchors adds its longest common subsequence. Coverage is the share of the template's words that
-are matched.
-
-Which stretches: a statement is a chain of template words that the text holds in the template's order, with at most as many
-other words between two that follow each other as the template has words, and 2 * SLACK more. How long it gets in all is not
-bounded, so copyright lines, remarks and line numbers inside a statement do not hide it. At a coverage of LIMIT at most
-n - ceil(LIMIT n) of the n template words are unmatched, so of any one more words one is matched. The words rarest in the text
-are taken, and each of their occurrences fixes the span that a chain through it can reach; spans that meet are joined. In
-each, the longest chains are found exactly. The best chain (most words, then shortest, then first) gives the stretch, from its
-first to its last word; where the alignment finds fewer words than the chain, the chain counts. So every chain that reaches
-the limit is found, in texts of any length. Statements with a longer insertion in one place are not.
+unique. A gap without anchors keeps the longest increasing subsequence of the places of all its equal words. Coverage is the share
+of the template's words that the alignment matches, and the statement begins at its first match.
+
+Which stretches: a chain is a sequence of template words that the text holds in the template's order, with at most `gap` other words
+between two that follow each other (if not given as many as the template has words, and 2 * SLACK more; math.inf sets no bound). How
+long it gets in all is not bounded, so copyright lines, remarks and line numbers inside a statement do not hide it. At a coverage of
+LIMIT at most n - ceil(LIMIT n) of the n template words are unmatched, so of any one more words one is matched. The words rarest in
+the text are taken, and each of their occurrences fixes the span that a chain through it can reach; spans that meet are joined. In
+each, the longest chain for every first word is found exactly; where none reaches the limit, there is nothing to align. The others are
+aligned, the longest first, until no chain left is longer than the best alignment. An anchor that the text holds out of place can cost the
+alignment words that a chain has; then the alignment counts.
 
 A license is reported when its coverage is at least LIMIT. Null and empty texts report nothing. Repeated rows are scanned each.
 """
@@ -36,7 +36,7 @@ LIMIT = 0.8
 SLACK = 4
 WORD = re.compile(rb"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
-# fixed values: short forms and notices of public licenses
+# fixed values: short forms, notices and texts of public licenses
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
@@ -44,6 +44,19 @@ TEMPLATES = {
                          "required by applicable law or agreed to in writing, software distributed under the License is distributed on "
                          'an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License '
                          "for the specific language governing permissions and limitations under the License.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+                    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+                    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+                    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+                    'distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+                    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE "
+                    "ARE DISCLAIMED.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+                    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+                    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+                    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+                    "distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                    "promote products derived from this software without specific prior written permission.",
     "CC-BY-4.0": "licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "GPL-3.0": "licensed under the GNU General Public License, version 3",
@@ -57,6 +70,15 @@ TEMPLATES = {
                   'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
                   "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
                   "persons to whom the Software is furnished to do so, subject to the following conditions",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+                'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+                "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+                "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+                'shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY '
+                "OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+                "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+                "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+                "THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 # end of the fixed values
@@ -84,58 +106,51 @@ def _increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_length(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence; one bit per word of the shorter side."""
-    if len(a) > len(b):
-        a, b = b, a
-    at: dict[bytes, int] = {}
-    for i, word in enumerate(a):
-        at[word] = at.get(word, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for word in b:
-        hit = row & at.get(word, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def matched_words(text: list[bytes], template: list[bytes]) -> int:
-    """Words matched by patience alignment of the two sequences."""
-    total, waiting = 0, [(0, len(text), 0, len(template))]
+def aligned(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
+    """Places (text, template) matched by patience alignment of the two sequences, in order."""
+    pairs, waiting = [], [(0, len(text), 0, len(template))]
     while waiting:
         a, b, c, d = waiting.pop()
         while a < b and c < d and text[a] == template[c]:
-            a, c, total = a + 1, c + 1, total + 1
+            pairs.append((a, c))
+            a, c = a + 1, c + 1
         while a < b and c < d and text[b - 1] == template[d - 1]:
-            b, d, total = b - 1, d - 1, total + 1
+            b, d = b - 1, d - 1
+            pairs.append((b, d))
         if a == b or c == d:
             continue
-        here, there = Counter(text[a:b]), Counter(template[c:d])
-        once = {w for w, n in there.items() if n == 1 and here.get(w) == 1}
-        if not once:
-            total += common_length(text[a:b], template[c:d])
-            continue
-        place = {text[i]: i for i in range(a, b) if text[i] in once}
-        anchors = [(place[template[j]], j) for j in range(c, d) if template[j] in once]
-        kept = [anchors[i] for i in _increasing([x for x, _ in anchors])]
-        total += len(kept)
-        for (i, j), (k, m) in zip([(a - 1, c - 1), *kept], [*kept, (b, d)], strict=True):
-            waiting.append((i + 1, k, j + 1, m))
-    return total
+        at: dict[bytes, list[int]] = {}
+        for j in range(d - 1, c - 1, -1):
+            at.setdefault(template[j], []).append(j)
+        here = Counter(w for w in text[a:b] if w in at)
+        once = {w for w, places in at.items() if len(places) == 1 and here[w] == 1}
+        anchors = [(i, j) for i in range(a, b) if text[i] in (once or at) for j in at[text[i]]]
+        kept = [anchors[k] for k in _increasing([j for _, j in anchors])]
+        pairs += kept
+        if once:
+            for (i, j), (k, m) in zip([(a - 1, c - 1), *kept], [*kept, (b, d)], strict=True):
+                waiting.append((i + 1, k, j + 1, m))
+    return sorted(pairs)
+
+
+def matched_words(text: list[bytes], template: list[bytes]) -> int:
+    return len(aligned(text, template))
 
 
 class Template:
-    def __init__(self, name: str, text: str):
+    def __init__(self, name: str, text: str, gap: float | None = None):
         self.name, self.words = name, words_of(text.encode())
         self.counts = Counter(self.words)
         self.need = math.ceil(LIMIT * len(self.words))
-        self.gap = len(self.words) + 2 * SLACK
+        self.gap = len(self.words) + 2 * SLACK if gap is None else gap
         self.at: dict[bytes, list[int]] = {}
         for j, word in enumerate(self.words):
             self.at.setdefault(word, []).append(j)
 
     def spans(self, places: dict[bytes, list[int]]) -> list[tuple[int, int]]:
         """Disjoint ranges of the text, in order, that hold every chain of `need` words."""
+        if self.gap == math.inf:
+            return [(0, max(x[-1] for x in places.values()))] if places else []
         spare = len(self.words) - self.need + 1
         rarest = sorted(range(len(self.words)), key=lambda j: (len(places.get(self.words[j], ())), j))[:spare]
         step, out = self.gap + 1, []
@@ -146,12 +161,13 @@ class Template:
                 out.append((a, b))
         return out
 
-    def chain(self, found: list[tuple[int, bytes]]) -> tuple[int, int, int]:
-        """(words, first place, last place) of the best chain among the (place, word) in order of place: most words, then shortest, then
-        first. `top` holds for every template word the best chain (words, first place) that ends there and can still go on."""
+    def chains(self, found: list[tuple[int, bytes]]) -> list[tuple[int, int, int]]:
+        """(words, first place, last place) of the chains that reach the limit among the (place, word) in order of place: for every first
+        place the one with most words, then the shortest. `top` holds for every template word the best chain (words, first place) that
+        ends there and can still go on."""
         none = (0, -1)
         top, ends, recent = [none] * len(self.words), [deque() for _ in self.words], deque()
-        best = (0, 0, 0)
+        best: dict[int, tuple[int, int]] = {}
         for i, word in found:
             while recent and recent[0][0] < i - self.gap - 1:
                 place, j = recent.popleft()
@@ -169,24 +185,31 @@ class Template:
                 top[j] = ends[j][0][1]
                 recent.append((i, j))
                 n, first = value
-                if n > best[0] or n == best[0] and i - first < best[2] - best[1]:
-                    best = n, first, i
-        return best
+                if n >= self.need and n > best.get(first, none)[0]:
+                    best[first] = n, i
+        return [(n, first, last) for first, (n, last) in best.items()]
 
-    def best(self, text: list[bytes], places: dict[bytes, list[int]]) -> tuple[int, int] | None:
-        """(matched words, first word) of the best statement at or above the limit."""
+    def candidates(self, places: dict[bytes, list[int]]) -> list[tuple[int, int, int]]:
+        """The chains of a text that reach the limit: most words, then shortest, then first."""
         if sum(min(n, len(places.get(w, ()))) for w, n in self.counts.items()) < self.need:
-            return None
-        found = (0, 0, 0)
-        for a, b in self.spans(places):
+            return []
+        out = []
+        for a, b in self.spans({w: places[w] for w in self.counts if w in places}):
             held = {w: places[w][bisect.bisect_left(places[w], a):bisect.bisect_right(places[w], b)] for w in self.counts if w in places}
-            if sum(min(self.counts[w], len(x)) for w, x in held.items()) < self.need:
-                continue
-            n, first, last = self.chain(sorted((i, w) for w, x in held.items() for i in x))
-            if n > found[0] or n == found[0] and last - first < found[2] - found[1]:
-                found = n, first, last
-        n, first, last = found
-        return (max(n, matched_words(text[first:last + 1], self.words)), first) if n >= self.need else None
+            if sum(min(self.counts[w], len(x)) for w, x in held.items()) >= self.need:
+                out += self.chains(sorted((i, w) for w, x in held.items() for i in x))
+        return sorted(out, key=lambda c: (-c[0], c[2] - c[1], c[1]))
+
+    def best(self, text: list[bytes], places: dict[bytes, list[int]]) -> tuple[int, int] | None:
+        """(matched words, first word) of the best alignment at or above the limit."""
+        found = None
+        for n, first, last in self.candidates(places):
+            if found and found[0] >= n:
+                break
+            pairs = aligned(text[first:last + 1], self.words)
+            if len(pairs) >= self.need and (found is None or len(pairs) > found[0]):
+                found = len(pairs), first + pairs[0][0]
+        return found
 
 
 def scan_text(data: bytes, templates: list[Template]) -> tuple[int, list[dict]]:
@@ -205,12 +228,15 @@ def scan_text(data: bytes, templates: list[Template]) -> tuple[int, list[dict]]:
     return len(text), sorted(hits, key=lambda h: (-h["coverage"], -h["n_matched"], h["license"]))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, n_words, licenses (array of license, coverage, n_matched, first_word): one row for each row of `docs`."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, gap: float | None = None) -> DataFrame:
+    """doc_id, n_words, licenses (array of license, coverage, n_matched, first_word): one row for each row of `docs`.
+
+    `gap` is the largest number of other words in one place of a statement (None: by the length of each template, math.inf: any).
+    """
     chosen = templates or TEMPLATES
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Template(*x) for x in sorted(chosen.items())]
+        known = [Template(*x, gap) for x in sorted(chosen.items())]
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("n_matched", pa.int64()), ("first_word", pa.int64())]))
         for piece in pieces(batches, "text"):
             raw, at = piece_of(piece, "text")

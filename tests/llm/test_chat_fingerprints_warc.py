@@ -24,6 +24,13 @@ def test_formatting_reads_back(spark, rows):
     assert chat_format.format_conversations(rows(TURNS).limit(0)).count() == 0
 
 
+def test_spans_of_long_conversations(spark, rows):
+    data = [(k, i, "assistant" if i % 3 else "user", "t" * (i % 7)) for k, n in ((1, 3000), (2, 1), (3, 2), (4, 1025)) for i in range(n)]
+    made = chat_format.format_conversations(rows(TURNS, *data)).withColumn("loss", chat_format.learned_text(F.col("formatted"), F.col("loss_spans")))
+    got = {r.conv_id: (r.loss, len(r.loss_spans)) for r in made.collect()}
+    assert got == {k: ("".join(t for c, _, r, t in data if c == k and r == "assistant"), sum(c == k and r == "assistant" for c, _, r, _ in data)) for k in (1, 2, 3, 4)}
+
+
 def plain_slots(spark_hash, text):
     """The fingerprint by its definition, with Spark's own hash."""
     words = [w for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]

@@ -57,8 +57,11 @@ def test_alignment_against_common_subsequence():
     for _ in range(200):
         template = [b"%d" % rng.randrange(30) for _ in range(rng.randrange(1, 20))]
         text = [w for w in template if rng.random() < 0.9] + [b"%d" % rng.randrange(60) for _ in range(rng.randrange(5))]
-        assert ls.common_length(text, template) == slow_common(text, template)
-        assert ls.matched_words(text, template) <= slow_common(text, template)
+        pairs = ls.aligned(text, template)
+        assert all(text[i] == template[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) <= slow_common(text, template)
+        # where no word is unique, all equal words compete
+        assert len(ls.aligned([b"x", *text, *text, b"y"], template * 2)) == slow_common([b"x", *text, *text, b"y"], template * 2)
         assert ls.matched_words(template, template) == len(template)
 
 
@@ -79,6 +82,22 @@ def test_planted_licenses_are_found(name):
     assert ls.scan_text(clean.encode(), known)[1] == []
 
 
+def test_the_alignment_decides(monkeypatch):
+    text = b"This file is Licensed under the Apache License, Version 2.0 and that is all"
+    known = [ls.Template(*x) for x in sorted(ls.TEMPLATES.items())]
+    assert [h["license"] for h in ls.scan_text(text, known)[1]] == ["Apache-2.0"]
+    monkeypatch.setattr(ls, "aligned", lambda text, template: [])
+    assert ls.scan_text(text, known)[1] == []
+
+
+def test_long_texts_with_many_statements():
+    words = ls.TEMPLATES["BSD-3-Clause"]
+    known = [ls.Template(*x) for x in sorted(ls.TEMPLATES.items())]
+    n, hits = ls.scan_text(("the of and software " * 50000 + words + " license under the " * 50000 + words).encode(), known)
+    by_name = {h["license"]: h for h in hits}
+    assert by_name["BSD-3-Clause"]["coverage"] == 1.0 and by_name["BSD-3-Clause"]["first_word"] == 200000 and n > 350000
+
+
 def test_scan_of_odd_rows(spark, rows):
     docs = rows("doc_id long, text string, licenses int", (1, None, 0), (2, "", 0), (None, "Released under the MIT License.", 0), (2, "", 0))
     got = sorted(((r.doc_id, r.n_words, [x.license for x in r.licenses]) for r in ls.scan(docs).collect()), key=repr)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -39,26 +40,36 @@ def test_insertions_up_to_the_gap(name):
         assert (hit["coverage"], hit["first_word"]) == (1.0, 200)
 
 
-def test_chains_against_all_pairs():
+def test_insertions_of_any_length_without_a_gap():
+    text = "x licensed under the GNU General Public License " + "and so on " * 500 + "version 3 end"
+    assert "GPL-3.0" not in found(text)
+    hits = ls.scan_text(text.encode(), [ls.Template("GPL-3.0", ls.TEMPLATES["GPL-3.0"], math.inf)])[1]
+    assert [(h["license"], h["coverage"], h["first_word"]) for h in hits] == [("GPL-3.0", 1.0, 1)]
+
+
+@pytest.mark.parametrize("gap", [None, 3, math.inf])
+def test_chains_and_alignments_against_all_pairs(gap):
     rng = random.Random(4)
-    hits = 0
+    hits = lost = 0
     for _ in range(300):
         size = rng.randrange(1, 9)
-        template = ls.Template("x", " ".join(str(rng.randrange(12)) for _ in range(size)))
-        text = []
+        template = ls.Template("x", " ".join(str(rng.randrange(12)) for _ in range(size)), gap)
+        text, wide = [], 12 if gap == math.inf else template.gap
         for _ in range(rng.randrange(1, 4)):
             for word in template.words:
-                text += [b"%d" % rng.randrange(40) for _ in range(rng.choice((0, 0, 1, 3, template.gap, template.gap + 1)))]
+                text += [b"%d" % rng.randrange(40) for _ in range(rng.choice((0, 0, 1, 3, wide, wide + 1)))]
                 text += [word] if rng.random() < 0.9 else []
         places = {}
         for i, word in enumerate(text):
             if word in template.counts:
                 places.setdefault(word, []).append(i)
         n, _, first = slow_best(text, template.words, template.gap)
-        got = template.best(text, places)
+        chains, got = template.candidates(places), template.best(text, places)
         if -n < template.need:
-            assert got is None
-        else:
-            assert got[0] >= -n and got[1] == first
-            hits += 1
-    assert 100 < hits < 300
+            assert chains == [] and got is None
+            continue
+        assert (chains[0][0], chains[0][1]) == (-n, first)
+        most = max(len(ls.aligned(text[a:b + 1], template.words)) for _, a, b in chains)
+        assert got is None and most < template.need or template.need <= got[0] <= most
+        hits, lost = hits + 1, lost + (got is None)
+    assert 100 < hits <= 300 and lost < hits / 10
