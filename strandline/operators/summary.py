@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.paths import basename
 from strandline.functions.words import common_label, slug
 from strandline.operators.history import recency
-from strandline.plans import cut, number_free, running_sum
+from strandline.plans import cut, number_free, order_slices, running_sum
 from strandline.vocab import COMPONENT_RANK, GROUPING_RELS, NODE_TYPES, PROCESS_TYPES
 
 P = "project_id"
@@ -56,8 +56,12 @@ def category_counts(nodes: DataFrame) -> DataFrame:
 
 
 def project_summary(projects: DataFrame, nodes: DataFrame, edges: DataFrame, states: DataFrame, events: DataFrame,
-                    analyses: DataFrame | None = None) -> DataFrame:
-    """One row per registered project; `missing` marks projects without a catalog."""
+                    analyses: DataFrame | None = None, steps: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
+    """One row per registered project; `missing` marks projects without a catalog.
+
+    `place` is the order of the home page: last activity first, then by name (the id in tables without names). `analyses` may say
+    which are organized, `steps` (step, ord, step_label) become the list of labels in their order, `copies` are counted.
+    """
     counts = nodes.groupBy(P).agg(
         F.count(F.lit(1)).alias("nodes"),
         *[F.count_if(category(F.col("type")) == c).alias(c) for c in ("sources", "process", "outputs", "writing")])
@@ -68,8 +72,19 @@ def project_summary(projects: DataFrame, nodes: DataFrame, edges: DataFrame, sta
     for part in (counts, links, status.withColumnRenamed("missing", "missing_files"), last):
         out = out.join(part, P, "left")
     if analyses is not None:
-        out = out.join(analyses.groupBy(P).agg(F.count(F.lit(1)).alias("analyses")), P, "left")
-    return out.withColumn("missing", F.col("nodes").isNull())
+        marks = [F.count_if("organized").alias("organized")] if "organized" in analyses.columns else []
+        out = out.join(analyses.groupBy(P).agg(F.count(F.lit(1)).alias("analyses"), *marks), P, "left")
+    if steps is not None:
+        step = F.struct(F.coalesce("ord", F.lit(0)).alias("ord"), "step", F.coalesce("step_label", F.lit("")).alias("label"))
+        in_order = steps.groupBy(P).agg(F.transform(F.sort_array(F.collect_list(step)), lambda s: s["label"]).alias("steps"))
+        out = out.join(in_order, P, "left")
+    if copies is not None:
+        out = out.join(copies.groupBy(P).agg(F.countDistinct("node_id").alias("copies")), P, "left")
+    out = out.withColumn("missing", F.col("nodes").isNull())
+    names = projects.select(P, F.coalesce("name", P).alias("_name") if "name" in projects.columns else F.col(P).alias("_name"))
+    order = [F.col("last_activity").desc_nulls_last(), F.col("_name"), F.col(P)]
+    placed = running_sum(order_slices(out.join(names, P), [], order), [], F.col("_part"), order, F.lit(1), "place")
+    return placed.select(*out.columns, "place")
 
 
 def file_kind(path: Column) -> Column:
@@ -175,10 +190,9 @@ def article_components(nodes: DataFrame, edges: DataFrame, states: DataFrame, st
             .join(stale, [P, "edge_id"], "left").withColumn("section_rank", rank.otherwise(9)))
     by_time = F.when(F.col("section_rank") == 0, F.date_format("created", "yyyyMMddHHmmss")).otherwise(F.lit(""))
     by_label = F.when(F.col("section_rank") == 0, F.lit("")).otherwise(F.coalesce("label", F.lit("")))
-    rows = rows.withColumn("_order", F.concat_ws("\u0001", by_time, by_label))
-    # readers order within (article, rank, first letters), so a long article is not one task
-    placed = running_sum(rows, [P, "target", "section_rank"], F.substring("_order", 1, 8),
-                         [F.col("_order"), F.col("source")], F.lit(1), "place")
+    group, order = [P, "target", "section_rank"], [F.col("_order"), F.col("source")]
+    rows = order_slices(rows.withColumn("_order", F.concat_ws("\u0001", by_time, by_label)), group, order)
+    placed = running_sum(rows, group, F.col("_part"), order, F.lit(1), "place")
     return placed.select(P, F.col("target").alias("article"), F.col("source").alias("node_id"), "type", "label",
                          "section_rank", "place", "placed_version", "current_version", "final_version", "state",
                          F.coalesce("stale_link", F.lit(False)).alias("stale_link"))

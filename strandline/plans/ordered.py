@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.plans.materialize import cut
+
+ROWS_PER_SLICE = 100_000
+
 
 def running_sum(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], value: Column,
                 out: str) -> DataFrame:
@@ -28,6 +32,21 @@ def running_sum(df: DataFrame, keys: list[str], slice_by: Column, order: list[Co
     return joined.withColumn(out, F.col("_inside") + F.col("_carry")).select(*df.columns, out)
 
 
+def order_slices(df: DataFrame, keys: list[str], order: list[Column], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Adds `_part`, a slice that follows the order inside every key, for orders without a natural slice.
+
+    The borders are quantiles of (keys, order) that Spark samples from the rows, so the slices are of about one size, however the
+    values lie and however many rows a key has. There are as many slices as rows need; they are stored, since sampled borders may
+    differ when a lost part is made again. Rows that are equal in keys and order share a slice.
+    """
+    stored, seen = cut(df, "order")
+    n = -(-seen["rows"] // rows_per_slice)
+    if n <= 1:
+        return stored.withColumn("_part", F.lit(0))
+    ranged = stored.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    return cut(ranged, "slices")[0]
+
+
 def with_previous(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column], value: Column,
                   out: str) -> DataFrame:
     """Adds `out`: struct(value) of the row before this one in its key, null for the first row.

@@ -131,6 +131,25 @@ def merge_edges(fx):
     return dedup.merge_edges(fx.edges(), renames).select("edge_id", "source", "target", "rel")
 
 
+@query("""
+WITH named AS (SELECT p_partkey, p_name, about, 'P' || min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS keep FROM
+    (SELECT *, CASE WHEN p_size % 4 = 0 THEN '' ELSE '<' || p_name || '>' END AS about FROM part)),
+own AS (SELECT keep, about AS text FROM named WHERE keep = 'P' || p_partkey),
+news AS (SELECT n.keep, n.about AS text, min(p_partkey) AS least FROM named n JOIN own o ON o.keep = n.keep
+         WHERE n.about <> '' AND n.about <> o.text GROUP BY ALL)
+SELECT n.keep AS node_id, trim(any_value(o.text) || chr(10) || string_agg('[also, as P' || least || '] ' || n.text, chr(10) ORDER BY least), chr(10)) AS description
+FROM news n JOIN own o ON o.keep = n.keep GROUP BY n.keep""")
+def merged_descriptions(fx):
+    """Descriptions after the parts of one brand and type became one artifact; every fourth size has none."""
+    part = fx.table("part")
+    kept = part.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("least"))
+    renames = part.join(kept, ["p_brand", "p_type"]).selectExpr(
+        "'p0' AS project_id", "concat('P', p_partkey) AS dup", "concat('P', least) AS keep").where("dup <> keep")
+    nodes = part.selectExpr("'p0' AS project_id", "concat('P', p_partkey) AS node_id",
+                            "IF(p_size % 4 = 0, '', concat('<', p_name, '>')) AS description")
+    return dedup.merge_descriptions(nodes, renames).select("node_id", "description")
+
+
 @query(with_tables(["fx_inventory"], """
 SELECT path, CASE WHEN path LIKE '%.tsv' THEN 'table' WHEN path LIKE '%.png' THEN 'figure' WHEN path LIKE '%.py' THEN 'script'
        WHEN path LIKE '%.tex' THEN 'section' ELSE 'result' END AS type FROM fx_inventory"""))

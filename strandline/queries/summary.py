@@ -1,5 +1,8 @@
 """Counts, groupings and registers over the fixture tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.fixtures import with_tables
@@ -8,6 +11,7 @@ from strandline.operators import graph, staleness, summary
 from strandline.operators.staleness import Staleness
 from strandline.queries.register import Registry
 from strandline.queries.staleness import stored
+from strandline.sources.catalog import catalog_sections
 
 R = Registry()
 query, QUERIES, SQL = R.query, R.queries, R.sql
@@ -35,7 +39,8 @@ def category_counts(fx):
 
 @query("""
 SELECT p.project_id, n.nodes, n.sources, n.outputs, l.links, s.stale, s.missing_files, a.last_activity,
-       n.nodes IS NULL AS missing
+       n.nodes IS NULL AS missing, k.copies, g.analyses, g.organized, w.steps,
+       row_number() OVER (ORDER BY a.last_activity DESC NULLS LAST, p.project_id) AS place
 FROM (SELECT 'p' || n_nationkey AS project_id FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region) p
 LEFT JOIN (SELECT 'p' || nk AS project_id, count(*) AS nodes, count(*) FILTER (kind = 'input') AS sources,
                   count(*) FILTER (kind = 'result') AS outputs
@@ -47,9 +52,15 @@ LEFT JOIN (SELECT 'p' || nk AS project_id, count(*) FILTER (st = 'stale') AS sta
            FROM (SELECT c_nationkey AS nk, CASE WHEN c_acctbal < 0 THEN 'missing' ELSE 'ok' END AS st FROM customer
                  UNION ALL SELECT s_nationkey, CASE WHEN s_acctbal < 0 THEN 'stale' ELSE 'ok' END FROM supplier)
            GROUP BY 1) s USING (project_id)
-LEFT JOIN (SELECT 'p' || (user_id % 10) AS project_id, max(ts) AS last_activity FROM events GROUP BY 1) a USING (project_id)""")
+LEFT JOIN (SELECT 'p' || (user_id % 10) AS project_id, max(ts) AS last_activity FROM events GROUP BY 1) a USING (project_id)
+LEFT JOIN (SELECT 'p' || s_nationkey AS project_id, count(*) AS copies FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) k USING (project_id)
+LEFT JOIN (SELECT 'p' || c_nationkey AS project_id, count(*) AS analyses, count(*) FILTER (c_acctbal > 0) AS organized FROM customer
+           GROUP BY 1) g USING (project_id)
+LEFT JOIN (SELECT project_id, list(c_mktsegment ORDER BY n DESC, c_mktsegment) AS steps FROM (
+             SELECT 'p' || c_nationkey AS project_id, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) GROUP BY 1) w USING (project_id)""")
 def project_summary(fx):
-    """One project per nation: customers as inputs, suppliers as results; regions are registered without a catalog."""
+    """One project per nation: customers as inputs, suppliers as results, rich suppliers have copies, customers' segments are the steps;
+    regions are registered without a catalog."""
     t = fx.table
     projects = t("nation").selectExpr("concat('p', n_nationkey) AS project_id").unionByName(
         t("region").selectExpr("concat('r', r_regionkey) AS project_id"))
@@ -59,8 +70,38 @@ def project_summary(fx):
                                  "'result' AS type", "IF(s_acctbal < 0, 'stale', 'ok') AS state"))
     links = t("orders").join(t("customer"), F.expr("c_custkey = o_custkey")).selectExpr(
         "concat('p', c_nationkey) AS project_id")
-    return summary.project_summary(projects, nodes, links, nodes, fx.events()).select(
-        "project_id", "nodes", "sources", "outputs", "links", "stale", "missing_files", "last_activity", "missing")
+    analyses = t("customer").selectExpr("concat('p', c_nationkey) AS project_id", "c_acctbal > 0 AS organized")
+    steps = t("customer").groupBy("c_nationkey", "c_mktsegment").count().selectExpr(
+        "concat('p', c_nationkey) AS project_id", "c_mktsegment AS step", "-count AS ord", "c_mktsegment AS step_label")
+    copies = t("supplier").where("s_acctbal > 5000").selectExpr("concat('p', s_nationkey) AS project_id", "concat('S', s_suppkey) AS node_id")
+    return summary.project_summary(projects, nodes, links, nodes, fx.events(), analyses, steps, copies).select(
+        "project_id", "nodes", "sources", "outputs", "links", "stale", "missing_files", "last_activity", "missing", "copies", "analyses",
+        "organized", "steps", "place")
+
+
+@query(with_tables(["fx_node", "fx_edge", "fx_branch", "fx_analysis", "st_all"], """
+SELECT 'stale' AS section, node_id AS item, '' AS detail FROM st_all
+UNION ALL SELECT 'tables', node_id, CASE WHEN type IN ('raw', 'input') THEN 'sources' WHEN type = 'pipeline' THEN 'process'
+  WHEN type = 'article' THEN 'writing' ELSE 'outputs' END FROM fx_node
+UNION ALL SELECT 'links', edge_id, CASE WHEN edge_id LIKE '%:produces' THEN 'red' ELSE 'green' END FROM fx_edge
+UNION ALL SELECT 'branches', node_id, root || ' ' || status FROM fx_branch
+UNION ALL SELECT 'groups', node_id, grp FROM fx_node WHERE grp IS NOT NULL
+UNION ALL SELECT 'analyses', key, CASE WHEN key IN (SELECT key FROM hid) THEN 'hidden' ELSE '' END FROM fx_analysis
+UNION ALL SELECT 'steps', step, CAST(count(*) AS VARCHAR) FROM fx_node GROUP BY step""", """
+hid(key) AS (SELECT key FROM fx_analysis WHERE hidden UNION SELECT a.key FROM fx_analysis a JOIN hid ON hid.key = a.parent)""", True))
+def report_sections(fx):
+    """The sections of the written report as one list; an artifact with several reasons is listed once."""
+    nodes, edges, recorded = stored(fx)
+    groups = nodes.where("grp IS NOT NULL").select("project_id", "node_id", "grp")
+    versions = fx.snapshots().selectExpr("project_id", "node_id", "ts", "seq AS v", "why")
+    made = catalog_sections(nodes, edges, recorded, fx.analyses(), fx.branches(), groups, versions)
+    pick = lambda name, item, detail: made[name].selectExpr(f"'{name}' AS section", f"{item} AS item", f"{detail} AS detail")
+    steps = made["steps"].groupBy("step").agg(F.sum("members").alias("members")).selectExpr(
+        "'steps' AS section", "step AS item", "CAST(members AS STRING) AS detail")
+    return reduce(DataFrame.unionByName, [
+        pick("stale", "node_id", "''").distinct(), pick("tables", "node_id", "category"), pick("links", "edge_id", "IF(with_params, 'red', 'green')"),
+        pick("branches", "node_id", "concat(root, ' ', status)"), pick("groups", "node_id", "grp"),
+        pick("analyses", "key", "IF(out_of_view, 'hidden', '')"), steps])
 
 
 @query(with_tables(["fx_node", "fx_edge", "st_all"], """

@@ -92,6 +92,30 @@ def analysis_order(fx):
     return trees.default_order(rows, F.expr("seq div 1000")).select("key", "ord")
 
 
+@query("""
+WITH kids AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer)
+SELECT 'p' || n_nationkey AS project_id, 'old' AS key, NULL AS parent, 5 AS ord, 'Old' AS title FROM nation
+UNION ALL SELECT 'p' || n_nationkey, 'n', NULL, 1, CASE WHEN n_nationkey % 5 = 0 THEN 'Kept' ELSE n_name END FROM nation
+UNION ALL SELECT 'p' || c_nationkey, 'c' || c_custkey, 'n', CAST(CASE WHEN c_acctbal < 0 THEN 0 ELSE place END AS INT), c_name FROM kids
+WHERE c_nationkey % 5 <> 0
+UNION ALL SELECT 'p' || n_nationkey, 'late', 'old', 1, 'Late' FROM nation WHERE n_nationkey % 5 <> 0""")
+def loaded_tree(fx):
+    """A guide for each nation: its customers below it, those in debt with an order of their own, and a flat entry below a known one.
+    Every fifth guide names a parent that is nowhere, and changes nothing."""
+    child = F.struct(F.concat(F.lit("c"), "c_custkey").alias("key"), F.col("c_name").alias("title"),
+                     F.when(F.col("c_acctbal") < 0, "0").alias("order"))
+    guides = fx.table("customer").groupBy("c_nationkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", child.alias(
+        "entry")))), lambda c: c["entry"]).alias("children")).join(fx.table("nation"), F.expr("c_nationkey = n_nationkey"), "right")
+    late = F.struct(F.lit("late").alias("key"), F.lit("Late").alias("title"), F.when(F.col("n_nationkey") % 5 == 0, "nowhere").otherwise("old").alias("parent"))
+    guide = F.concat(F.lit("["), F.to_json(F.struct(F.lit("n").alias("key"), F.col("n_name").alias("title"), "children")), F.lit(","),
+                     F.to_json(late), F.lit("]"))
+    documents = guides.select(F.concat(F.lit("p"), "n_nationkey").alias("project_id"), F.lit(1).alias("id"), guide.alias("json"))
+    known = fx.table("nation").selectExpr("concat('p', n_nationkey) AS project_id", "inline(array(struct('old' AS key, 'Old' AS title, 5 AS ord),"
+                                          " struct('n' AS key, 'Kept' AS title, 1 AS ord)))")
+    known = known.selectExpr("project_id", "key", "CAST(NULL AS STRING) AS parent", "ord", "'' AS start", "title", "false AS hidden")
+    return trees.load_analysis_tree(documents, known)[1].select("project_id", "key", "parent", "ord", "title")
+
+
 @query(with_tables(["fx_analysis"], """
 SELECT key, CASE WHEN key LIKE '%.c%' THEN split_part(key, '.', 1) ELSE parent END AS parent FROM fx_analysis
 WHERE key LIKE '%.c%' OR key NOT LIKE '%.n%'"""))

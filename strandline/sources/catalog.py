@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import validate
-from strandline.operators.history import history
+from strandline.operators.graph import branch_family
+from strandline.operators.history import history, recent_updates
+from strandline.operators.layout import copy_state, layout_folder
 from strandline.operators.staleness import Staleness, disk_state, node_state
-from strandline.operators.trees import hidden_nodes
+from strandline.operators.summary import category, group_members, step_flows, step_members
+from strandline.operators.trees import analysis_numbers, hidden_analyses, hidden_nodes
 from strandline.plans import cut, path_exists
 
 
@@ -119,13 +122,47 @@ def _versions_set(nodes: DataFrame, saves: DataFrame | None, final: DataFrame |
 
 
 def catalog_snapshot(nodes: DataFrame, edges: DataFrame, recorded: DataFrame, versions: DataFrame, disk: DataFrame,
-                     analyses: DataFrame, listed: DataFrame, events: DataFrame, last_events: int = 2000) -> dict[str, DataFrame]:
-    """Everything a viewer shows: nodes with state and hiding reason, links with their stale flag, the newest events."""
+                     analyses: DataFrame, listed: DataFrame, events: DataFrame, last_events: int = 2000, copies: DataFrame | None = None,
+                     destination: DataFrame | None = None, steps: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Everything a viewer shows: nodes with state and hiding reason, links with their stale flag, the newest events, the analyses and,
+    with recorded `copies`, a listing of the `destination` and the `steps`, each organized copy with its state and folder."""
     verdict = Staleness(nodes, edges, recorded)
     states = node_state(nodes, verdict.stale_nodes(), disk_state(versions, disk))
     hidden = hidden_nodes(nodes, edges, analyses, listed).withColumnRenamed("reason", "hidden_because")
     key = ["project_id", "node_id"]
     stale = verdict.stale_links().select("project_id", "edge_id", F.lit(True).alias("stale")).distinct()
-    return {"nodes": nodes.join(states, key).join(hidden, key, "left"),
-            "edges": edges.join(stale, ["project_id", "edge_id"], "left").withColumn("stale", F.coalesce("stale", F.lit(False))),
-            "reasons": verdict.reasons(), "events": history(events, limit=last_events)}
+    out = {"nodes": nodes.join(states, key).join(hidden, key, "left"),
+           "edges": edges.join(stale, ["project_id", "edge_id"], "left").withColumn("stale", F.coalesce("stale", F.lit(False))),
+           "reasons": verdict.reasons(), "events": history(events, limit=last_events), "analyses": analyses}
+    if copies is not None:
+        out["organized"] = organized_copies(nodes, copies, destination, disk, steps)
+    return out
+
+
+def organized_copies(nodes: DataFrame, copies: DataFrame, destination: DataFrame, sources: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node_id, copy_path, state, folder): recorded copies with their state and the folder that step and group give them."""
+    key = ["project_id", "node_id"]
+    return (copies.select(*key, "copy_path").join(copy_state(copies, destination, sources), key)
+            .join(layout_folder(nodes, steps), key, "left").select(*key, "copy_path", "state", "folder"))
+
+
+def catalog_sections(nodes: DataFrame, edges: DataFrame, recorded: DataFrame, analyses: DataFrame, branches: DataFrame, groups: DataFrame,
+                     versions: DataFrame) -> dict[str, DataFrame]:
+    """The data of the written report, a table per section.
+
+    stale (with reasons), steps and flows, analyses with number and hiding, artifacts with their category, links with what they carry and whether they
+    are stale, members of branch families, the last updates that say why, members of groups.
+    """
+    verdict = Staleness(nodes, edges, recorded)
+    out_of_view = hidden_analyses(analyses).withColumn("out_of_view", F.lit(True))
+    stale = verdict.stale_links().select("project_id", "edge_id", F.lit(True).alias("stale")).distinct()
+    families = branch_family(branches.select("project_id", "node_id", "of"))
+    return {
+        "stale": verdict.reasons(), "steps": step_members(nodes), "flows": step_flows(nodes, edges),
+        "analyses": analysis_numbers(analyses).join(analyses.select("project_id", "key", "title"), ["project_id", "key"])
+        .join(out_of_view, ["project_id", "key"], "left").withColumn("out_of_view", F.coalesce("out_of_view", F.lit(False))),
+        "tables": nodes.withColumn("category", category(F.col("type"))),
+        "links": edges.withColumn("with_params", F.coalesce(F.size("params") > 0, F.lit(False))).join(stale, ["project_id", "edge_id"], "left")
+        .withColumn("stale", F.coalesce("stale", F.lit(False))),
+        "branches": families.join(branches, ["project_id", "node_id"]),
+        "recent": recent_updates(versions), "groups": group_members(nodes, groups)}

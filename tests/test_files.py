@@ -146,3 +146,11 @@ def test_numbered_names_meet_few(rows):
         if -ratio >= 0.72:
             want[f"d/{x}.t"] = (node, round(-ratio, 9))
     assert got == want
+
+
+def test_descriptions_of_merged_artifacts(rows):
+    nodes = rows("project_id string, node_id string, description string", ("p", "D1", "keep"), ("p", "D2", "two"), ("p", "D10", "ten"), ("p", "D3", "keep"),
+                 ("p", "E1", None), ("p", "E2", "only "), ("p", "F1", "same"), ("p", "F2", "am"), ("p", "F3", None))
+    names = rows("project_id string, dup string, keep string", ("p", "D10", "D1"), ("p", "D2", "D1"), ("p", "D3", "D1"), ("p", "E2", "E1"), ("p", "F2", "F1"), ("p", "F3", "F1"))
+    assert as_set(dedup.merge_descriptions(nodes, names), "node_id", "description") == {
+        ("D1", "keep\n[also, as D2] two\n[also, as D10] ten"), ("E1", "[also, as E2] only")}

@@ -5,7 +5,7 @@ from conftest import as_set
 from pyspark.sql import functions as F
 from strandline.functions.digest import set_digest
 from strandline.operators import versions
-from strandline.plans import fixpoint, number_free, running_sum, saturate, with_previous
+from strandline.plans import fixpoint, number_free, order_slices, running_sum, saturate, with_previous
 
 
 def test_ordered_helpers_with_one_hot_key(rows):
@@ -23,6 +23,22 @@ def test_ordered_helpers_with_one_hot_key(rows):
             before = c
 
 
+@pytest.mark.parametrize("slice_rows", [1, 30, 1000])
+def test_slices_of_a_hot_key_without_natural_order(rows, slice_rows):
+    rnd = random.Random(2)
+    data = [("hot" if i % 3 else None, f"Table {rnd.randrange(50)}", i) for i in range(400)]
+    df = rows("k string, label string, id int", *data)
+    order = [F.col("label"), F.col("id")]
+    sliced = order_slices(df, ["k"], order, slice_rows)
+    got = {(r["k"], r["id"]): r["n"] for r in running_sum(sliced, ["k"], F.col("_part"), order, F.lit(1), "n").collect()}
+    assert got == {(k, i): n for key in ("hot", None) for n, (k, _, i) in enumerate(sorted(
+        (d for d in data if d[0] == key), key=lambda d: d[1:]), 1)}
+    sizes = sorted(r["count"] for r in sliced.groupBy("_part").count().collect())
+    if slice_rows == 30:
+        assert len(sizes) > 8 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    assert order_slices(df.limit(0), ["k"], order).count() == 0
+
+
 def test_number_free(rows):
     df = rows("k string, seq int", *[("a", i) for i in range(10)], ("b", 1))
     taken = rows("k string, n long", ("a", 1), ("a", 3), ("a", 4), ("a", 12), ("a", 50), ("b", 2))

@@ -152,3 +152,15 @@ def test_catalog_snapshot(spark):
     states = dict(shot["nodes"].groupBy("state").count().collect())
     assert set(states) == {"ok", "stale", "missing", "modified"} and sum(states.values()) == fx.nodes().count()
     assert shot["events"].count() == min(2000, fx.events().count()) and shot["edges"].where("stale").count() > 0
+
+
+def test_organized_copies(rows):
+    key = "project_id string, node_id string, "
+    nodes = rows(key + "step string, grp string", ("p", "a", "s", None), ("p", "b", "s", "g"), ("p", "c", None, None), ("p", "d", "s", None))
+    copies = rows(key + "copy_path string, source string, source_hash string, size long, source_mtime long", *[
+        ("p", n, f"01_S/{n}", f"src/{n}", "h", 1, 1) for n in "abc"])
+    there = rows("project_id string, path string", ("p", "01_S/a"), ("p", "01_S/b"))
+    disk = rows("project_id string, path string, size long, mtime long, hash string", ("p", "src/a", 1, 1, "h"), ("p", "src/b", 2, 2, "x"), ("p", "src/c", 1, 1, "h"))
+    steps = rows("project_id string, step string, ord int, step_label string", ("p", "s", 1, "S"))
+    assert as_set(catalog.organized_copies(nodes, copies, there, disk, steps), "node_id", "copy_path", "state", "folder") == {
+        ("a", "01_S/a", "ok", "01_S"), ("b", "01_S/b", "source_changed", "01_S/g"), ("c", "01_S/c", "copy_missing", "00_No_step")}

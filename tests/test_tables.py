@@ -42,6 +42,21 @@ def test_nested_load(rows):
     assert as_set(trees.unknown_parents(lost, known), "key") == {"deep", "late"}
 
 
+def test_a_list_is_loaded_whole_or_not_at_all(rows):
+    known = rows(TREE + ", color string", *[(p, k, None, n, "", k.upper(), False, "red") for p in "pqrstu" for n, k in enumerate(("raw", "old"))])
+    doc = '[{"key": "raw", "order": 4, "children": [{"key": "qc"}, {"key": "pca", "title": "PCA"}]}, {"key": "late", "parent": "qc"}%s]'
+    docs = rows("project_id string, id int, json string", ("p", 1, doc % ""), ("q", 1, doc % ', {"key": "x", "parent": "absent"}'),
+                ("r", 1, doc % ', {"title": "no key"}'), ("s", 1, doc % ', {"key": "qc", "parent": "late"}'), ("t", 1, "[]"))
+    problems, tree = trees.load_analysis_tree(docs, known)
+    assert as_set(problems, "project_id", "problem") == {("q", "unknown parent"), ("r", "key must be one word"), ("s", "loop")}
+    assert as_set(tree.where("project_id IN ('q', 'r', 's', 't', 'u')"), *tree.columns) == as_set(known.where("project_id <> 'p'"), *known.columns)
+    assert as_set(tree.where("project_id = 'p'"), "key", "parent", "ord", "title", "color") == {
+        ("raw", None, 4, "RAW", "red"), ("old", None, 1, "OLD", "red"), ("qc", "raw", 1, None, None), ("pca", "raw", 2, "PCA", None), ("late", "qc", 1, None, None)}
+    _, tree = trees.load_analysis_tree(docs, known, replace=True)
+    assert as_set(tree.where("project_id = 'p'"), "key", "title") == {("raw", None), ("qc", None), ("pca", "PCA"), ("late", None)}
+    assert as_set(tree.where("project_id IN ('q', 't', 'u')"), "project_id", "key") == {("q", "raw"), ("q", "old"), ("u", "raw"), ("u", "old")}
+
+
 def test_hiding(rows):
     """What only feeds hidden work goes too; things with no use, pinned or listed in visible work stay."""
     nodes = rows("project_id string, node_id string, hidden boolean", *[("p", n, h) for n, h in (

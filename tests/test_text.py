@@ -138,3 +138,19 @@ def test_doi_and_logs(rows):
     logs = rows("log string, text string", ("a", "./s/x.tex:12: Bad thing\nx\n./s/x.tex:12: Bad thing\nmain.tex:3: Other"), ("b", "! Stop.\nmore\nl.45 here\n! Again.\n"), ("c", "fine"))
     assert as_set(manuscript.log_errors(logs), "log", "file", "line", "message") == {
         ("a", "s/x.tex", 12, "Bad thing"), ("a", "main.tex", 3, "Other"), ("b", None, 45, "Stop."), ("b", None, None, "Again.")}
+
+
+def test_doi_of_any_length_against_brute_force(rows):
+    rnd = random.Random(6)
+    piece = lambda n: "".join(rnd.choice("ab1./") for _ in range(n))
+    dois = [(f"r{i}", "10." + piece(rnd.randrange(3, 12))) for i in range(40)] + [("long", "10." + "x" * 10000), ("far", "doi:10.ab"), ("none", "x"), ("null", None)]
+    texts = [(i, " ".join(piece(rnd.randrange(6)) + rnd.choice(dois[:40])[1].upper() + piece(rnd.randrange(4)) for _ in range(rnd.randrange(3)))) for i in range(80)]
+    texts += [(80, "see 10." + "x" * 10001), (81, "x 10." + "x" * 9000), (82, None), (83, "doi: 10. ab"), (84, "")]
+    want = set()
+    for i, text in texts:
+        flat = "".join((text or "").split()).lower()
+        hits = [r for r, d in dois if d and "10." in d and d in flat]
+        want |= {(i, hits[0])} if len(hits) == 1 else set()
+    got = markup.match_doi(rows("text_id int, text string", *texts), rows("ref string, doi string", *dois))
+    assert as_set(got, "text_id", "ref") == want and (80, "long") in want and len(want) > 20
+    assert markup.match_doi(rows("text_id int, text string", *texts), rows("ref string, doi string")).count() == 0
