@@ -2,23 +2,88 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.plans.materialize import cut, new_folder
 from strandline.plans.ordered import merge_spans
 
+MERGE_ROWS = 4_000_000
+
+
+class Known:
+    """The keys (and spans) found so far, to take known rows out of candidates.
+
+    New rounds are read from the files they were written to. Once these hold `merge_rows` rows, they become a table bucketed by
+    the keys, which later joins read bucket by bucket without a shuffle; a table takes in those before it that are no more than
+    twice its size, so a row is rewritten a logarithmic number of times and few tables are left. The candidates are shuffled once,
+    for all of them. What a round shuffles does not grow with what is known.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, keys: list[str], span: tuple[str, str] | None = None, merge_rows: int = MERGE_ROWS):
+        self.spark, self.base, self.keys, self.span, self.merge_rows = spark, new_folder(spark, f"{name}-known"), keys, span, merge_rows
+        self.young: list[str] = []
+        self.schema = None
+        self.young_rows = 0
+        self.tables: list[tuple[str, int]] = []
+
+    def add(self, rows: DataFrame, path: str, n: int) -> None:
+        """`rows` as stored in `path`."""
+        self.young.append(path)
+        self.schema = rows.schema
+        self.young_rows += n
+        if self.young_rows < self.merge_rows:
+            return
+        parts, total, merged = [self._recent()], self.young_rows, []
+        while self.tables and self.tables[-1][1] <= 2 * total:
+            name, size = self.tables.pop()
+            merged.append(name)
+            parts, total = [*parts, self.spark.table(name)], total + size
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"known_{uuid.uuid4().hex}"
+        (reduce(DataFrame.unionByName, parts).repartition(buckets, *self.keys).write.bucketBy(buckets, *self.keys).sortBy(*self.keys)
+         .format("parquet").option("path", f"{self.base}/{name}").saveAsTable(name))
+        self.tables.append((name, total))
+        self.young, self.young_rows = [], 0
+        self._drop(merged)
+
+    def _recent(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.young).select(*self.keys, *(self.span or ()))
+
+    def without(self, candidates: DataFrame) -> DataFrame:
+        """The candidates whose key (with spans: whose key and span) is not covered by what is known."""
+        sides = [self.spark.table(name) for name, _ in self.tables] + ([self._recent()] if self.young else [])
+        for known in sides:
+            if self.span is None:
+                candidates = candidates.join(known, self.keys, "left_anti")
+                continue
+            since, until = self.span
+            there = known.select(*[F.col(c).alias(f"_{c}") for c in known.columns])
+            covers = [F.col(f"_{k}") == F.col(k) for k in self.keys] + [F.col(f"_{since}") <= F.col(since), F.col(until) <= F.col(f"_{until}")]
+            candidates = candidates.join(there, covers, "left_anti")
+        return candidates
+
+    def close(self) -> None:
+        """Forget the tables; their files are left to the cleaning of the shared folder."""
+        self._drop([name for name, _ in self.tables])
+        self.tables = []
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str],
              max_rounds: int | None = None, stop_at_max: bool = False, name: str = "fixpoint",
-             span: tuple[str, str] | None = None) -> DataFrame:
+             span: tuple[str, str] | None = None, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """All rows reachable from `seed` by repeating `step`; `round` tells when a key was first found.
 
     `step` maps the newest rows to candidates with the columns of `seed`. Each round is written
-    once, as a new part of the result table, so nothing found earlier is rewritten and lost
-    executors only cost the running round. A candidate whose key is known is dropped, so loops in the data end the
+    once, as a new part of the result table, and lost executors only cost the running round. A candidate whose key is known is dropped, so loops in the data end the
     iteration; `max_rounds` is for steps that make new keys without end.
 
     With `span`, two columns, a row holds for its key from the first up to before the second: overlapping spans of a round
@@ -30,22 +95,18 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
     paths: list[str] = []
     once = (lambda rows: merge_spans(rows, keys, *span)) if span else (lambda rows: rows.dropDuplicates(keys))
     fresh = once(seed)
+    known = Known(spark, name, keys, span, merge_rows)
     n = 0
-    while True:
-        paths.append(f"{base}/part-{n:05d}")
-        frontier, seen = cut(fresh.withColumn("round", F.lit(n)), path=paths[-1])
-        known = spark.read.schema(frontier.schema).parquet(*paths)
-        if seen["rows"] == 0:
-            return known
-        n += 1
-        if max_rounds is not None and n > max_rounds:
-            if stop_at_max:
-                return known
-            raise RuntimeError(f"{name}: no fixpoint after {max_rounds} rounds (is there a cycle?)")
-        candidates = once(step(frontier).select(*columns))
-        if span is None:
-            fresh = candidates.join(known.select(*keys), keys, "left_anti")
-        else:
-            there = known.select(*[F.col(c).alias(f"_{c}") for c in [*keys, *span]])
-            covers = [F.col(f"_{k}") == F.col(k) for k in keys] + [F.col(f"_{span[0]}") <= F.col(span[0]), F.col(span[1]) <= F.col(f"_{span[1]}")]
-            fresh = candidates.join(there, covers, "left_anti")
+    try:
+        while True:
+            paths.append(f"{base}/part-{n:05d}")
+            frontier, seen = cut(fresh.withColumn("round", F.lit(n)), path=paths[-1])
+            n += 1
+            if seen["rows"] == 0 or n - 1 == max_rounds and stop_at_max:
+                return spark.read.schema(frontier.schema).parquet(*paths)
+            if max_rounds is not None and n > max_rounds:
+                raise RuntimeError(f"{name}: no fixpoint after {max_rounds} rounds (is there a cycle?)")
+            known.add(frontier, paths[-1], seen["rows"])
+            fresh = known.without(once(step(frontier).select(*columns)))
+    finally:
+        known.close()

@@ -5,7 +5,7 @@ from conftest import as_set
 from pyspark.sql import functions as F
 from strandline.functions.digest import set_digest
 from strandline.operators import versions
-from strandline.plans import fixpoint, number_free, order_slices, running_sum, saturate, with_previous
+from strandline.plans import Known, cut, fixpoint, new_folder, number_free, order_slices, running_sum, saturate, with_previous
 
 
 def test_ordered_helpers_with_one_hot_key(rows):
@@ -51,6 +51,38 @@ def test_fixpoint_reports_endless_growth(rows, spark):
         fixpoint(rows("n int", (1,)), lambda f: f.select((F.col("n") + 1).alias("n")), ["n"], max_rounds=3)
 
 
+def test_fixpoint_with_bucketed_tables(rows, spark):
+    """A chain with shortcuts and a loop, and spans: the same rows and rounds whether known rows are merged into tables or not."""
+    arcs = rows("n int, next int", *[(i, i + 1) for i in range(12)], (3, 9), (12, 0), (5, 5)).cache()
+    step = lambda f: f.join(arcs, "n").select(F.col("next").alias("n"))
+    got = [as_set(fixpoint(rows("n int", (0,), (1,)), step, ["n"], merge_rows=m), "n", "round") for m in (2, 5, 10**9)]
+    assert got[0] == got[1] == got[2] and {n for n, _ in got[0]} == set(range(13))
+    spans = lambda f: f.join(arcs, "n").select(F.col("next").alias("n"), "a", "b")
+    seed = rows("n int, a int, b int", (0, 0, 5), (2, 3, 9))
+    got = [as_set(fixpoint(seed, spans, ["n"], span=("a", "b"), merge_rows=m), "n", "a", "b", "round") for m in (2, 10**9)]
+    assert got[0] == got[1]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("known_")]
+
+
+def test_known_rows_are_not_shuffled(rows, spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    known = Known(spark, "test", ["p", "n"], merge_rows=50)
+    try:
+        for lo, hi in ((0, 100), (100, 160), (160, 600), (600, 610)):
+            path = new_folder(spark, "test")
+            known.add(cut(spark.range(lo, hi).select((F.col("id") % 3).alias("p"), F.col("id").alias("n")), path=path)[0], path, hi - lo)
+        assert [size for _, size in known.tables] == [600] and known.young_rows == 10
+        known.young = []
+        left = known.without(spark.range(0, 700).select((F.col("id") % 3).alias("p"), F.col("id").alias("n"), F.lit(1).alias("v")).dropDuplicates(["p", "n"]))
+        assert sorted(r["n"] for r in left.collect()) == list(range(600, 700))
+        plan = left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Bucketed: true") == 1
+    finally:
+        known.close()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_saturate(rows):
     key = "project_id string, node_id string"
     seed = rows(key, ("p", "a"), ("p", "b"))
