@@ -169,3 +169,15 @@ def test_subtree_sizes_in_doubling_steps(rows):
                    | {("q", "a0", 0), ("q", "z", 0)})
     with pytest.raises(RuntimeError, match="loop"):
         trees.subtree_sizes(rows("project_id string, key string, parent string", ("p", "x", "y"), ("p", "y", "x")))
+
+
+def test_packing_rounds_write_numbers(rows, monkeypatch):
+    """What a round keeps of an open row is the artifact and the number of a set, not the set's names."""
+    rnd, kept = random.Random(5), []
+    data = sorted({(f"s{rnd.randrange(60):02d}", f"n{rnd.randrange(40)}") for _ in range(400)})
+    written = summary.cut
+    monkeypatch.setattr(summary, "cut", lambda df, name="cut", **more: (kept.append((name, set(df.columns))), written(df, name, **more))[1])
+    df = rows("project_id string, grp string, node_id string", *[("p", g if g != "s00" else None, n) for g, n in data])
+    named = {(g or "s00", n) for g, n in as_set(summary.pack_groups(df, ["grp"]), "grp", "node_id")}
+    assert named == greedy(data)
+    assert {frozenset(c) for name, c in kept if name == "open"} == {frozenset({"project_id", "node_id", "set"})}
