@@ -5,7 +5,7 @@ from conftest import as_set
 from pyspark.sql import functions as F
 from strandline.functions.digest import set_digest
 from strandline.operators import versions
-from strandline.plans import Known, cut, fixpoint, new_folder, number_free, order_slices, running_sum, saturate, with_previous
+from strandline.plans import Known, cut, fixpoint, keyed, new_folder, number_free, order_slices, running_sum, saturate, with_previous
 
 
 def test_ordered_helpers_with_one_hot_key(rows):
@@ -131,3 +131,16 @@ def test_merged_params(rows):
     got = {r["edge_id"]: r["params"] for r in versions.merged_params(edges, edits).collect()}
     assert got == {"e": {"a": "1", "b": "5", "d": "6"}, "f": {"c": "3"}}
     assert as_set(versions.edge_param_changes(edges, edits), "key", "before", "after") == {("b", "2", "5"), ("d", None, "6")}
+
+
+def test_keyed_tables_are_joined_without_a_shuffle(spark, rows):
+    """What the rounds join again and again is shuffled once, when it is written."""
+    arcs = keyed(rows("node_id string, project_id string, next string", *[(f"n{i % 50}", "p", f"m{i}") for i in range(500)]), ["node_id", "project_id"])
+    found = rows("node_id string, project_id string", *[(f"n{i}", "p") for i in range(0, 60, 2)])
+    met = found.hint("shuffle_merge").join(arcs, ["node_id", "project_id"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert met.count() == 250
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("keyed_")]
+    twice = rows("node_id string, next string", ("a", "b"), ("a", "b"), ("a", "c"), ("d", "b"))
+    assert sorted(map(tuple, keyed(twice, ["node_id"], distinct=True).collect())) == [("a", "b"), ("a", "c"), ("d", "b")]
