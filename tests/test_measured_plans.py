@@ -1,7 +1,7 @@
 """Plans that follow sizes in memory, batch rules one at a time, and links that are listed twice."""
 
 from strandline.operators import graph
-from strandline.plans import cut, keyed
+from strandline.plans import cut, fixpoint, keyed
 from strandline.queries import all_queries
 
 
@@ -38,3 +38,16 @@ def test_repeated_links_do_not_block(spark):
     arcs = graph.stored_arcs(edges.where("NOT (source = 'd' AND target = 'c')"))
     nodes = spark.createDataFrame([("p", n) for n in "abcdexy"], "project_id string, node_id string")
     assert {r.node_id: r.depth for r in graph.peel(nodes, arcs).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "x": 0, "y": 1}
+
+
+def test_no_round_follows_rows_that_lead_nowhere(spark):
+    asked = []
+
+    def step(frontier):
+        asked.append(1)
+        return frontier.where("open").selectExpr("id + 1 AS id", "id < 3 AS open")
+
+    seed = spark.createDataFrame([(1, True), (7, False)], "id long, open boolean")
+    got = fixpoint(seed, step, ["id"], leads_on="open")
+    assert sorted((r.id, r.round) for r in got.collect()) == [(1, 0), (2, 1), (3, 2), (4, 3), (7, 0)]
+    assert len(asked) == 3
