@@ -1,7 +1,7 @@
-from strandline.plans.fixpoint import Known, fixpoint
+from strandline.plans.fixpoint import Known, bits, fixpoint, least
 from strandline.plans.materialize import checkpoint_root, cut, keyed, new_folder, path_exists
 from strandline.plans.ordered import merge_spans, number_changes, number_free, order_slices, running_sum, top_per_project, with_previous
 from strandline.plans.saturate import saturate
 
-__all__ = ["Known", "checkpoint_root", "cut", "fixpoint", "keyed", "merge_spans", "new_folder", "number_changes", "number_free", "order_slices", "path_exists", "running_sum", "saturate", "top_per_project",
+__all__ = ["Known", "bits", "checkpoint_root", "cut", "fixpoint", "keyed", "least", "merge_spans", "new_folder", "number_changes", "number_free", "order_slices", "path_exists", "running_sum", "saturate", "top_per_project",
            "with_previous"]

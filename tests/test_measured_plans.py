@@ -1,7 +1,8 @@
 """Plans that follow sizes in memory, batch rules one at a time, and links that are listed twice."""
 
+from pyspark.sql import functions as F
 from strandline.operators import graph
-from strandline.plans import cut, fixpoint, keyed
+from strandline.plans import bits, cut, fixpoint, keyed, least
 from strandline.queries import all_queries
 
 
@@ -51,3 +52,35 @@ def test_no_round_follows_rows_that_lead_nowhere(spark):
     got = fixpoint(seed, step, ["id"], leads_on="open")
     assert sorted((r.id, r.round) for r in got.collect()) == [(1, 0), (2, 1), (3, 2), (4, 3), (7, 0)]
     assert len(asked) == 3
+
+
+def test_seeds_that_meet_walk_as_one_row(spark):
+    """150 seeds lead to one hub and along a chain with a way back; each link behind the hub is followed once for 64 seeds."""
+    links = [(f"s{i:03d}", "hub") for i in range(150)] + [("hub", "a"), ("a", "b"), ("b", "hub"), ("s003", "b"), ("b", "s149")]
+    edges = spark.createDataFrame([("p", a, b) for a, b in links], "project_id string, source string, target string")
+    seeds = spark.createDataFrame([("p", f"s{i:03d}") for i in range(150)] + [("p", "s000")], "project_id string, seed string")
+    arcs = keyed(graph._arcs(edges, "down", []), ["node_id", "project_id"])
+    met, by_seed = graph._walk(arcs, seeds)
+    assert met.where("depth > 0 AND node_id IN ('hub', 'a')").count() <= 12
+    want = {}
+    for seed in (f"s{i:03d}" for i in range(150)):
+        near, depth = {seed: 0}, 0
+        while fresh := {b for a, b in links if near.get(a) == depth} - set(near):
+            depth += 1
+            near |= dict.fromkeys(fresh, depth)
+        want |= {(seed, node): d for node, d in near.items()}
+    assert {(r.seed, r.node_id): r.depth for r in by_seed(met).collect()} == want
+    got = {(r.seed, r.node_id): r.depth for r in graph.reachable(edges, seeds).collect()}
+    assert got == {k: d for k, d in want.items() if d}
+
+
+def test_values_grow_over_merged_tables(spark):
+    """Bits and least values of a key that is found again and again, whether known rows are merged into tables or not."""
+    arcs = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 0), (2, 7), (5, 5)], "n int, next int")
+    seed = spark.createDataFrame([(0, 1), (4, 2), (8, 4)], "n int, v long")
+    step = lambda f: f.join(arcs, "n").select(F.col("next").alias("n"), "v")
+    for value, want in ((bits("v"), {n: 7 for n in range(10)}), (least("v"), {n: 1 for n in range(10)})):
+        got = [fixpoint(seed, step, ["n"], value=value, merge_rows=m) for m in (2, 5, 10**9)]
+        rows = [sorted(tuple(r) for r in g.collect()) for g in got]
+        assert rows[0] == rows[1] == rows[2]
+        assert {r.n: r.v for r in got[0].groupBy("n").agg(value.merge("v").alias("v")).collect()} == want
