@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import markup as m
 from strandline.functions.keys import scope
-from strandline.plans import cut
+from strandline.plans import cut, few, if_few
 from strandline.vocab import PART_BY_STEM, SKIPPED_STEMS
 
 FILE = ["article", "file"]
@@ -164,21 +164,22 @@ def quote_pairs(quotes: DataFrame, pages: DataFrame, k: int = 2) -> DataFrame:
 
     The words inside a quote are whole words on its page in either case, so k of them in a row (fewer in short quotes)
     lead to the candidate pages by an equi-join; the full texts are compared only there. Quotes of one or two words have no
-    inner word: the words they can be part of are looked up in the vocabulary of all pages first.
+    inner word: what stands beside their blank, or the vocabulary of all pages, leads to them. While the word runs asked for and the pages
+    found are few, they are sent to the pages, which are not shuffled then.
     """
     page = ["doc", "page_no"]
     known, _ = cut(pages.select(*page, m.normal_text(F.col("text")).alias("page")), "pages", row_group=1 << 20)
     asked = (quotes.select("quote_id", m.normal_text(F.col("quote")).alias("quote")).where("quote <> ''")
              .withColumn("bare", bare_words(F.col("quote"))).withColumn("words", F.split("bare", " ")))
-    asked, _ = cut(asked.withColumn("inner", F.slice("words", F.lit(2), F.greatest(F.size("words") - 2, F.lit(0))))
+    asked, told = cut(asked.withColumn("inner", F.slice("words", F.lit(2), F.greatest(F.size("words") - 2, F.lit(0))))
                    .withColumn("k", F.least(F.size("inner"), F.lit(k))), "quotes")
     lengths = sorted(r["k"] for r in asked.select("k").distinct().collect())  # at most k + 1 values
     inner, parts = [n for n in lengths if n > 0], []
     if inner:
         # stored first, so that its size decides how the far larger page side is joined
-        offered, _ = cut(reduce(DataFrame.unionByName, [asked.where(F.col("k") == n).select(
+        offered, n_offered = cut(reduce(DataFrame.unionByName, [asked.where(F.col("k") == n).select(
             "quote_id", F.explode(F.array_distinct(_grams(F.col("inner"), n))).alias("gram")) for n in inner]), "offered")
-        wanted = offered.select("gram").distinct()
+        wanted = if_few(offered.select("gram").distinct(), n_offered["rows"])
         worded = known.withColumn("words", F.split(bare_words(F.col("page")), " "))
         grams = F.flatten(F.array(*[_grams(F.col("words"), n) for n in inner]))
         found, _ = cut(worded.select(*page, F.explode(grams).alias("gram")).join(wanted, "gram", "left_semi").distinct(), "grams")
@@ -187,12 +188,13 @@ def quote_pairs(quotes: DataFrame, pages: DataFrame, k: int = 2) -> DataFrame:
         rarest = (offered.join(on_pages, "gram", "left").groupBy("quote_id")
                   .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
                   .where("a.n > 0").select("quote_id", F.col("a.gram").alias("gram")))
-        pairs = found.join(rarest, "gram").select("quote_id", *page)
-        both = pairs.join(asked.select("quote_id", "quote", "bare"), "quote_id").join(known, page)
+        pairs, n_pairs = cut(found.join(if_few(rarest, told["rows"]), "gram").select("quote_id", *page), "pairs")
+        shown = known.join(if_few(pairs, n_pairs["rows"]), page)
+        both = shown.join(if_few(asked.select("quote_id", "quote", "bare"), told["rows"]), "quote_id")
         how = F.when(F.contains("page", F.col("quote")), TEXT).when(_has_words(bare_words(F.col("page")), F.col("bare")), WORDS)
         parts.append(both.select("quote_id", *page, how.alias("how")).where("how IS NOT NULL"))
     if 0 in lengths:
-        parts.append(_short_quotes(asked.where("k = 0"), known, page))
+        parts += _short_quotes(asked.where("k = 0"), known, page, told["rows"])
     if not parts:
         return known.select(F.lit(None).cast("string").alias("quote_id"), *page, F.lit(TEXT).alias("how")).limit(0)
     return reduce(DataFrame.unionByName, parts)
@@ -203,12 +205,45 @@ def _runs(word: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))), lambda i: F.substr(word, i, F.lit(n)))
 
 
-def _short_quotes(short: DataFrame, known: DataFrame, page: list[str]) -> DataFrame:
-    """Pages with a quote of one or two words, found through the vocabulary of all pages.
+EDGE = 2
+
+
+def _beside_blank(two: DataFrame, known: DataFrame, page: list[str]) -> DataFrame:
+    """Pages with one of few quotes of two words. Up to EDGE letters on each side of its blank, or both words without glued punctuation, lead
+    from two neighbouring words to it; the words themselves decide."""
+    quoted = F.split("quote", " ")
+    ends = two.select("quote_id", "bare", quoted[0].alias("first"), quoted[1].alias("last")).withColumn(
+        "m", F.least(F.length("first"), F.lit(EDGE))).withColumn("n", F.least(F.length("last"), F.lit(EDGE)))
+    sizes = sorted((r["m"], r["n"]) for r in ends.select("m", "n").distinct().collect())  # at most EDGE * EDGE
+    at_blank = lambda a, m, b, n: F.xxhash64(F.lit(TEXT), F.right(a, m), F.left(b, n))
+    as_words = lambda bare: F.xxhash64(F.lit(WORDS), bare)
+    wanted = ends.select("quote_id", "bare", "first", "last", F.inline(F.array(
+        F.struct(F.lit(TEXT).alias("how"), at_blank(F.col("first"), F.col("m"), F.col("last"), F.col("n")).alias("key")),
+        F.struct(F.lit(WORDS).alias("how"), as_words(F.col("bare")).alias("key")))))
+    words = known.select(*page, F.split("page", " ").alias("w"), F.split(bare_words(F.col("page")), " ").alias("c"))
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    beside = words.select(*page, F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"),
+                          F.slice("c", F.lit(1), n).alias("c"), F.slice("c", F.lit(2), n).alias("d"))
+    near = beside.select(*page, F.inline(F.arrays_zip("a", "b", "c", "d"))).withColumn("c", F.concat("c", F.lit(" "), "d")).drop("d")
+    keys = [F.when((F.length("a") >= m) & (F.length("b") >= n), at_blank(F.col("a"), F.lit(m), F.col("b"), F.lit(n))) for m, n in sizes]
+    led = near.select(*page, "a", "b", "c", F.explode(F.array(as_words(F.col("c")), *keys)).alias("key"))
+    fits = F.when(F.col("how") == TEXT, F.endswith("a", F.col("first")) & F.startswith("b", F.col("last"))).otherwise(F.col("c") == F.col("bare"))
+    return led.join(F.broadcast(wanted), "key").where(fits).select("quote_id", *page, "how")
+
+
+def _short_quotes(short: DataFrame, known: DataFrame, page: list[str], n_quotes: int) -> list[DataFrame]:
+    """Pages with a quote of one or two words, found through the vocabulary of all pages; of two in a list of few quotes, `_beside_blank`.
 
     One word lies inside some word of the page. Of two, the first ends a word and the second begins the next one. Or the
     words are those of the page but for glued punctuation.
     """
+    kinds = {r[0] for r in short.select(F.size("words")).distinct().collect()}
+    parts = []
+    if 2 in kinds and few(n_quotes):
+        parts.append(_beside_blank(short.where("size(words) = 2"), known, page))
+        kinds.remove(2)
+    if not kinds:
+        return parts
     text, words = F.lit(TEXT).alias("how"), F.lit(WORDS).alias("how")
     worded = known.select(*page, F.split("page", " ").alias("words"))
     vocabulary, _ = cut(worded.select(F.explode(F.array_distinct("words")).alias("word")).distinct(), "vocabulary", row_group=1 << 20)
@@ -218,18 +253,16 @@ def _short_quotes(short: DataFrame, known: DataFrame, page: list[str]) -> DataFr
     alike = vocabulary.select("word", bare_words(F.col("word")).alias("key"))
     known_as = lambda part, name: alike.join(short.where("size(words) = 2").select(
         "quote_id", bare_words(part).alias("key")), "key").select("quote_id", F.col("word").alias(name), words)
-    kinds = {r[0] for r in short.select(F.size("words")).distinct().collect()}
-    parts = []
     if 1 in kinds:
         # the first three letters of the part, or all of a shorter one, stand somewhere in the word
         sizes = sorted(r[0] for r in short.where("size(words) = 1").select(F.least(F.length("quote"), F.lit(3))).distinct().collect())
         runs = F.array_distinct(F.concat(*[_runs(F.col("word"), n) for n in sizes]))
         one = short.where("size(words) = 1").select("quote_id", F.left("quote", F.lit(3)).alias("key"), F.col("quote").alias("part"))
-        inside = vocabulary.select("word", F.explode(runs).alias("key")).join(one, "key").where(
+        inside = vocabulary.select("word", F.explode(runs).alias("key")).join(if_few(one, n_quotes), "key").where(
             F.contains("word", F.col("part"))).select("quote_id", "word", text)
         same = alike.join(short.where("size(words) = 1").select("quote_id", F.col("bare").alias("key")), "key").select("quote_id", "word", words)
-        inside, _ = cut(inside.unionByName(same).distinct(), "inside")
-        parts.append(worded.select(*page, F.explode(F.array_distinct("words")).alias("word")).join(inside, "word").select("quote_id", *page, "how"))
+        inside, n_inside = cut(inside.unionByName(same).distinct(), "inside")
+        parts.append(worded.select(*page, F.explode(F.array_distinct("words")).alias("word")).join(if_few(inside, n_inside["rows"]), "word").select("quote_id", *page, "how"))
     if 2 in kinds:
         two = short.where("size(words) = 2")
         ends = vocabulary.withColumn("key", F.explode(F.transform(upto, lambda i: F.substr("word", i)))).join(
@@ -244,7 +277,7 @@ def _short_quotes(short: DataFrame, known: DataFrame, page: list[str]) -> DataFr
         for side, name in ((ends, "a"), (begins, "b")):
             near = near.join(side.select(name).distinct(), name, "left_semi")
         parts.append(near.join(ends, "a").join(begins, ["quote_id", "how", "b"]).select("quote_id", *page, "how"))
-    return reduce(DataFrame.unionByName, parts)
+    return parts
 
 
 def match_quotes(quotes: DataFrame, pages: DataFrame, k: int = 2) -> DataFrame:
@@ -254,7 +287,9 @@ def match_quotes(quotes: DataFrame, pages: DataFrame, k: int = 2) -> DataFrame:
     `quotes` has quote_id, quote, want (page or null), doc (or null: all documents). A quote that is on no page it may be on has one
     row: 'not found', with the document that was asked and no page.
     """
-    found = quote_pairs(quotes, pages, k).join(quotes.select("quote_id", "want", F.col("doc").alias("_doc")), "quote_id")
+    quotes, told = cut(quotes.select("quote_id", "quote", "want", "doc"), "asked")
+    wanted = if_few(quotes.select("quote_id", "want", F.col("doc").alias("_doc")), told["rows"])
+    found = quote_pairs(quotes, pages, k).join(wanted, "quote_id")
     here = found.where("_doc IS NULL OR _doc = doc")
     order = F.struct("how", (~F.col("page_no").eqNullSafe(F.col("want"))).cast("int").alias("other"), "page_no")
     shown, _ = cut(here.groupBy("quote_id", "doc").agg(F.min(order).alias("best")).select(

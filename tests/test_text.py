@@ -5,6 +5,7 @@ from conftest import as_set
 from pyspark.sql import functions as F
 from strandline.functions import markup as marks
 from strandline.operators import manuscript, markup
+from strandline.plans import materialize
 
 TEXTS = [
     "", "plain words here -- and more", r"We \textbf{found} 5\% of % a comment \n" + "\nnew line", r"see \figref[A]{1} and \ref{x}, $a+b$ \AUCJoint{} ok~now",
@@ -103,6 +104,29 @@ def test_quotes_against_every_page(rows):
     assert {"text", "words", "not found"} == {h for *_, h in plain_quotes(quotes, pages)}
 
 
+def test_a_long_list_of_quotes_gives_the_same(rows, monkeypatch):
+    monkeypatch.setattr(materialize, "FEW_ROWS", 0)
+    test_quotes(rows)
+    test_quotes_against_every_page(rows)
+
+
+def test_few_quotes_leave_the_pages_in_place(spark, rows):
+    rnd = random.Random(11)
+    pages = [("d", n, " ".join(f"{rnd.getrandbits(32):08x}" for _ in range(200))) for n in range(300)]
+    words = pages[7][2].split(" ")
+    quotes = [("two", f"{words[3][4:]} {words[4][:1]}", None, None), ("long", " ".join(words[10:16]), None, None)]
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    got = markup.match_quotes(rows("quote_id string, quote string, want long, doc string", *quotes), rows("doc string, page_no long, text string", *pages))
+    assert as_set(got, "quote_id", "doc", "page_no", "how") == plain_quotes(quotes, pages)
+    assert shuffled() - before < sum(len(text) for *_, text in pages) / 4
+
+
 def test_where(rows):
     lines = rows("table string, line int, text string", ("t", 1, "Gene\tP"), ("t", 2, "TP53\t0.01"), ("t", 3, "BRCA1\t0.5"), ("u", 1, "x"))
     places = rows("table string, where string", ("t", "sheet=S1; find=tp53&0.01|nothing ; row=3"), ("u", ""))
