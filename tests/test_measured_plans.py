@@ -84,3 +84,31 @@ def test_values_grow_over_merged_tables(spark):
         rows = [sorted(tuple(r) for r in g.collect()) for g in got]
         assert rows[0] == rows[1] == rows[2]
         assert {r.n: r.v for r in got[0].groupBy("n").agg(value.merge("v").alias("v")).collect()} == want
+
+
+def test_articles_do_not_deal_out_artifacts(spark):
+    """Few articles lead to all artifacts, so these must not be shuffled by article; stored links give the same."""
+    links = [("T1", "A2", "part_of"), ("T1", "A1", "part_of"), ("O1", "T1", "derives"), ("A1", "A0", "part_of"), ("T2", "A2", "part_of"),
+             ("O2", "T2", "derives"), ("O1", "O2", "derives"), ("O2", "O1", "derives"), ("X", "A0", "documents"), ("R", "O2", "feeds")]
+    edges = spark.createDataFrame([("p", f"e{i}", *x) for i, x in enumerate(links)], "project_id string, edge_id string, source string, target string, rel string")
+    kinds = {n: "article" if n.startswith("A") else "result" for a, b, _ in links for n in (a, b)}
+    nodes = spark.createDataFrame([("p", n, k, f"label {n}") for n, k in kinds.items()], "project_id string, node_id string, type string, label string")
+    want = {"A0": "label A0", "A1": "label A1", "A2": "label A2", "T1": "label A1", "T2": "label A2", "O1": "label A1", "O2": "label A1", "R": "label A1",
+            "X": "(no article)"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for stored in (None, keyed(graph.typed_links(nodes, edges), ["target", "project_id"], "links")):
+            got = graph.article_of(nodes, edges, stored) if stored is not None else graph.article_of(nodes, edges)
+            assert {r.node_id: r.article for r in got.collect()} == want
+            assert "hashpartitioning(article" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_buckets_are_written_without_a_sort(spark):
+    """A task writes one bucket, so a sort by bucket would only cost time."""
+    rows = spark.range(1000).selectExpr("'p' AS project_id", "concat('n', id) AS node_id")
+    stored = keyed(rows, ["node_id", "project_id"])
+    assert stored.count() == 1000 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "1"
+    met = stored.groupBy("node_id", "project_id").count()
+    assert len(met.collect()) == 1000 and "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
