@@ -4,6 +4,8 @@ import os
 import time
 from urllib.parse import urlparse
 
+from conftest import as_set
+from strandline.operators import graph
 from strandline.plans import Known, cut, forget, keyed, materialize, measured_joins, new_folder
 
 
@@ -54,3 +56,37 @@ def test_hashed_partitions_are_small(spark):
             assert spark.conf.get("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold") == spark.conf.get(name)
         finally:
             spark.conf.unset(name)
+
+
+EDGES = "project_id string, edge_id string, source string, target string, rel string"
+
+
+def test_few_removed_artifacts_go_to_the_links(spark, rows):
+    edges = rows(EDGES, ("p", "1", "a", "b", "feeds"), ("p", "2", "b", "c", "feeds"), ("p", "3", "c", "d", "feeds"), ("p", "4", None, "d", "feeds"))
+    gone = rows("project_id string, node_id string", ("p", "a"), ("p", "a"), ("p", "d"), ("q", "b"), ("p", None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = graph.apply_removal(edges, gone, ["source", "target"])
+        assert as_set(left, "edge_id") == {"2"}
+        assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_neighbours_too_many_to_follow_are_not_counted(spark, rows, monkeypatch):
+    """A hub with many neighbours can't follow a what-if of two artifacts: its links are gone before the links meet the what-ifs."""
+    edges = rows(EDGES, *[("p", f"h{i}", f"s{i}", "hub", "feeds") for i in range(40)], ("p", "x", "s0", "x", "feeds"), ("p", "y1", "s0", "y", "feeds"),
+                 ("p", "y2", "s1", "y", "feeds"))
+    seeds = rows("project_id string, seed string, node_id string", ("p", "one", "s0"), ("p", "two", "s0"), ("p", "two", "s1"), ("p", "two", "s1"))
+    sizes, real = {}, graph.cut
+    def told(df, name="cut", **more):
+        out = real(df, name, **more)
+        sizes[name] = out[1]["rows"]
+        return out
+    monkeypatch.setattr(graph, "cut", told)
+    want = {("one", "s0", 0), ("two", "s0", 0), ("two", "s1", 0), ("one", "x", 1), ("two", "x", 1), ("two", "y", 1)}
+    for few_rows in (materialize.FEW_ROWS, 0):
+        monkeypatch.setattr(materialize, "FEW_ROWS", few_rows)
+        assert as_set(graph.removal_plan(edges, seeds), "seed", "node_id", "wave") == want
+        assert sizes["countable"] == 3
+    assert graph.removal_plan(edges, seeds.limit(0)).count() == 0
