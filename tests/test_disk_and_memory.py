@@ -5,7 +5,7 @@ import time
 from urllib.parse import urlparse
 
 from conftest import as_set
-from strandline.operators import graph
+from strandline.operators import dedup, graph
 from strandline.plans import Known, cut, forget, keyed, materialize, measured_joins, new_folder
 
 
@@ -90,3 +90,19 @@ def test_neighbours_too_many_to_follow_are_not_counted(spark, rows, monkeypatch)
         assert as_set(graph.removal_plan(edges, seeds), "seed", "node_id", "wave") == want
         assert sizes["countable"] == 3
     assert graph.removal_plan(edges, seeds.limit(0)).count() == 0
+
+
+def test_merged_links_of_few_and_many_renames(spark, rows, monkeypatch):
+    edges = rows(EDGES, ("p", "E2", "a", "x", "feeds"), ("p", "E10", "b", "x", "feeds"), ("p", "E3", "b", "a", "feeds"), ("p", "E4", "x", "b", "derives"),
+                 ("p", "E5", "x", "a", "derives"), ("p", "E6", None, "x", "feeds"), ("q", "E7", "b", "x", "feeds"))
+    renames = rows("project_id string, dup string, keep string", ("p", "b", "a"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        merged = dedup.merge_edges(edges, renames)
+        assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        want = {("p", "E2", "a", "x", "feeds"), ("p", "E4", "x", "a", "derives"), ("q", "E7", "b", "x", "feeds")}
+        assert as_set(merged, *edges.columns) == want
+        monkeypatch.setattr(materialize, "FEW_ROWS", 0)
+        assert as_set(dedup.merge_edges(edges, renames), *edges.columns) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
