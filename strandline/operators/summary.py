@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.paths import basename
 from strandline.functions.words import common_label, slug
 from strandline.operators.history import recency
-from strandline.plans import cut, number_free, order_slices, running_sum
+from strandline.plans import cut, forget, number_free, order_slices, running_sum
 from strandline.vocab import COMPONENT_RANK, GROUPING_RELS, NODE_TYPES, PROCESS_TYPES
 
 P = "project_id"
@@ -118,17 +118,18 @@ def pack_groups(candidates: DataFrame, group_key: list[str], taken: DataFrame |
     numbered in that order once, so a round writes an artifact and a number for each row that is still open.
     """
     key = [P, *group_key]
-    rows = candidates.select(*key, "node_id").distinct()
+    # written once: both the sizes of the sets and the open rows start from them
+    rows, _ = cut(candidates.select(*key, "node_id").distinct(), "candidates")
     sizes, _ = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sets")
     order = [F.col("n").desc(), *[F.col(k) for k in [*group_key, P]]]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # ids of sorted ranges grow along the order and are unique
     names, _ = cut(sizes.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
         *[F.col(k).alias(f"_{k}") for k in key], F.monotonically_increasing_id().alias("set")), "numbered")
-    if taken is not None:
-        rows = rows.join(taken.select(*NODE), NODE, "left_anti")
+    forget(sizes)
+    left = rows if taken is None else rows.join(taken.select(*NODE), NODE, "left_anti")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-    open_rows, seen = cut(rows.join(names, same).select(P, "node_id", "set"), "open")
+    open_rows, seen = cut(left.join(names, same).select(P, "node_id", "set"), "open")
     accepted_parts = []
     accepted = None
     while seen["rows"]:
@@ -137,11 +138,14 @@ def pack_groups(candidates: DataFrame, group_key: list[str], taken: DataFrame |
         accepted, _ = cut(sure if accepted is None else accepted.unionByName(sure).distinct(), "accepted")
         joined, _ = cut(best.join(accepted, "set", "left_semi").select(P, "node_id", "set"), "joined")
         accepted_parts.append(joined)
-        rest = open_rows.join(joined.select(*NODE), NODE, "left_anti")
+        was = open_rows
+        rest = was.join(joined.select(*NODE), NODE, "left_anti")
         dropped = rest.groupBy("set").agg(F.count(F.lit(1)).alias("live")).where("live < 2").join(accepted, "set", "left_anti")
         open_rows, seen = cut(rest.join(dropped.select("set"), "set", "left_anti").select(P, "node_id", "set"), "open")
+        forget(was, best)
     if not accepted_parts:
         return rows.where("false").select(*key, "node_id")
+    forget(rows, open_rows)
     named = names.select("set", *[F.col(f"_{k}").alias(k) for k in group_key])
     return reduce(DataFrame.unionByName, accepted_parts).join(named, "set").select(*key, "node_id")
 

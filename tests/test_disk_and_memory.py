@@ -5,7 +5,7 @@ import time
 from urllib.parse import urlparse
 
 from conftest import as_set
-from strandline.operators import dedup, graph
+from strandline.operators import dedup, graph, summary
 from strandline.plans import Known, cut, forget, keyed, materialize, measured_joins, new_folder
 
 
@@ -106,3 +106,18 @@ def test_merged_links_of_few_and_many_renames(spark, rows, monkeypatch):
         assert as_set(dedup.merge_edges(edges, renames), *edges.columns) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_candidates_are_computed_once(spark, rows):
+    """The sets' sizes and the open rows start from one written table."""
+    tried = spark.sparkContext.accumulator(0)
+    nodes = rows("project_id string, node_id string, step string, type string, grp string, path string, label string",
+                 *[("p", f"r{i}", "out", "result", None, "r.tsv", f"label {i}") for i in range(6)], ("p", "pl", "run", "pipeline", None, None, "pl"))
+    edges = rows(EDGES, *[("p", f"e{i}", "pl", f"r{i}", "produces") for i in range(6)])
+    def count(row):
+        tried.add(1)
+        return row
+    found = summary.group_candidates(nodes, edges)
+    counted = spark.createDataFrame(found.rdd.map(count), found.schema)
+    got = summary.pack_groups(counted, ["step", "type", "kind", "way", "process_id"])
+    assert as_set(got, "node_id") == {f"r{i}" for i in range(6)} and tried.value == 6
