@@ -5,7 +5,8 @@ import time
 from urllib.parse import urlparse
 
 from conftest import as_set
-from strandline.operators import dedup, graph, summary
+from pyspark.sql import functions as F
+from strandline.operators import dedup, graph, staleness, summary
 from strandline.plans import Known, cut, forget, keyed, materialize, measured_joins, new_folder
 
 
@@ -121,3 +122,21 @@ def test_candidates_are_computed_once(spark, rows):
     counted = spark.createDataFrame(found.rdd.map(count), found.schema)
     got = summary.pack_groups(counted, ["step", "type", "kind", "way", "process_id"])
     assert as_set(got, "node_id") == {f"r{i}" for i in range(6)} and tried.value == 6
+
+
+def test_confirmations_and_states_are_written_step_by_step(spark, rows):
+    """What comes after starts from few stored rows, not from all the joins before it."""
+    nodes = rows("project_id string, node_id string, type string, current_version int", ("p", "raw", "raw", 3), ("p", "pl", "pipeline", 1), ("p", "res", "result", 1),
+                 ("p", "tab", "table", 2))
+    edges = rows(EDGES, ("p", "1", "raw", "pl", "feeds"), ("p", "2", "pl", "res", "produces"), ("p", "3", "res", "tab", "derives"))
+    recorded = rows("project_id string, node_id string, parent_id string, recorded int", ("p", "res", "raw", 1), ("p", "tab", "res", 7), ("p", "tab", "gone", None))
+    asked = rows("project_id string, node_id string, parent_id string, why string", ("p", "res", None, "checked"), ("p", "tab", None, " "))
+    after, refused = staleness.apply_confirmations(nodes, edges, recorded, asked)
+    assert "Exchange" not in after._jdf.queryExecution().executedPlan().toString()
+    assert as_set(after, "node_id", "parent_id", "recorded") == {("res", "raw", 3), ("res", "pl", 1), ("tab", "res", 7), ("tab", "gone", None)}
+    assert as_set(refused, "node_id", "problem") == {("tab", "no reason")}
+    disk = rows("project_id string, node_id string, n int", ("p", "raw", 1), ("p", "tab", 2)).groupBy("project_id", "node_id").agg(F.max("n").alias("n")).selectExpr(
+        "project_id", "node_id", "n = 1 AS missing", "n = 2 AS modified")
+    states = staleness.node_state(nodes, nodes.where("node_id = 'res'").select("project_id", "node_id"), disk)
+    assert "Aggregate" not in states._jdf.queryExecution().executedPlan().toString()
+    assert as_set(states, "node_id", "state") == {("raw", "missing"), ("pl", "ok"), ("res", "stale"), ("tab", "modified")}
