@@ -78,14 +78,15 @@ def test_neighbours_too_many_to_follow_are_not_counted(spark, rows, monkeypatch)
     """A hub with many neighbours can't follow a what-if of two artifacts: its links are gone before the links meet the what-ifs."""
     edges = rows(EDGES, *[("p", f"h{i}", f"s{i}", "hub", "feeds") for i in range(40)], ("p", "x", "s0", "x", "feeds"), ("p", "y1", "s0", "y", "feeds"),
                  ("p", "y2", "s1", "y", "feeds"))
-    seeds = rows("project_id string, seed string, node_id string", ("p", "one", "s0"), ("p", "two", "s0"), ("p", "two", "s1"), ("p", "two", "s1"))
+    seeds = rows("project_id string, seed string, node_id string", ("p", "one", "s0"), ("p", "two", "s0"), ("p", "two", "s1"), ("p", "two", "s1"),
+                 ("p", None, "s1"))
     sizes, real = {}, graph.cut
     def told(df, name="cut", **more):
         out = real(df, name, **more)
         sizes[name] = out[1]["rows"]
         return out
     monkeypatch.setattr(graph, "cut", told)
-    want = {("one", "s0", 0), ("two", "s0", 0), ("two", "s1", 0), ("one", "x", 1), ("two", "x", 1), ("two", "y", 1)}
+    want = {("one", "s0", 0), ("two", "s0", 0), ("two", "s1", 0), (None, "s1", 0), ("one", "x", 1), ("two", "x", 1), ("two", "y", 1)}
     for few_rows in (materialize.FEW_ROWS, 0):
         monkeypatch.setattr(materialize, "FEW_ROWS", few_rows)
         assert as_set(graph.removal_plan(edges, seeds), "seed", "node_id", "wave") == want
